@@ -233,8 +233,6 @@ def bm25_search(docs: DataFrame, queries: DataFrame, limit: int = 8) -> DataFram
 
     Only the terms that some query asks for are counted; the counts are combined before each shuffle.
     """
-    wanted = queries.select("query_id", "item_no", F.explode(F.array_distinct(query_tokens(F.col("query")))).alias("_t"))
-    wanted = wanted.withColumn("term", F.translate(F.lower("_t"), MARKED, PLAIN)).drop("_t")
     repeats = queries.select("query_id", F.explode(query_tokens(F.col("query"))).alias("_t")).groupBy(
         "query_id", F.translate(F.lower("_t"), MARKED, PLAIN).alias("term")).agg(F.count(F.lit(1)).alias("times"))
     asked = repeats.select("term").distinct()
@@ -254,10 +252,10 @@ def bm25_search(docs: DataFrame, queries: DataFrame, limit: int = 8) -> DataFram
         F.col("idf") * F.col("tf") * (pack.BM25_K1 + 1)
         / (F.col("tf") + pack.BM25_K1 * (1 - pack.BM25_B + pack.BM25_B * F.col("doc_len") / avg_len)),
     )
-    targets = item_alias(queries.select("query_id", "item_no")).select("query_id", "alias_no")
+    targets = item_alias(queries.select("query_id", "item_no")).select("query_id", F.col("alias_no").alias("item_no"))
     hits = (
         weight.join(repeats, "term")
-        .join(targets, (targets["query_id"] == repeats["query_id"]) & (targets["alias_no"] == weight["item_no"]), "left_semi")
+        .join(targets, ["query_id", "item_no"], "left_semi")
         .groupBy("query_id", "doc_id", "item_no", "source_type")
         .agg(F.sum(F.col("w") * F.col("times")).alias("score"))
         .withColumn("score", F.round("score", 6))

@@ -259,3 +259,28 @@ def parse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "error", F.concat(F.lit("value "), F.col("value").cast("string"))).otherwise("").alias("error"),
         F.col("event_id").alias("version"),
     )
+
+
+def criteria_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as searchable criteria rows, so that search runs over a table that grows."""
+    d = read(spark, sf_dir, "documents")
+    kinds = F.array(F.lit("criteria_db"), F.lit("requirement_db"), F.lit("reference_example_db"), F.lit("criteria_excel"))
+    return d.select(
+        F.col("doc_id"), (F.col("doc_id") % 18 + 1).cast("string").alias("item_no"),
+        F.element_at(kinds, (F.col("doc_id") % 4 + 1).cast("int")).alias("source_type"),
+        F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")).alias("row_no"),
+        F.substring("text", 1, 60).alias("title"), F.col("lang").alias("category"), F.col("text").alias("content"),
+    )
+
+
+def criteria_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = read(spark, sf_dir, "benchmark")
+    return b.select(
+        F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 20 == 19, "2-1").otherwise((F.col("item_id") % 18 + 1).cast("string")).alias("item_no"),
+        F.substring("text", 1, 120).alias("query"),
+    )
+
+
+def item_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items named by the criteria table, with the sub-item."""
+    return legal_requirements(spark, sf_dir).select("item_no").union(legal_items(spark, sf_dir).select("item_no")).distinct()
