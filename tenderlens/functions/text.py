@@ -210,10 +210,21 @@ def parse_amount(value: Column) -> Column:
 
 
 def format_amount(won: Column) -> Column:
-    """Hundred-millions with at most one decimal."""
-    shown = F.regexp_replace(F.format_string("%.1f", won / F.lit(100_000_000.0)), "\\.?0+$", "")
-    whole = (won % 100_000_000) == 0
-    return F.concat(F.when(whole, (won / 100_000_000).cast("long").cast("string")).otherwise(shown), F.lit("억 원"))
+    """Hundred-millions with at most one decimal, rounded as the binary quotient rounds.
+
+    Half a tenth is settled by the exact distance of the double quotient from the tie, in 58-bit fractions.
+    """
+    unit, tenth, bits = 100_000_000, 10_000_000, 1 << 58
+    whole, rest = F.floor(won / F.lit(unit)).cast("long"), won % unit
+    digit, below = F.floor(rest / F.lit(tenth)).cast("long"), rest % tenth
+    quotient = won / F.lit(float(unit))
+    fraction = ((quotient - F.floor(quotient)) * F.lit(float(bits))).cast("long")
+    gap = fraction * 20 - (digit * 2 + 1) * F.lit(bits)
+    tie_up = (gap > 0) | ((gap == 0) & (digit % 2 == 1))
+    up = (below > tenth // 2) | ((below == tenth // 2) & tie_up)
+    tenths = whole * 10 + digit + up.cast("long")
+    head_, tail = F.floor(tenths / F.lit(10)).cast("long").cast("string"), tenths % 10
+    return F.concat(head_, F.when(tail > 0, F.concat(F.lit("."), tail.cast("string"))).otherwise(""), F.lit("억 원"))
 
 
 def max_amount_near(text: Column, keywords: Sequence[str], radius: int = 80) -> Column:

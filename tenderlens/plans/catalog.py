@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tenderlens.plans import catalog_audit, catalog_pages, catalog_retrieval  # noqa: F401
+from tenderlens.plans import catalog_audit, catalog_evidence, catalog_pages, catalog_retrieval  # noqa: F401
 from tenderlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

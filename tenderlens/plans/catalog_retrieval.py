@@ -10,6 +10,7 @@ from tenderlens.plans import inputs as inp
 from tenderlens.plans import oracle_views as ov
 from tenderlens.plans.registry import query
 from tenderlens.rules import pack
+from tenderlens.session import cut_lineage
 
 LEGAL = f"{ov.LEGAL_ITEMS}, {ov.LEGAL_REQUIREMENTS}, {ov.LEGAL_EXAMPLES}, {ov.TACIT}"
 
@@ -237,7 +238,8 @@ def merge_hits(spark, sf):
 
 def context(spark, sf):
     items, reqs, examples = tables(spark, sf)
-    return rt.context_for_items(inp.item_list(spark, sf), rt.criteria_table(items, reqs, examples), inp.tacit_knowledge(spark, sf))
+    docs = cut_lineage(rt.criteria_table(items, reqs, examples))  # the cascade reads this small table several times
+    return rt.context_for_items(inp.item_list(spark, sf), docs, inp.tacit_knowledge(spark, sf))
 
 
 CONTEXT = f"""{ITEMS}, {ITEM_GROUP}, {AUTHORITATIVE}, {TACIT_HIT},

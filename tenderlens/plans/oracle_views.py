@@ -174,3 +174,50 @@ EVENTS = """parse_event AS MATERIALIZED (
     CASE WHEN event_type = 'error' THEN 'value ' || value ELSE '' END AS error,
     event_id AS version
   FROM events)"""
+
+
+def loose(keyword: str) -> str:
+    import re
+
+    return "(?i)" + f"{WS}*".join(re.escape(ch) for ch in "".join(keyword.split()))
+
+
+def window(t: str, keyword: str, radius: int, fallback: str | None = None, exact: bool = False) -> str:
+    """Window around the first loose (or exact) occurrence of a keyword."""
+    m = quote(keyword) if exact else f"regexp_extract({t}, '{loose(keyword)}', 0)"
+    hit = f"contains({t}, {m})" if exact else f"{m} <> ''"
+    p = f"(instr({t}, {m}) - 1)"
+    start = f"greatest({p} - {radius}, 0)"
+    stop = f"least({p} + length({m}) + {radius}, length({t}))"
+    cut = collapse(f"substr({t}, {start} + 1, {stop} - {start})")
+    other = fallback or f"substr({collapse(t)}, 1, 180)"
+    return f"CASE WHEN {hit} THEN {cut} ELSE {other} END"
+
+
+def first_window(t: str, low: str, keywords, radius: int) -> str:
+    cases = " ".join(
+        f"WHEN contains({low}, {quote(''.join(k.split()).lower())}) THEN {window(t, k, radius)}" for k in keywords
+    )
+    return f"CASE {cases} END"
+
+
+AMOUNT = f"[0-9,]+(?:\\.[0-9]+)?{WS}*(?:억원|억|천만원|천만|백만원|백만|만원|원)"
+
+
+def amount(v: str) -> str:
+    plain = f"replace(replace({v}, ',', ''), ' ', '')"
+    number = f"TRY_CAST(regexp_extract({plain}, '[0-9]+(?:\\.[0-9]+)?', 0) AS DOUBLE)"
+    return (
+        f"CASE WHEN {number} IS NULL THEN 0 WHEN contains({plain}, '억') THEN trunc({number} * 100000000) WHEN contains({plain}, '천만') THEN trunc({number} * 10000000) "
+        f"WHEN contains({plain}, '백만') THEN trunc({number} * 1000000) WHEN contains({plain}, '만원') THEN trunc({number} * 10000) WHEN contains({plain}, '원') THEN trunc({number}) ELSE 0 END::BIGINT"
+    )
+
+
+def spans(source: str, text: str, regex: str, columns: str, name: str) -> str:
+    """CTE `name`: one row per match with k, value and the zero-based start, by cumulative lengths."""
+    return f"""{name}_part AS (
+  SELECT {columns}, {text} AS t, regexp_extract_all({text}, '{regex}') AS ms, regexp_split_to_array({text}, '{regex}') AS gaps FROM {source}),
+{name} AS (
+  SELECT {columns}, t, k::INT AS k, ms[k] AS value,
+    (list_sum(list_transform(gaps[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda m: length(m))), 0))::BIGINT AS start
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM {name}_part))"""
