@@ -91,15 +91,40 @@ def strip_leading_page_no(text: Column, printed: Column) -> Column:
 # --- term predicates -------------------------------------------------------------------------
 
 
+def _plain_name(c: Column) -> str | None:
+    """Name of a plain column reference, null for any other expression.
+
+    Long term lists on a plain column go to the JVM as one SQL text instead of one call per term; the plan is
+    the same chain of `contains` either way.
+    """
+    found = re.fullmatch(r"Column<'([A-Za-z]\w*|_[a-z]\w*)'>", repr(c))
+    name = found.group(1) if found else None
+    return None if name is None or re.fullmatch(r"[xyz]_\d+|namedlambdavariable", name) else name
+
+
+def _sql_terms(name: str, terms: Sequence[str], glue: str, shape: str = "contains({c}, {t})") -> Column:
+    quoted = ["'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in terms]
+    return F.expr(glue.join(shape.format(c=f"`{name}`", t=q) for q in quoted))
+
+
 def contains_any(c: Column, terms: Sequence[str]) -> Column:
+    name = _plain_name(c)
+    if name and terms:
+        return _sql_terms(name, terms, " OR ")
     return reduce(lambda a, b: a | b, [c.contains(t) for t in terms], F.lit(False))
 
 
 def contains_all(c: Column, terms: Sequence[str]) -> Column:
+    name = _plain_name(c)
+    if name and terms:
+        return _sql_terms(name, terms, " AND ")
     return reduce(lambda a, b: a & b, [c.contains(t) for t in terms], F.lit(True))
 
 
 def count_terms(c: Column, terms: Sequence[str]) -> Column:
+    name = _plain_name(c)
+    if name and terms:
+        return _sql_terms(name, terms, " + ", "cast(contains({c}, {t}) as int)")
     return reduce(lambda a, b: a + b, [c.contains(t).cast("int") for t in terms], F.lit(0))
 
 

@@ -125,110 +125,168 @@ def _reuse_quote(t: Column, low: Column, mask: Column) -> Column:
     return F.coalesce(*found, tx.head(tx.collapse(t), 180))
 
 
-def catalogue() -> dict[str, list[Signal]]:
-    """Signals by item, over the prepared columns of a page."""
-    t, c, low, bare = F.col("page_text"), F.col("_c"), F.col("_low"), F.col("_b")
+def _prepared() -> tuple[Column, Column, Column, Column]:
+    return F.col("page_text"), F.col("_c"), F.col("_low"), F.col("_b")
+
+
+def _keyword(item: str, words: Sequence[str], mask: Column | None = None) -> Signal:
+    t, _, low, _ = _prepared()
+    return _signal(f"{item}:keyword", ~F.col("has_toc") & tx.loose_any(low, words), tx.first_keyword_window(t, low, words, 80), mask=mask)
+
+
+def _rule_keyword(item: str) -> list[Signal]:
+    return [_keyword(item, pack.RULE_KEYWORDS[item])]
+
+
+def _item_2() -> list[Signal]:
+    return [_signal("2:signal", ~F.col("has_toc") & ev.page_purchase_signal(F.col("_c")))]
+
+
+def _item_3() -> list[Signal]:
+    t, c, _, _ = _prepared()
     body = ~F.col("has_toc")
-    allowed = ev.allowed_evidence_page(c)
-    out: dict[str, list[Signal]] = {}
-    for item in ["1", "3", "7", "14", "18"]:
-        words = pack.RULE_KEYWORDS[item]
-        out.setdefault(item, []).append(_signal(f"{item}:keyword", body & tx.loose_any(low, words), tx.first_keyword_window(t, low, words, 80)))
-    out["3"] += [
+    known = tx.count_terms(c, SMALL_SW_TERMS)
+    return _rule_keyword("3") + [
         _signal("3:full", body & small_sw_restricted(c), tx.evidence_window(t, "20", 420)),
-        _signal("3:part", body & (tx.count_terms(c, SMALL_SW_TERMS) > 0), tx.evidence_window(t, "중소", 260), tx.count_terms(c, SMALL_SW_TERMS)),
+        _signal("3:part", body & (known > 0), tx.evidence_window(t, "중소", 260), known),
     ]
-    sub_window = tx.evidence_window(t, "하도급", 260)
-    requirement = ev.requirement_mask(rq.subcontract_requirements(c))
-    out["4"] = [
-        _signal("4:deny", body & subcontract_denied(c), tx.evidence_window(t, "하도급", 160)),
-        _signal("4:check", allowed & (F.col("_check") != 0), sub_window, mask=F.col("_check")),
-        _signal("4:part", allowed & (requirement != 0), sub_window, F.bit_count(requirement)),
+
+
+def _item_4() -> list[Signal]:
+    t, c, _, _ = _prepared()
+    allowed = ev.allowed_evidence_page(c)
+    window = tx.evidence_window(t, "하도급", 260)
+    check, part = F.col("_check"), F.col("_part")
+    return [
+        _signal("4:deny", ~F.col("has_toc") & subcontract_denied(c), tx.evidence_window(t, "하도급", 160)),
+        _signal("4:check", allowed & (check != 0), window, mask=check),
+        _signal("4:part", allowed & (part != 0), window, F.bit_count(part)),
     ]
+
+
+def _item_6() -> list[Signal]:
+    t, c, low, _ = _prepared()
     reuse = F.col("_reuse")
-    section = rq.reuse_section_signal(c, reuse)
-    out["6"] = [_signal("6:reuse", body & (reuse != 0), _reuse_quote(t, low, reuse), rq.reuse_score(c, reuse), reuse.bitwiseOR(F.when(section, 128).otherwise(0)))]
-    ninety = t.rlike(f"90[{tx.SPACE}]*(?:점|%)") & t.rlike(f"10[{tx.SPACE}]*(?:점|%)")
-    out["11"] = [_signal(
-        "11:score", low.contains("기술능력평가") & low.contains("가격평가") & ninety,
-        _first_window(t, low, ["기술능력평가점수", "기술능력평가", "평가원칙"], 120, tx.head(t, 220)),
-    )]
+    section = F.when(rq.reuse_section_signal(c, reuse), 128).otherwise(0)
+    return [_signal("6:reuse", ~F.col("has_toc") & (reuse != 0), _reuse_quote(t, low, reuse), rq.reuse_score(c, reuse), reuse.bitwiseOR(section))]
+
+
+def _table_pages(item: str) -> list[Signal]:
+    candidate = F.col("has_eval_table") | F.col("has_table")
+    quoted = tx.head(F.col("page_text"), 180)
+    return [
+        _signal(f"{item}:candidate", candidate, quoted),
+        _signal(f"{item}:any", F.lit(True), quoted),
+        _keyword(item, pack.TABLE_KEYWORDS[item], candidate.cast("int")),
+    ]
+
+
+def _item_11() -> list[Signal]:
+    t, _, low, _ = _prepared()
+    split = t.rlike(f"90[{tx.SPACE}]*(?:점|%)") & t.rlike(f"10[{tx.SPACE}]*(?:점|%)")
+    quoted = _first_window(t, low, ["기술능력평가점수", "기술능력평가", "평가원칙"], 120, tx.head(t, 220))
+    return [_signal("11:score", tx.contains_all(low, ["기술능력평가", "가격평가"]) & split, quoted)] + _table_pages("11")
+
+
+def _item_12() -> list[Signal]:
+    t, c, low, _ = _prepared()
     signal = low.contains("차등점수제") | tx.contains_all(low, ["순위간", "점수차"])
-    off = tx.contains_all(low, ["차등점수제", "미적용"])
     plan = ev.subcontract_plan_score(t, low)
     rule_text = _first_window(t, low, ["차등점수", "순위간"], 220, tx.head(t, 260))
     rule_text = F.when(low.contains("미적용"), tx.evidence_window(t, "차등점수", 220)).otherwise(rule_text)
-    table_text = F.when(plan, tx.evidence_window(t, "하도급", 180)).otherwise(_first_window(t, low, ["평가항목", "배점"], 180, tx.head(t, 260)))
-    out["12"] = [
+    table_text = F.when(plan, tx.evidence_window(t, "하도급", 180)).otherwise(
+        _first_window(t, low, ["평가항목", "배점"], 180, tx.head(t, 260)))
+    return [
         _signal("12:signal", signal, rule_text),
-        _signal("12:off", off, rule_text),
+        _signal("12:off", tx.contains_all(low, ["차등점수제", "미적용"]), rule_text),
         _signal("12:deny", subcontract_denied(c), tx.evidence_window(t, "하도급", 180)),
         _signal("12:table", score_table(t), table_text, mask=plan.cast("int")),
-        _signal("12:stated", tx.contains_any(c, [TIE_RULE, SAME_SCORE]), mask=F.when(c.contains(TIE_RULE), 1).otherwise(0) + F.when(c.contains(SAME_SCORE), 2).otherwise(0)),
-    ]
-    for item in ["11", "12"]:
-        words = pack.TABLE_KEYWORDS[item]
-        candidate = F.col("has_eval_table") | F.col("has_table")
-        out[item] += [
-            _signal(f"{item}:candidate", candidate, tx.head(t, 180)),
-            _signal(f"{item}:any", F.lit(True), tx.head(t, 180)),
-            _signal(f"{item}:keyword", body & tx.loose_any(low, words), tx.first_keyword_window(t, low, words, 80), mask=candidate.cast("int")),
-        ]
+    ] + _table_pages("12")
+
+
+def _item_14() -> list[Signal]:
+    t, _, low, _ = _prepared()
+    body = ~F.col("has_toc")
     detail = tx.loose_count(low, ev.DETAIL_TERMS) >= 4
     summary = t.contains("요구사항 총괄표") & (tx.loose_count(low, SUMMARY_TERMS) >= 4)
-    out["14"] += [
-        _signal("14:detail", body & detail, F.when(t.contains("요구사항 상세 내역"), tx.evidence_window(t, "요구사항 상세 내역", 80)).otherwise(tx.evidence_window(t, "요구사항 고유번호", 80))),
+    heading = F.when(t.contains("요구사항 상세 내역"), tx.evidence_window(t, "요구사항 상세 내역", 80))
+    return _rule_keyword("14") + [
+        _signal("14:detail", body & detail, heading.otherwise(tx.evidence_window(t, "요구사항 고유번호", 80))),
         _signal("14:summary", body & ~detail & summary, tx.evidence_window(t, "요구사항 총괄표", 80)),
     ]
-    for item, title, declared, hint in [
-        ("15", period_title(c), period_declared(bare), "소프트웨어 개발사업"),
-        ("17", impact_title(c), impact_declared(bare), "소프트웨어사업 영향평가"),
-    ]:
-        quoted = tx.head(t, 220)
-        refers = ev.reference_only(bare, hint)
-        out[item] = [
-            _signal(f"{item}:declared", body & declared, quoted),
-            _signal(f"{item}:title", body & title & ~refers, quoted, mask=F.when(title, ev.attachment_has_body(t, F.lit(hint)).cast("int"))),
-            _signal(f"{item}:reference", body & title & refers, quoted),
-            _signal(f"{item}:listed", F.col("has_toc") & title, quoted),
-        ]
+
+
+def _attachment(item: str, title: Column, declared: Column, hint: str) -> list[Signal]:
+    t, _, _, bare = _prepared()
+    quoted = tx.head(t, 220)
+    body, refers = ~F.col("has_toc"), ev.reference_only(bare, hint)
+    return [
+        _signal(f"{item}:declared", body & declared, quoted),
+        _signal(f"{item}:title", body & title & ~refers, quoted, mask=F.when(title, ev.attachment_has_body(t, F.lit(hint)).cast("int"))),
+        _signal(f"{item}:reference", body & title & refers, quoted),
+        _signal(f"{item}:listed", F.col("has_toc") & title, quoted),
+    ]
+
+
+def _form_pages(item: str) -> list[Signal]:
+    t, c, _, _ = _prepared()
     form = F.col("has_attachment") | F.col("has_blind") | F.col("has_commercial_sw")
-    for item in ["2-1", "17"]:
-        words = pack.ATTACHMENT_KEYWORDS[item]
-        known = ev.known_title(c, item)
-        out.setdefault(item, [])
-        out[item] += [
-            _signal(f"{item}:candidate", form, tx.head(t, 180)),
-            _signal(f"{item}:any", F.lit(True), tx.head(t, 180)),
-            _signal(f"{item}:keyword", body & tx.loose_any(low, words), tx.first_keyword_window(t, low, words, 80), mask=form.cast("int")),
-            _signal(
-                f"{item}:known", body & known, tx.head(t, 260),
-                mask=form.cast("int") + F.when(known & ev.attachment_has_body(t, ev.best_title_hint(c, item)), 2).otherwise(0),
-            ),
-        ]
-    out["16"] = [
+    known = ev.known_title(c, item)
+    bodied = F.when(known & ev.attachment_has_body(t, ev.best_title_hint(c, item)), 2).otherwise(0)
+    return [
+        _signal(f"{item}:candidate", form, tx.head(t, 180)),
+        _signal(f"{item}:any", F.lit(True), tx.head(t, 180)),
+        _keyword(item, pack.ATTACHMENT_KEYWORDS[item], form.cast("int")),
+        _signal(f"{item}:known", ~F.col("has_toc") & known, tx.head(t, 260), mask=form.cast("int") + bodied),
+    ]
+
+
+def _item_15() -> list[Signal]:
+    _, c, _, bare = _prepared()
+    return _attachment("15", period_title(c), period_declared(bare), "소프트웨어 개발사업")
+
+
+def _item_16() -> list[Signal]:
+    t, c, _, _ = _prepared()
+    body = ~F.col("has_toc")
+    return [
         _signal("16:trigger", body & tx.contains_any(c, sorted({tx.squeeze(w) for w in WORKFORCE_TRIGGERS})), tx.evidence_window(t, "인력", 220)),
         _signal("16:function", body & tx.contains_any(c, FUNCTION_SIGNALS)),
     ]
+
+
+def _item_17() -> list[Signal]:
+    _, c, _, bare = _prepared()
+    return _attachment("17", impact_title(c), impact_declared(bare), "소프트웨어사업 영향평가") + _form_pages("17")
+
+
+def _item_18() -> list[Signal]:
+    t, c, _, _ = _prepared()
     submission = tx.contains_any(c, ["제출", "작성및제출", "데이터작성"])
     method = tx.contains_any(c, ["www.spir.kr", "SPIR", "SW사업정보저장소", "제출방법"])
-    out["18"] += [_signal(
-        "18:mention", body & tx.contains_any(c, ["SW사업정보", "소프트웨어사업정보"]), tx.evidence_window(t, "SW사업정보", 260),
-        mask=F.when(submission, 1).otherwise(0) + F.when(method, 2).otherwise(0),
-    )]
-    out["2"] = [_signal("2:signal", body & ev.page_purchase_signal(c))]
-    return out
+    told = F.when(submission, 1).otherwise(0) + F.when(method, 2).otherwise(0)
+    mention = ~F.col("has_toc") & tx.contains_any(c, ["SW사업정보", "소프트웨어사업정보"])
+    return _rule_keyword("18") + [_signal("18:mention", mention, tx.evidence_window(t, "SW사업정보", 260), mask=told)]
+
+
+BY_ITEM = {
+    "1": lambda: _rule_keyword("1"), "2": _item_2, "2-1": lambda: _form_pages("2-1"), "3": _item_3, "4": _item_4, "6": _item_6,
+    "7": lambda: _rule_keyword("7"), "11": _item_11, "12": _item_12, "14": _item_14, "15": _item_15, "16": _item_16, "17": _item_17,
+    "18": _item_18,
+}
 
 
 def page_signals(page: DataFrame, items: Sequence[str] | None = None) -> DataFrame:
     """(document_id, page_no, seq, display_no, kind, score, mask, text) for the wanted items."""
     prepared = page.withColumn("_c", tx.compact(F.col("page_text"))).withColumn("_b", tx.compact_attachment(F.col("page_text")))
-    prepared = (
-        prepared.withColumn("_low", F.lower("_c"))
-        .withColumn("_check", ev.requirement_mask(checklist_rules(F.col("_c"))))
-        .withColumn("_reuse", ev.requirement_mask(rq.reuse_requirements(F.col("_c"))))
-    )
-    wanted = [s for item, group in catalogue().items() if items is None or item in items for s in group]
+    prepared = prepared.withColumn("_low", F.lower("_c"))
+    c = F.col("_c")
+    if items is None or "4" in items:
+        prepared = prepared.withColumn("_check", ev.requirement_mask(checklist_rules(c))).withColumn(
+            "_part", ev.requirement_mask(rq.subcontract_requirements(c)))
+    if items is None or "6" in items:
+        prepared = prepared.withColumn("_reuse", ev.requirement_mask(rq.reuse_requirements(c)))
+    wanted = [s for item, build in BY_ITEM.items() if items is None or item in items for s in build()]
     found = [
         F.when(
             s.when,

@@ -14,6 +14,7 @@ from tenderlens.plans import inputs as inp
 from tenderlens.plans import oracle_views as ov
 from tenderlens.plans.registry import query
 from tenderlens.rules import pack
+from tenderlens.session import cut_lineage
 
 COLUMNS = "document_id, item_no, result, is_target, confidence, pages, texts_md5, reason, recommendation, source"
 
@@ -27,7 +28,7 @@ def shown(rv):
 
 def corpus(spark, sf, *items):
     page = inp.pages(spark, sf)
-    return page, sg.page_signals(page, list(items)), inp.documents(spark, sf)
+    return page, cut_lineage(sg.page_signals(page, list(items))), inp.documents(spark, sf)
 
 
 BASE = f"""{ov.PAGES}, shown AS MATERIALIZED (SELECT document_id, page_no, page_text AS t, page_text, c, lower(c) AS low, has_toc, has_table, has_eval_table,
@@ -301,13 +302,13 @@ def item_18(spark, sf):
 @query("item_15")
 def item_15(spark, sf):
     page = ce.broken_pages(spark, sf)
-    return shown(jd.item_15(sg.page_signals(page, ["15"]), inp.documents(spark, sf)))
+    return shown(jd.item_15(cut_lineage(sg.page_signals(page, ["15"])), inp.documents(spark, sf)))
 
 
 @query("item_17")
 def item_17(spark, sf):
     page = ce.broken_pages(spark, sf)
-    return shown(jd.item_17(sg.page_signals(page, ["17"]), inp.documents(spark, sf)))
+    return shown(jd.item_17(cut_lineage(sg.page_signals(page, ["17"])), inp.documents(spark, sf)))
 
 
 @query("item_attachment_fallback", f"""
@@ -321,7 +322,7 @@ UNION ALL SELECT {row('17', pack.NEEDS_CHECK, 'NULL', 0.34, 'pages', 'texts', jd
   WHERE document_id NOT IN (SELECT document_id FROM hollow) AND document_id NOT IN (SELECT document_id FROM weak)""")
 def item_attachment_fallback(spark, sf):
     page = ce.broken_pages(spark, sf)
-    return shown(jd.item_attachment_fallback(sg.page_signals(page, ["17"]), inp.documents(spark, sf), "17"))
+    return shown(jd.item_attachment_fallback(cut_lineage(sg.page_signals(page, ["17"])), inp.documents(spark, sf), "17"))
 
 
 @query("undecided_item", f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,7 +43,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder so that later stages need not recompute it."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    """Write `df` once as a table in the shared checkpoint folder and go on from that table.
+
+    Later stages then neither recompute it nor depend on the executors that did, read only the columns they
+    need, and let Spark choose joins by the table's real size.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tenderlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
