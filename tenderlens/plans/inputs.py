@@ -284,3 +284,27 @@ def criteria_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def item_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items named by the criteria table, with the sub-item."""
     return legal_requirements(spark, sf_dir).select("item_no").union(legal_items(spark, sf_dir).select("item_no")).distinct()
+
+
+def escalated_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored verdicts of a higher judge for some orders."""
+    o = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    return o.filter("o_orderstatus = 'F'").select(
+        k.alias("document_id"), (k % 18 + 1).cast("string").alias("item_no"), F.lit(0).cast("long").alias("seq"), F.lit("verification_escalation").alias("route_type"),
+        F.when(k % 2 == 0, pack.COMPLIANT).otherwise(pack.NON_COMPLIANT).alias("result"), F.lit(True).alias("is_target"), F.lit(0.8).alias("confidence"),
+        F.array(F.lit(99)).alias("evidence_pages"), F.array(F.lit("cited")).alias("evidence_text"), F.lit("escalated").alias("reason"), F.lit("").alias("recommendation"),
+        F.lit(False).alias("needs_human_review"), F.lit("openai_escalation").alias("source"), F.array().cast("array<string>").alias("warnings"), F.lit(True).alias("used_llm"),
+    )
+
+
+def sub_finals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two final rows per order at most: its first odd and its first even line, as item 2 and 2-1 or twice item 4."""
+    r = reviews(spark, sf_dir).withColumn("_sub", F.floor(F.col("seq") / 1_000_000_000_000).cast("int") % 2)
+    names = ["result", "is_target", "confidence", "evidence_pages", "evidence_text", "reason", "recommendation", "source"]
+    one = r.groupBy("document_id", "_sub").agg(F.min_by(F.struct(*names), "seq").alias("r"))
+    item = F.when(F.col("document_id") % 2 == 1, "4").when(F.col("_sub") == 1, "2").otherwise("2-1")
+    return one.select(
+        "document_id", item.alias("item_no"), (2 - F.col("_sub")).cast("long").alias("seq"), F.col("r.source").alias("final_status"), F.col("r.result").alias("final_result"),
+        "r.is_target", "r.confidence", "r.evidence_pages", "r.evidence_text", "r.reason", "r.recommendation", F.array(F.col("r.source")).alias("warnings"),
+    )
