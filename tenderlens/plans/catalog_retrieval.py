@@ -236,6 +236,11 @@ def merge_hits(spark, sf):
     return m.select("query_item", "item_no", "source_type", "title", tx.head(F.col("snippet"), 160).alias("shown"), (F.col("rank_group") * 1000000 + F.col("rank")).alias("first_place"))
 
 
+def criteria_hits(spark, sf):
+    """Authoritative hits of every item, staged because several steps read this small table."""
+    return cut_lineage(rt.authoritative_hits(inp.item_list(spark, sf), rt.criteria_docs(*tables(spark, sf))))
+
+
 def context(spark, sf):
     items, reqs, examples = tables(spark, sf)
     docs = cut_lineage(rt.criteria_table(items, reqs, examples))  # the cascade reads this small table several times

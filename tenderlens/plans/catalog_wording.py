@@ -15,7 +15,6 @@ from tenderlens.plans import inputs as inp
 from tenderlens.plans import oracle_views as ov
 from tenderlens.plans.registry import query
 from tenderlens.rules import pack, rubric
-from tenderlens.session import cut_lineage
 
 K3 = ["document_id", "item_no", "page_no"]
 
@@ -145,11 +144,6 @@ def clean_recommendation(spark, sf):
     return f.select(*K3, base.alias("b"), own.alias("cleaned")).select(*K3, "cleaned", ((F.col("b") != "") & wd.is_generic(F.col("b"))).alias("is_generic"), wd.partial_action(F.col("cleaned")).alias("action"))
 
 
-def criteria_hits(spark, sf):
-    items, reqs, examples = cr.tables(spark, sf)
-    return cut_lineage(rt.authoritative_hits(inp.item_list(spark, sf), rt.criteria_docs(items, reqs, examples)))
-
-
 CONTENT = f"""{DIRECT}, {RUNS.format(src='dp', table='direct_list', name='shown')}, {ADVICE},
 ready AS (SELECT c.*, {WORDING_LABEL.format(r='final_result')} AS label, coalesce(plain, '') AS shown, dt, dp FROM concrete c LEFT JOIN direct_list USING (document_id, item_no, page_no) LEFT JOIN shown USING (document_id, item_no, page_no)),
 acted AS (SELECT *, {ov.strip(f"regexp_replace({strip_refs('own')}, '(?s){S}*(?:예를{S}*들어|예시(?:로|:)?|예컨대).*', '')")} AS a0, lower({ov.compact("concat_ws(' ', reason, coalesce(dt, ''))")}) AS ctx FROM ready),
@@ -179,7 +173,7 @@ def compliance_content(spark, sf):
 
 @query("compliance_content_with_criteria")
 def compliance_content_with_criteria(spark, sf):
-    done = wd.compliance_content(inp.finals(spark, sf), criteria_hits(spark, sf))
+    done = wd.compliance_content(inp.finals(spark, sf), cr.criteria_hits(spark, sf))
     return done.select(*K3, "compliance_content", F.array_join("content_warnings", ",").alias("content_warnings"), tx.join_ints(F.col("content_pages")).alias("content_pages"))
 
 
@@ -381,5 +375,5 @@ def regenerate(spark, sf):
     one = f.groupBy("document_id", "item_no").agg(F.min_by(F.struct(*[c for c in f.columns if c not in ("document_id", "item_no")]), "page_no").alias("r")).select("document_id", "item_no", "r.*").drop("page_no")
     g = inp.feedback(spark, sf).withColumn("item_no", (F.col("page_no") % 18 + 1).cast("string"))
     back = g.groupBy("document_id", "item_no").agg(F.min_by(F.struct(*fb.FEEDBACK_COLUMNS), "page_no").alias("r")).select("document_id", "item_no", "r.*")
-    _, opinion, gate = fb.regenerate(one, back, criteria_hits(spark, sf), rt.load_criteria(inp.legal_items(spark, sf), inp.legal_requirements(spark, sf)))
+    _, opinion, gate = fb.regenerate(one, back, cr.criteria_hits(spark, sf), rt.load_criteria(inp.legal_items(spark, sf), inp.legal_requirements(spark, sf)))
     return opinion.join(gate, "document_id")
