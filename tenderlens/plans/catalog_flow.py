@@ -142,7 +142,7 @@ def request_rows(spark, sf):
     items = inp.legal_requirements(spark, sf).select("item_no").distinct()
     hits = ce.requirement_hits(spark, sf).withColumn("item_no", F.col("query_item")).withColumns({
         "source_type": F.lit("criteria_db"), "source_name": F.lit("legal_requirement"), "location": F.lit(None).cast("string"), "score": F.lit(None).cast("double")})
-    done = ex.request_rows(inp.pages(spark, sf), items, hits)
+    done = ex.request_rows(cut_lineage(inp.pages(spark, sf)), items, cut_lineage(hits))
     return done.select("document_id", "item_no", "role", "page_count", F.md5("payload").alias("payload_md5"))
 
 
@@ -187,7 +187,7 @@ def parse_judgements(spark, sf):
 
 def ingested(spark, sf):
     responses = cut_lineage(judgement_responses(spark, sf))
-    return ex.ingest_judgements(responses, inp.pages(spark, sf), ce.requirement_hits(spark, sf))
+    return ex.ingest_judgements(responses, cut_lineage(inp.pages(spark, sf)), cut_lineage(ce.requirement_hits(spark, sf)))
 
 
 @query("ingest_judgements")
@@ -260,7 +260,7 @@ def missing_item_5_8(spark, sf):
 
 @query("attachment_guard")
 def attachment_guard(spark, sf):
-    page = ce.broken_pages(spark, sf)
+    page = cut_lineage(ce.broken_pages(spark, sf))
     signals = cut_lineage(sg.page_signals(page, ["15", "17"]))
     documents = inp.documents(spark, sf)
     judged = documents.withColumn("item_no", F.explode(F.array(F.lit("15"), F.lit("17"), F.lit("5"))))
@@ -352,12 +352,12 @@ def fail_running(spark, sf):
 
 
 @query("finished_jobs", f"""
-WITH {LATEST} SELECT DISTINCT job_id FROM parse_event EXCEPT SELECT job_id FROM (SELECT DISTINCT job_id, page_no FROM parse_event WHERE status <> 'queued' EXCEPT SELECT job_id, page_no FROM latest WHERE status IN ('succeeded', 'running', 'failed'))""")
+WITH {LATEST} SELECT DISTINCT job_id FROM parse_event EXCEPT SELECT job_id FROM (SELECT DISTINCT job_id, page_no FROM parse_event WHERE page_no > 45 EXCEPT SELECT job_id, page_no FROM latest WHERE status IN ('succeeded', 'running', 'failed'))""")
 def finished_jobs(spark, sf):
-    """Jobs whose touched pages all ended in some outcome, outcomes counted as success."""
+    """Jobs that were to deliver their last five pages and did, every outcome counted as a success."""
     e = inp.parse_events(spark, sf)
     state = st.latest_state(e).withColumn("status", F.when(F.col("status") == "queued", "queued").otherwise("succeeded"))
-    touched = e.filter("status <> 'queued'").select("job_id", "page_no")
+    touched = e.filter("page_no > 45").select("job_id", "page_no")
     every = e.select("job_id").distinct()
     open_ = st.pending_pages(touched, state).select("job_id")
     return every.join(open_, "job_id", "left_anti")
@@ -365,7 +365,7 @@ def finished_jobs(spark, sf):
 
 @query("finalize_documents")
 def finalize_documents(spark, sf):
-    page = inp.pages(spark, sf)
+    page = cut_lineage(inp.pages(spark, sf))
     finished = inp.read(spark, sf, "labels").select(F.col("doc_id").alias("document_id")).distinct()
     status, _ = st.finalize_documents(page, inp.documents(spark, sf), finished)
     return status.select("document_id", "parse_status", "audit_score", "audit_warning_count", "parse_warning_count")

@@ -40,12 +40,15 @@ def scan_candidate_jsonl(spark: SparkSession, path: str, keep_length: bool = Tru
     Lines without a document id belong to a document named by their file.  Missing printed numbers are filled.
     """
     lines = spark.read.text(path).select(F.regexp_replace("value", "^\\uFEFF", "").alias("line"), F.col("_metadata.file_path").alias("file"))
-    rows = require_rows(lines.filter(tx.strip(F.col("line")) != ""), path).select("file", F.from_json("line", LINE).alias("p"))
+    rows = require_rows(lines.filter(tx.strip(F.col("line")) != ""), path).select("file", "line", F.from_json("line", LINE).alias("p"))
     text = F.coalesce("p.page_text", F.lit(""))
+    # A JSON number is taken as it is, a text by its first run of digits.
+    number = F.regexp_extract("line", '(?<!\\\\)"rfp_printed_page_no"\\s*:\\s*(-?[0-9]+)\\s*[,}]', 1).try_cast("int")
+    printed = F.coalesce(number, tx.first_int(F.col("p.rfp_printed_page_no")))
     counted = F.coalesce(F.nullif("p.text_length", F.lit(0)), tx.text_length(text))
     page = rows.select(
         F.coalesce("p.document_id", F.xxhash64("file")).alias("document_id"), F.col("p.page_no").cast("long").alias("seq"), F.col("p.page_no").alias("page_no"), text.alias("page_text"),
-        (F.coalesce("p.text_length", F.lit(0)) if keep_length else counted).alias("text_length"), tx.first_int(F.col("p.rfp_printed_page_no")).alias("printed_page_no"),
+        (F.coalesce("p.text_length", F.lit(0)) if keep_length else counted).alias("text_length"), printed.alias("printed_page_no"),
         *[F.coalesce(f"p.{name}", F.lit(False)).alias(flag) for flag, name in JSON_FLAGS.items()], F.col("p.parser_warning").alias("parser_warning"),
     )
     return pages.fill_printed_page_no(page)
@@ -54,7 +57,7 @@ def scan_candidate_jsonl(spark: SparkSession, path: str, keep_length: bool = Tru
 def page_lines(page: DataFrame) -> DataFrame:
     """(document_id, line): each page as one JSON line."""
     fields = [
-        "document_id", "page_no", "page_text", "text_length", F.col("printed_page_no").cast("string").alias("rfp_printed_page_no"), "parser_warning",
+        "document_id", "page_no", "page_text", "text_length", F.col("printed_page_no").alias("rfp_printed_page_no"), "parser_warning",
         *[F.col(flag).alias(name) for flag, name in JSON_FLAGS.items()],
     ]
     return page.select("document_id", F.to_json(F.struct(*fields)).alias("line"))
