@@ -82,32 +82,57 @@ def greedy_cover(candidates: DataFrame, required: int, order: Sequence[str]) ->
 # --- criteria overlap ----------------------------------------------------------------------------------------
 
 
-def criteria_overlap(page: DataFrame, hits: DataFrame, tokens_needed: int = 3) -> DataFrame:
-    """Best (criterion, page) of every document and item by the share of criterion tokens on the page.
+CRITERION = ["query_item", "rank_group", "rank"]
 
-    An equi-join of distinct page tokens with distinct criterion tokens; counts are combined before the shuffle.
-    Columns of `hits`: query_item, rank_group, rank, title, snippet.
-    """
+
+def _criterion_tokens(hits: DataFrame, tokens_needed: int) -> DataFrame:
     joined = F.concat_ws(" ", F.when(F.length("title") > 0, F.col("title")), F.when(F.length("snippet") > 0, F.col("snippet")))
     crit = hits.withColumn("_tokens", tx.content_tokens(joined, pack.OVERLAP_STOPWORDS)).filter(F.size("_tokens") >= tokens_needed)
-    crit = crit.select(
-        "query_item", "rank_group", "rank", F.array_distinct("_tokens").alias("_tokens")
-    ).select("query_item", "rank_group", "rank", F.size("_tokens").alias("_size"), F.explode("_tokens").alias("token"))
-    words = page.filter(~F.col("has_toc")).select(
-        *PAGE_ID, F.explode(F.array_distinct(tx.content_tokens(F.col("page_text"), pack.OVERLAP_STOPWORDS))).alias("token")
-    )
-    pairs = words.join(crit, "token").groupBy(*PAGE_ID, "query_item", "rank_group", "rank", "_size").agg(
-        F.count(F.lit(1)).alias("shared"), F.min("token").alias("keyword")
-    )
-    coverage = F.col("shared") / F.col("_size")
-    best = pairs.withColumn("coverage", coverage).groupBy("document_id", "query_item").agg(
-        F.min(F.struct((-F.col("coverage")).alias("neg"), "rank_group", "rank", "page_no", "seq", "keyword")).alias("_b")
-    )
-    chosen = best.select(
+    crit = crit.select(*CRITERION, F.array_distinct("_tokens").alias("_tokens"))
+    return crit.select(*CRITERION, F.size("_tokens").alias("_size"), F.explode("_tokens").alias("token"))
+
+
+def _page_tokens(page: DataFrame) -> DataFrame:
+    tokens = F.array_distinct(tx.content_tokens(F.col("page_text"), pack.OVERLAP_STOPWORDS))
+    return page.filter(~F.col("has_toc")).select(*PAGE_ID, F.explode(tokens).alias("token"))
+
+
+def _best_overlap(pairs: DataFrame) -> DataFrame:
+    """Best (criterion, page) of every document and item, the first on ties."""
+    counted = pairs.groupBy(*PAGE_ID, *CRITERION, "_size").agg(F.count(F.lit(1)).alias("shared"), F.min("token").alias("keyword"))
+    place = F.struct((-F.col("shared") / F.col("_size")).alias("neg"), "rank_group", "rank", "page_no", "seq", "keyword")
+    best = counted.groupBy("document_id", "query_item").agg(F.min(place).alias("_b"))
+    return best.select(
         "document_id", F.col("query_item").alias("item_no"), (-F.col("_b.neg")).alias("coverage"), F.col("_b.page_no").alias("page_no"),
         F.col("_b.seq").alias("seq"), F.col("_b.keyword").alias("keyword"),
     )
-    return chosen
+
+
+def criteria_overlap(page: DataFrame, hits: DataFrame, tokens_needed: int = 3) -> DataFrame:
+    """Best (criterion, page) of every document and item by the share of criterion tokens on the page.
+
+    An equi-join of distinct page tokens with distinct criterion tokens; counts are combined before the shuffle.
+    Columns of `hits`: query_item, rank_group, rank, title, snippet.
+    """
+    return _best_overlap(_page_tokens(page).join(_criterion_tokens(hits, tokens_needed), "token"))
+
+
+def accepted_overlap(page: DataFrame, hits: DataFrame, threshold: float = 0.7, tokens_needed: int = 3) -> DataFrame:
+    """The rows of `criteria_overlap` whose coverage reaches the threshold, without pairing on common tokens.
+
+    A page that holds the wanted share of n tokens holds at least one of any n - ceil(threshold * n) + 1 of them.
+    Taking each criterion's rarest tokens for those, only pages with a rare token become candidates; their shares
+    are then counted in full.
+    """
+    crit, words = _criterion_tokens(hits, tokens_needed), _page_tokens(page)
+    frequency = words.join(crit.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
+    needed = F.ceil(F.col("_size") * F.lit(threshold) - F.lit(1e-9))
+    probes = blocks.first_rows(
+        crit.join(frequency, "token", "left").withColumn("_df", F.coalesce("_df", F.lit(0))), CRITERION, [F.col("_df"), F.col("token")], 1 << 30, "_k"
+    ).filter(F.col("_k") <= F.col("_size") - needed + 1)
+    candidates = words.join(probes.select(*CRITERION, "token"), "token").select(*PAGE_ID, *CRITERION).distinct()
+    pairs = words.join(candidates, PAGE_ID).join(crit, [*CRITERION, "token"])
+    return _best_overlap(pairs).filter(F.col("coverage") >= threshold)
 
 
 def overlap_evidence(chosen: DataFrame, page: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -184,19 +209,30 @@ def subcontract_plan_score(text: Column, lowered: Column, minimum: float = 5.0)
 # --- substring search of many terms -----------------------------------------------------------------------------
 
 
+SHORT_TERM = 4
+
+
 def substring_hits(page: DataFrame, terms: DataFrame, lower: bool) -> DataFrame:
     """Number of distinct terms of each item that occur in each page, as substrings.
 
-    Terms (item_no, term) are runs of two or more letters or digits, so their first two characters occur side by
-    side wherever the term does.  Pages and terms meet on those two characters, then containment is checked; no
-    page is paired with terms it cannot contain.
+    Terms (item_no, term) are runs of two or more letters or digits, so an occurrence lies inside one word.  Terms
+    of up to four characters meet the distinct character runs of a page by equality.  Longer ones first meet the
+    vocabulary of all pages, which is far smaller than their text, and pages then meet the matching words by
+    equality.  No page is paired with a term it does not hold, and page text itself is never joined.
     """
     text = F.lower("page_text") if lower else F.col("page_text")
-    grams = F.array_distinct(F.regexp_extract_all(text, F.lit("(?=([0-9A-Za-z가-힣]{2}))"), F.lit(1)))
-    keyed = page.select(*PAGE_ID, text.alias("_text"), F.explode(grams).alias("_gram"))
-    probes = terms.select("item_no", "term", F.substring("term", 1, 2).alias("_gram")).distinct()
-    met = keyed.join(probes, "_gram").filter(F.contains(F.col("_text"), F.col("term")))
-    return met.groupBy(*PAGE_ID, "item_no").agg(F.count(F.lit(1)).alias("hits"))
+    runs = F.concat(*[
+        F.regexp_extract_all(text, F.lit(f"(?=([0-9A-Za-z가-힣]{{{n}}}))"), F.lit(1)) for n in range(2, SHORT_TERM + 1)
+    ])
+    asked = terms.select("item_no", "term").distinct()
+    short = page.select(*PAGE_ID, F.explode(F.array_distinct(runs)).alias("term")).join(asked.filter(F.length("term") <= SHORT_TERM), "term")
+    long_terms = asked.filter(F.length("term") > SHORT_TERM).withColumn("_key", F.substring("term", 1, SHORT_TERM))
+    words = page.select(*PAGE_ID, F.explode(F.array_distinct(F.filter(tx.words(text), lambda w: F.length(w) > SHORT_TERM))).alias("word"))
+    keys = F.array_distinct(F.regexp_extract_all("word", F.lit(f"(?=(.{{{SHORT_TERM}}}))"), F.lit(1)))
+    vocabulary = words.select("word").distinct().select("word", F.explode(keys).alias("_key"))
+    matched = vocabulary.join(long_terms, "_key").filter(F.contains(F.col("word"), F.col("term"))).select("word", "item_no", "term").distinct()
+    long = words.join(matched, "word").select(*PAGE_ID, "item_no", "term").distinct()
+    return short.select(*PAGE_ID, "item_no", "term").unionByName(long).groupBy(*PAGE_ID, "item_no").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def direct_terms(hits: DataFrame) -> DataFrame:

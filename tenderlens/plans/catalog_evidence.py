@@ -173,7 +173,7 @@ SELECT document_id, query_item AS item_no, round(coverage, 6) AS coverage, displ
   {ov.collapse('substr(t, greatest(at0 - 80, 0) + 1, least(at0 + w + 80, length(t)) - greatest(at0 - 80, 0))')} AS evidence FROM accepted""")
 def overlap_evidence(spark, sf):
     p = inp.pages(spark, sf)
-    found = ev.overlap_evidence(ev.criteria_overlap(p, requirement_hits(spark, sf)), p)
+    found = ev.overlap_evidence(ev.accepted_overlap(p, requirement_hits(spark, sf)), p)
     return found.withColumn("coverage", F.round("coverage", 6))
 
 

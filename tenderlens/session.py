@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(master: str | None = None, shuffle_partitions: int | None = None, memory: str | None = None) -> SparkSession:
     builder = (
         SparkSession.builder.appName("tenderlens")
         .config("spark.sql.adaptive.enabled", "true")
@@ -21,6 +21,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     )
     if master:
         builder = builder.master(master)
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

@@ -11,7 +11,10 @@ from tenderlens.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[4]", 4)
+    session = build_session("local[4]", 2)
+    # Rows are few and plans many: interpret them instead of compiling each one.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
