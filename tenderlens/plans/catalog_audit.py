@@ -10,6 +10,7 @@ from tenderlens.plans import inputs as inp
 from tenderlens.plans import oracle_views as ov
 from tenderlens.plans.registry import query
 from tenderlens.rules import pack
+from tenderlens.session import cut_lineage
 
 SECTION_CASES = " UNION ALL ".join(
     f"SELECT document_id, {no} AS kind_no, '{name}' AS name, {first} AS from_page, regexp_matches(t, '{'|'.join(a if b is None else f'{a}{ov.WS}*{b}' for a, b in pairs)}') AS present FROM whole"
@@ -169,13 +170,13 @@ AUDITED = GRADED.replace("FROM stored", "FROM warning")
 @query("needs_confirmation", f"""
 {BASE}, {AUDITED} SELECT document_id, parse_status <> 'ok' OR audit_score < 80 OR audit_warning_count > 0 AS needs_confirmation FROM stated""")
 def needs_confirmation(spark, sf):
-    scored, _ = audit.audit_documents(inp.pages(spark, sf), inp.documents(spark, sf))
+    scored, _ = audit.audit_documents(cut_lineage(inp.pages(spark, sf)), inp.documents(spark, sf))
     return scored.select("document_id", audit.needs_confirmation().alias("needs_confirmation"))
 
 
 @query("audit_documents", f"{BASE}, {AUDITED} SELECT {SCORE_COLUMNS} FROM stated")
 def audit_documents(spark, sf):
-    scored, _ = audit.audit_documents(inp.pages(spark, sf), inp.documents(spark, sf))
+    scored, _ = audit.audit_documents(cut_lineage(inp.pages(spark, sf)), inp.documents(spark, sf))
     return scored.select(*SCORE_COLUMNS.split(", "))
 
 
@@ -195,5 +196,5 @@ page AS MATERIALIZED (
   FROM first_page p JOIN bad b ON b.document_id = p.document_id AND b.page_no = p.page_no),
 {WARNINGS}, {AUDITED} SELECT {SCORE_COLUMNS} FROM stated""")
 def repair_round(spark, sf):
-    _, scored, _ = audit.repair_round(inp.pages(spark, sf), inp.documents(spark, sf), supplied_rows(spark, sf))
+    _, scored, _ = audit.repair_round(cut_lineage(inp.pages(spark, sf)), inp.documents(spark, sf), supplied_rows(spark, sf))
     return scored.select(*SCORE_COLUMNS.split(", "))

@@ -12,6 +12,7 @@ from tenderlens.plans import inputs as inp
 from tenderlens.plans import oracle_views as ov
 from tenderlens.plans.registry import query
 from tenderlens.rules import pack
+from tenderlens.session import cut_lineage
 
 def body_text():
     return F.col("page_text")
@@ -172,7 +173,7 @@ WITH {ov.PAGES}, {ov.LEGAL_REQUIREMENTS}, {REQUIREMENT_HIT}, {OVERLAP_HITS}, acc
 SELECT document_id, query_item AS item_no, round(coverage, 6) AS coverage, display_no,
   {ov.collapse('substr(t, greatest(at0 - 80, 0) + 1, least(at0 + w + 80, length(t)) - greatest(at0 - 80, 0))')} AS evidence FROM accepted""")
 def overlap_evidence(spark, sf):
-    p = inp.pages(spark, sf)
+    p = cut_lineage(inp.pages(spark, sf))
     found = ev.overlap_evidence(ev.accepted_overlap(p, requirement_hits(spark, sf)), p)
     return found.withColumn("coverage", F.round("coverage", 6))
 
@@ -253,7 +254,7 @@ term AS MATERIALIZED (SELECT DISTINCT query_item AS item_no, t AS term FROM (SEL
 WITH {ov.PAGES}, {ov.LEGAL_REQUIREMENTS}, {REQUIREMENT_HIT}, {DIRECT}
 SELECT document_id, page_no, item_no, count(*) AS hits FROM page JOIN term ON contains(page_text, term) GROUP BY ALL HAVING count(*) >= 2""")
 def direct_requirement_signal(spark, sf):
-    return ev.direct_requirement_signal(inp.pages(spark, sf), ev.direct_terms(requirement_hits(spark, sf))).select("document_id", "page_no", "item_no", "hits")
+    return ev.direct_requirement_signal(cut_lineage(inp.pages(spark, sf)), ev.direct_terms(requirement_hits(spark, sf))).select("document_id", "page_no", "item_no", "hits")
 
 
 CODES = "len(list_distinct(regexp_extract_all(low, '[a-z]{2,5}-[0-9]{3}'))) >= 3"
@@ -387,7 +388,7 @@ UNION ALL SELECT document_id, item_no, rank::INT, page_no, 0 FROM (SELECT docume
 @query("rank_evidence_pages", f"WITH {ov.PAGES}, {ov.LEGAL_REQUIREMENTS}, {REQUIREMENT_HIT}, {RANKED}")
 def rank_evidence_pages(spark, sf):
     items = inp.legal_requirements(spark, sf).select("item_no").distinct()
-    return ev.rank_evidence_pages(inp.pages(spark, sf), items, requirement_hits(spark, sf)).select("document_id", "item_no", "rank", "page_no", "score")
+    return ev.rank_evidence_pages(cut_lineage(inp.pages(spark, sf)), items, cut_lineage(requirement_hits(spark, sf))).select("document_id", "item_no", "rank", "page_no", "score")
 
 
 @query("select_prompt_pages", f"""
@@ -404,7 +405,7 @@ UNION ALL SELECT document_id, item_no, rank::INT, page_no, 0 FROM (SELECT docume
   WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.document_id = f.document_id AND b.item_no = item.item_no)""")
 def select_prompt_pages(spark, sf):
     items = inp.legal_requirements(spark, sf).select("item_no").distinct()
-    return ev.select_prompt_pages(inp.pages(spark, sf), items, requirement_hits(spark, sf)).select("document_id", "item_no", "rank", "page_no", "score")
+    return ev.select_prompt_pages(cut_lineage(inp.pages(spark, sf)), items, cut_lineage(requirement_hits(spark, sf))).select("document_id", "item_no", "rank", "page_no", "score")
 
 
 NEG = " OR ".join(f"regexp_matches(page_text, '(?s)직접구매.{{0,{pack.NEGATION_REACH - len(n)}}}{n}')" for n in pack.NEGATIONS)
