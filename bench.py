@@ -22,7 +22,7 @@ def main() -> None:
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 4))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = build_session(f"local[{cpus}]", cpus, os.environ.get("BENCH_MEMORY", "12g"))
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/documents.parquet").count()
