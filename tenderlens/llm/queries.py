@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_model
+from . import bpe, contamination, language_id, language_model, line_quality, secret_scan
 from .common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -23,6 +23,12 @@ def vocabulary(name: str = VOCABULARY) -> tuple[dict[bytes, int], str]:
     return bpe.load_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.where(remainder("doc_id", 3) != 1))
+    return language_id.predict_languages(docs, model).withColumn("held_out", remainder("doc_id", 3) == 1)
+
+
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").withColumn("train", remainder("doc_id", 5) != 1)
     return language_model.score_documents(docs).withColumn("held_out", remainder("doc_id", 5) == 1)
@@ -32,5 +38,25 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), *vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_lm_scores": op2_lm_scores, "op5_bpe": op5_bpe}
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"), *vocabulary())
+
+
+def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return line_quality.judge_documents(docs, line_quality.fit_field(docs, read_table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
+    "op2_lm_scores": op2_lm_scores,
+    "op5_bpe": op5_bpe,
+    "op7_secrets": op7_secrets,
+    "op8_contamination": op8_contamination,
+    "op9_quality": op9_quality,
+}
 ORACLES: dict[str, str] = {}
