@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, language_id, language_model, line_quality, secret_scan
+from . import bpe, contamination, language_id, language_model, line_quality, near_dup, secret_scan
 from .common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -38,6 +38,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), size=4)
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"), *vocabulary())
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_lm_scores": op2_lm_scores,
     "op5_bpe": op5_bpe,
+    "op6_near_dup": op6_near_dup,
     "op7_secrets": op7_secrets,
     "op8_contamination": op8_contamination,
     "op9_quality": op9_quality,
