@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, language_id, language_model, line_quality, near_dup, secret_scan
+from . import bpe, chat, contamination, language_id, language_model, line_quality, near_dup, personal_data, secret_scan, templates
 from .common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -34,6 +34,14 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(docs).withColumn("held_out", remainder("doc_id", 5) == 1)
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.list_personal_data(*personal_data.find_personal_data(read_table(spark, sf_dir, "documents")))
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), *vocabulary())
 
@@ -55,13 +63,22 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judge_documents(docs, line_quality.fit_field(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2 k and 2 k + 1 are a pair; the even one is the chosen one."""
+    turns = read_table(spark, sf_dir, "conversations")
+    return chat.format_preferences(turns, F.expr("conv_id DIV 2"), F.expr("conv_id % 2 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_lm_scores": op2_lm_scores,
+    "op3_personal_data": op3_personal_data,
+    "op4_main_text": op4_main_text,
     "op5_bpe": op5_bpe,
     "op6_near_dup": op6_near_dup,
     "op7_secrets": op7_secrets,
     "op8_contamination": op8_contamination,
     "op9_quality": op9_quality,
+    "op10_preferences": op10_preferences,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_preferences": chat.ORACLE}
