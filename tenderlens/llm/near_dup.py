@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import LOWER, batches_of, columns, ragged, stage
 from .components import components
@@ -110,6 +111,37 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows_: int
             a = b
 
 
+def _places(batches: Iterator[pa.RecordBatch], links: bool) -> Iterator[pa.RecordBatch]:
+    """Buckets of a task's classes, by chunks: each bucket's least node once, (place, node), or else the links (a, b) of the others to it.
+
+    So a bucket that holds a third of all classes is shuffled as one row a chunk.
+    """
+
+    def chunk(nodes: np.ndarray, bands: np.ndarray) -> pa.RecordBatch:
+        with np.errstate(over="ignore"):
+            place = _mix(bands + np.arange(bands.shape[1], dtype=np.uint64)).reshape(-1).view(np.int64)
+        node = np.repeat(nodes, bands.shape[1])
+        order = np.lexsort((node, place))
+        place, node = place[order], node[order]
+        fresh = np.concatenate(([True], place[1:] != place[:-1]))
+        if not links:
+            return pa.RecordBatch.from_arrays([pa.array(place[fresh]), pa.array(node[fresh])], names=["place", "node"])
+        least = node[np.maximum.accumulate(np.where(fresh, np.arange(len(node)), 0))]
+        pairs = np.unique(np.stack((node[~fresh], least[~fresh]), 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        if batch.num_rows:
+            flat = batch.column("bands").flatten().to_numpy().view(np.uint64)
+            held.append((batch.column("node").to_numpy(), flat.reshape(batch.num_rows, -1)))
+        if sum(len(n) for n, _ in held) >= 50_000:
+            yield chunk(*map(np.concatenate, zip(*held, strict=True)))
+            held = []
+    if held:
+        yield chunk(*map(np.concatenate, zip(*held, strict=True)))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], size: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
 
@@ -161,7 +193,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     One row per input row: `key`, n_shingles, component_id (smallest key that can be reached, itself included), kept (key =
     component_id). Rows with equal sets are one class before anything is compared, so any number of copies costs one row a
-    task. Classes that share a band are gathered into clusters through one star a bucket, not in pairs. Within a cluster every
+    task. Classes that share a band are gathered into clusters through one star a bucket, not in pairs, and a bucket is
+    shuffled as its least members only. Within a cluster every
     two sets are compared in full, in tasks of BLOCK_SHINGLES shingles a side, so no link between members is missed whatever
     their number; only links that join something new are written. Text without words, and null, is linked with nothing: its
     component is its own key. Rows that repeat a key are rows of their own; a null key leads no component: its row has its
@@ -171,18 +204,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     sketched = stage(picked.mapInArrow(lambda batches: _sketch(batches, size, bands, rows), f"key {kind}, n bigint, digest binary, bands array<bigint>"), "sketches")
     classes = stage(sketched.where("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("first"), F.min("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    places = classes.where("first IS NOT NULL").select("digest", F.posexplode("bands").alias("band", "hash"))
-    # one star a bucket: its members are linked to the least, first within a salt and then the salts' least to each other
-    salted = places.groupBy("band", "hash", F.pmod(F.xxhash64("digest"), F.lit(64)).alias("salt")).agg(F.min("digest").alias("local"), F.count(F.lit(1)).alias("members"))
-    buckets = salted.groupBy("band", "hash").agg(F.min("local").alias("least"), F.sum("members").alias("members")).where("members > 1")
-    local = places.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(64))).join(salted, ["band", "hash", "salt"]).where("digest <> local").select(F.col("digest").alias("a"), F.col("local").alias("b"))
-    stars = salted.join(buckets.select("band", "hash", "least"), ["band", "hash"]).where("local <> least").select(F.col("local").alias("a"), F.col("least").alias("b"))
-    clusters = components(local.union(stars)).select(F.col("node").alias("digest"), F.col("component").alias("cluster"))
-    members = stage(clusters.join(classes.select("digest", "first", "n"), "digest"), "members")
+    # nodes of candidate clusters are hashes: two classes that share one are only compared for nothing
+    nodes = classes.where("first IS NOT NULL").select(F.xxhash64("digest").alias("node"), "bands")
+    shared = Window.partitionBy("place")
+    met = nodes.mapInArrow(lambda batches: _places(batches, False), "place bigint, node bigint").select("node", F.min("node").over(shared).alias("least")).where("node <> least")
+    candidates = nodes.mapInArrow(lambda batches: _places(batches, True), "a bigint, b bigint").union(met)
+    clusters = components(candidates)
+    clustered = classes.where("first IS NOT NULL").select("digest", "first", "n", F.xxhash64("digest").alias("node"))
+    members = stage(clustered.join(clusters, "node").select("digest", "first", "n", F.col("component").alias("cluster")), "members")
     sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     asked = members.join(sizes, "cluster").select("digest", "cluster", "blocks", F.col("first").alias("key"))
-    schema = pa.schema([("cluster", pa.binary()), ("blocks", pa.int32()), ("digest", pa.binary()), ("members", pa.binary())])
-    sets = picked.join(asked, "key").select("cluster", "blocks", "digest", "text").mapInArrow(lambda batches: _sets(batches, size, schema), "cluster binary, blocks int, digest binary, members binary")
+    schema = pa.schema([("cluster", pa.int64()), ("blocks", pa.int32()), ("digest", pa.binary()), ("members", pa.binary())])
+    # shuffled whatever the sizes: the copies' ids grow with the corpus
+    sets = picked.join(asked.hint("merge"), "key").select("cluster", "blocks", "digest", "text").mapInArrow(lambda batches: _sets(batches, size, schema), "cluster bigint, blocks int, digest binary, members binary")
     block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(block, x).alias("i"), F.greatest(block, x).alias("j")))
     dealt = sets.select("cluster", F.explode(pairs).alias("pair"), "digest", "members").select("cluster", "pair.i", "pair.j", "digest", "members")
