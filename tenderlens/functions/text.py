@@ -294,3 +294,17 @@ def ellipsis(text: Column, limit: int) -> Column:
 
 def join_ints(values: Column, separator: str = ",") -> Column:
     return F.array_join(F.transform(values, lambda v: v.cast("string")), separator, "null")
+
+
+def round_thousandths(value: Column) -> Column:
+    """A share from 0 to below 2 rounded to three places by its exact binary value; only an exact tie goes to the even digit.
+
+    Rounding the shortest decimal form would send 0.8875, which is stored as a little less, up instead of down.
+    """
+    one = F.lit(1 << 62).cast("decimal(20,0)")
+    thousands = (value * F.lit(float(1 << 62))).cast("bigint").cast("decimal(20,0)") * F.lit(1000).cast("decimal(4,0)")
+    rest = thousands % one
+    whole = ((thousands - rest) / one).cast("bigint")
+    half = F.lit(1 << 61).cast("decimal(20,0)")
+    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
+    return (whole + up.cast("bigint")) / F.lit(1000.0)

@@ -86,7 +86,7 @@ def parse_judgements(responses: DataFrame) -> DataFrame:
         F.coalesce(j["confidence"], F.lit(0.65)).alias("confidence"), F.transform(digits, lambda v: v.cast("int")).alias("evidence_pages"),
         F.coalesce(j["evidence_text"], F.expr(NO_TEXTS)).alias("evidence_text"), F.coalesce(j["reason"], F.lit("")).alias("reason"),
         F.coalesce(j["recommendation"], F.lit("")).alias("recommendation"), F.coalesce(j["needs_human_review"], F.lit(False)).alias("needs_human_review"),
-        F.concat(F.lit("openai_"), "role").alias("source"), F.coalesce(j["warnings"], F.expr(NO_TEXTS)).alias("warnings"), F.lit(True).alias("used_llm"),
+        F.concat(F.lit("external_"), "role").alias("source"), F.coalesce(j["warnings"], F.expr(NO_TEXTS)).alias("warnings"), F.lit(True).alias("used_llm"),
     )
     return parsed.select(*REVIEW.fieldNames())
 

@@ -137,9 +137,9 @@ C_WORKFORCE = (
     "에 명시한 투입인력 요구 및 관리 관련 내용(인력현황, 이력사항, 전문인력, 업무분장, 투입인력 수·경력·수행조직 등)을 모두 삭제하시기 바랍니다. "
     "다만 제안요청서만으로 FP 방식 또는 SLA 방식 적용 여부가 명확하지 않은 경우 발주기관에서 해당 여부를 먼저 판단하시기 바랍니다."
 )
-R_UNDECIDED = "OPENAI_API_KEY가 설정되어 있지 않아 일반 GPT 검토를 건너뜁니다."
-C_UNDECIDED = "API 키 설정 후 다시 실행하세요."
-W_UNDECIDED = "OPENAI_API_KEY missing"
+R_UNDECIDED = "외부 판단기가 설정되어 있지 않아 일반 검토를 건너뜁니다."
+C_UNDECIDED = "외부 판단기 설정 후 다시 실행하세요."
+W_UNDECIDED = "external judge missing"
 
 
 def rule_success(df: DataFrame, item_no: str, reason=R_RULE_OK) -> DataFrame:
@@ -159,7 +159,7 @@ def overlap_review(
     )
     percent = F.concat(F.bround(F.col("coverage") * 100, 0).cast("int").cast("string"), F.lit("%"))
     reason = F.concat(F.lit("DB 기준문구 핵심 키워드의 "), percent, F.lit(f"가 {place} 확인되어 70% 기준을 충족했습니다."))
-    confidence = F.bround(F.least(F.lit(cap), F.lit(base) + F.col("coverage") * 0.5), 3)
+    confidence = tx.round_thousandths(F.least(F.lit(cap), F.lit(base) + F.col("coverage") * 0.5))
     return review(own, item_no, route, pack.COMPLIANT, True, confidence, source, reason)
 
 
@@ -197,12 +197,12 @@ def joined_compact(page: DataFrame, chars: int) -> DataFrame:
 
 
 EDGE = 130
-EDGE_PAGES = 4
 
 
 def purchase_facts(page: DataFrame) -> DataFrame:
     """Per document: whether purchase wording occurs, whether it is negated, the amounts and trial terms near it."""
-    text = joined_text(page, EDGE, EDGE_PAGES).withColumn("_t", F.concat("page_text", "_after"))
+    # each neighbour adds one character at least, the joining blank
+    text = joined_text(page, EDGE, EDGE + 1).withColumn("_t", F.concat("page_text", "_after"))
     own = F.length("page_text")
     words = [*pack.COMMERCIAL_SW, *pack.PURCHASE_ACTIONS]
 

@@ -86,7 +86,7 @@ def choose_final(chosen: DataFrame, status: Column, warnings: Column) -> DataFra
     confidence = F.when(free, F.col("c.confidence")).otherwise(F.least(F.col("c.confidence"), F.lit(0.69)))
     return chosen.select(
         *KEY, status.alias("final_status"), F.col("c.result").alias("final_result"), F.col("c.is_target").alias("is_target"),
-        F.bround(confidence, 3).alias("confidence"), F.col("c.evidence_pages").alias("evidence_pages"), F.col("c.evidence_text").alias("evidence_text"),
+        tx.round_thousandths(confidence).alias("confidence"), F.col("c.evidence_pages").alias("evidence_pages"), F.col("c.evidence_text").alias("evidence_text"),
         F.col("c.reason").alias("reason"), F.col("c.recommendation").alias("recommendation"), warnings.alias("warnings"),
     ).select(*FINAL_REVIEW.fieldNames())
 

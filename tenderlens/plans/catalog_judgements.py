@@ -78,7 +78,7 @@ OVERLAP = f"""{ov.LEGAL_REQUIREMENTS}, {ce.REQUIREMENT_HIT}, {ce.OVERLAP_HITS},
 @query("item_keyword", f"""
 WITH {BASE}, {keyword_cte('1')}, {OVERLAP}, near AS (SELECT * FROM overlap WHERE item_no = '1' AND document_id NOT IN (SELECT document_id FROM kw))
 SELECT {row('1', pack.COMPLIANT, 'true', 0.88, 'pages', 'texts', jd.R_RULE_OK, '', 'python_rule')} FROM kw
-UNION ALL SELECT {row('1', pack.COMPLIANT, 'true', 'round(least(0.9, 0.45 + coverage * 0.5), 3)', 'pages', 'texts', "('DB 기준문구 핵심 키워드의 ' || printf('%.0f', coverage * 100) || '%가 RFP 후보 페이지에서 확인되어 70% 기준을 충족했습니다.')", '', 'python_rule_rag_overlap')} FROM near
+UNION ALL SELECT {row('1', pack.COMPLIANT, 'true', ov.round_thousandths('least(0.9, 0.45 + coverage * 0.5)'), 'pages', 'texts', "('DB 기준문구 핵심 키워드의 ' || printf('%.0f', coverage * 100) || '%가 RFP 후보 페이지에서 확인되어 70% 기준을 충족했습니다.')", '', 'python_rule_rag_overlap')} FROM near
 UNION ALL {OPEN('1')} FROM doc WHERE document_id NOT IN (SELECT document_id FROM kw) AND document_id NOT IN (SELECT document_id FROM near)""")
 def item_keyword(spark, sf):
     page, signals, documents = corpus(spark, sf, "1")

@@ -62,6 +62,9 @@ def final_shown(df):
     )
 
 
+FINAL_CONFIDENCE = ov.round_thousandths(f"CASE WHEN final_status IN ('{pack.STATUS_AUTO}', '{pack.STATUS_ESCALATED}') THEN confidence ELSE least(confidence, 0.69) END")
+
+
 def verify_sql(escalated: bool) -> str:
     esc = """esc AS (SELECT o_orderkey AS document_id, CASE WHEN o_orderkey % 2 = 0 THEN '준수' ELSE '미준수' END AS result, true AS is_target FROM orders WHERE o_orderstatus = 'F'),
 matching AS (SELECT r.*, r.result = e.result AND r.is_target IS NOT DISTINCT FROM e.is_target AS agrees FROM g r JOIN esc e ON e.document_id = r.document_id),
@@ -88,7 +91,7 @@ pool AS (SELECT s.document_id, s.item_no, k, seq, result, is_target, confidence,
 picked AS (SELECT *, CASE k WHEN 'none' THEN '{pack.STATUS_HUMAN}' WHEN 'fail' THEN '{pack.STATUS_PARSE_HOLD}' WHEN 'off' THEN '{pack.STATUS_AUTO}' WHEN 'bare' THEN '{pack.STATUS_NO_EVIDENCE}' WHEN 'esc' THEN '{pack.STATUS_ESCALATED}'
     WHEN 'single' THEN '{pack.STATUS_AUTO}' WHEN 'most' THEN '{pack.STATUS_AUTO}' WHEN 'clash' THEN '{pack.STATUS_CONFLICT}' ELSE '{pack.STATUS_HUMAN}' END AS final_status
   FROM pool QUALIFY row_number() OVER (PARTITION BY document_id, item_no ORDER BY CASE WHEN k = 'off' THEN 0 ELSE (len(evidence_pages) = 0)::INT END, confidence DESC, seq) = 1)
-SELECT document_id, item_no, final_status, result AS final_result, is_target, round(CASE WHEN final_status IN ('{pack.STATUS_AUTO}', '{pack.STATUS_ESCALATED}') THEN confidence ELSE least(confidence, 0.69) END, 3) AS confidence,
+SELECT document_id, item_no, final_status, result AS final_result, is_target, {FINAL_CONFIDENCE} AS confidence,
   array_to_string(evidence_pages, ',') AS pages, array_to_string(evidence_text, '|') AS texts, reason, recommendation,
   CASE k WHEN 'none' THEN '{pack.WARN_NO_ACTIVE}' WHEN 'fail' THEN '{pack.WARN_PARSE_FAIL}' WHEN 'bare' THEN '{pack.WARN_UNGROUNDED}' WHEN 'clash' THEN '{pack.WARN_CONFLICT}' ELSE '' END AS warnings FROM picked"""
 
@@ -104,7 +107,7 @@ def verify_escalated(spark, sf):
 
 
 @query("choose_final", f"""
-WITH {ov.REVIEWS} SELECT document_id, item_no, result AS final_result, round(least(confidence, 0.69), 3) AS confidence, reason FROM review
+WITH {ov.REVIEWS} SELECT document_id, item_no, result AS final_result, {ov.round_thousandths('least(confidence, 0.69)')} AS confidence, reason FROM review
 QUALIFY row_number() OVER (PARTITION BY document_id, item_no ORDER BY len(evidence_pages) = 0, confidence DESC, seq) = 1""")
 def choose_final(spark, sf):
     r = inp.reviews(spark, sf)

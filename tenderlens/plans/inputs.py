@@ -294,7 +294,7 @@ def escalated_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("document_id"), (k % 18 + 1).cast("string").alias("item_no"), F.lit(0).cast("long").alias("seq"), F.lit("verification_escalation").alias("route_type"),
         F.when(k % 2 == 0, pack.COMPLIANT).otherwise(pack.NON_COMPLIANT).alias("result"), F.lit(True).alias("is_target"), F.lit(0.8).alias("confidence"),
         F.array(F.lit(99)).alias("evidence_pages"), F.array(F.lit("cited")).alias("evidence_text"), F.lit("escalated").alias("reason"), F.lit("").alias("recommendation"),
-        F.lit(False).alias("needs_human_review"), F.lit("openai_escalation").alias("source"), F.array().cast("array<string>").alias("warnings"), F.lit(True).alias("used_llm"),
+        F.lit(False).alias("needs_human_review"), F.lit("external_escalation").alias("source"), F.array().cast("array<string>").alias("warnings"), F.lit(True).alias("used_llm"),
     )
 
 

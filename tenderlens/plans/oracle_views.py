@@ -221,3 +221,10 @@ def spans(source: str, text: str, regex: str, columns: str, name: str) -> str:
   SELECT {columns}, t, k::INT AS k, ms[k] AS value,
     (list_sum(list_transform(gaps[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda m: length(m))), 0))::BIGINT AS start
   FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM {name}_part))"""
+
+
+def round_thousandths(value: str) -> str:
+    """SQL that rounds a DOUBLE from 0 to below 2 to three places by its exact binary value."""
+    m = f"((({value})::DOUBLE * pow(2, 62))::HUGEINT * 1000)"
+    whole, rest = f"({m} // 4611686018427387904::HUGEINT)", f"({m} % 4611686018427387904::HUGEINT)"
+    return f"(({whole} + CASE WHEN {rest} > 2305843009213693952::HUGEINT OR ({rest} = 2305843009213693952::HUGEINT AND {whole} % 2 = 1) THEN 1 ELSE 0 END) / 1000.0::DOUBLE)"

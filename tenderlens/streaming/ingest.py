@@ -6,6 +6,7 @@ restart from the checkpoint neither loses nor doubles events.  State is always d
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,10 +95,22 @@ def finalize_documents(page: DataFrame, document: DataFrame, finished: DataFrame
     return status, stored
 
 
-def finalize_stream(events: DataFrame, page: DataFrame, document: DataFrame, selected: DataFrame, log_path: str, out_path: str, checkpoint: str) -> StreamingQuery:
+def _written(spark: SparkSession, out_path: str, batch_id: int) -> DataFrame | None:
+    """Documents that other batches have written; a batch that runs again replaces its own folder."""
+    try:
+        found = spark.read.parquet(out_path)
+    except AnalysisException as problem:
+        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return found.filter(F.col("batch") != batch_id).select("document_id").distinct()
+
+
+def finalize_stream(events: DataFrame, page: DataFrame, document: DataFrame, selected: DataFrame, log_path: str, out_path: str, checkpoint: str, jobs: DataFrame | None = None) -> StreamingQuery:
     """After every micro-batch, documents whose pages are all in are finalised and written.
 
-    The result of a batch is its own folder; a document written by an earlier batch is not written again.
+    The result of a batch is its own folder. A document that another batch has written is not written again, however often its
+    pages are delivered; nor is one whose job (job_id, status in `jobs`) is over.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -106,6 +119,11 @@ def finalize_stream(events: DataFrame, page: DataFrame, document: DataFrame, sel
         touched = batch.select("job_id").distinct()
         state = latest_state(read_log(spark, log_path).join(touched, "job_id", "left_semi"))
         done = finished_jobs(selected.join(touched, "job_id", "left_semi"), state).withColumnRenamed("job_id", "document_id")
+        if jobs is not None:
+            done = done.join(jobs.filter(F.col("status").isin(TERMINAL)).select(F.col("job_id").alias("document_id")), "document_id", "left_anti")
+        earlier = _written(spark, out_path, batch_id)
+        if earlier is not None:
+            done = done.join(earlier, "document_id", "left_anti")
         status, _ = finalize_documents(page, document, done)
         status.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 

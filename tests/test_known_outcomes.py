@@ -218,7 +218,7 @@ def test_ungrounded_and_conflicting_votes(spark):
 
 def test_escalated_row_takes_matching_evidence(spark):
     rows = reviews(spark, {"evidence_pages": [3], "evidence_text": ["셋째 쪽"]}, {"seq": 2, "result": "미준수", "evidence_pages": [7], "evidence_text": ["일곱째"]})
-    raised = reviews(spark, {"seq": 9, "confidence": 0.9, "evidence_pages": [99], "evidence_text": ["없음"], "source": "openai_escalation"})
+    raised = reviews(spark, {"seq": 9, "confidence": 0.9, "evidence_pages": [99], "evidence_text": ["없음"], "source": "external_escalation"})
     got = verify.verify(rows, statuses(spark), raised).collect()[0]
     assert got.final_status == "상위 GPT 최종 판정" and got.evidence_pages == [3]
 
