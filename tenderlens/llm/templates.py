@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, columns
+from .common import batches_of, columns, stage
 
 # Kinds of elements, and words that name what is no main text.
 RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
@@ -26,6 +26,9 @@ OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "
 #: Containers that can hold a page's main text; the last element of a path.
 CONTAINER = r"(^|/)(article|main|section|div|body|td|center)([.#@][^/]*)?$"
 
+#: Parts that a host's pages are dealt into.
+SALTS = 64
+
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""")
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.IGNORECASE)
 _PARTS = re.compile("[a-z]+")
@@ -205,7 +208,7 @@ def deduce_templates(pages: DataFrame, key: str = "page_id", url: str = "url", h
     """
     picked = pages.select(F.col(key).cast("string").alias("key"), host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
     counted = picked.mapInArrow(_count, "host string, token string, pages bigint, sum_a bigint, sum_b bigint, low bigint, high bigint, chars bigint")
-    tokens = counted.groupBy("host", "token").agg(*(F.sum(x).alias(x) for x in ("pages", "sum_a", "sum_b", "chars")), F.min("low").alias("low"), F.max("high").alias("high"))
+    tokens = stage(counted.groupBy("host", "token").agg(*(F.sum(x).alias(x) for x in ("pages", "sum_a", "sum_b", "chars")), F.min("low").alias("low"), F.max("high").alias("high")), "tokens")
     whole = tokens.where("token = ''").select("host", F.col("pages").alias("of"), F.col("chars").alias("all_chars"))
     common = tokens.join(whole, "host").where("2 * pages >= of")
     same = (F.col("low") == F.col("high")) & (F.col("of") > 2) & (F.col("pages") == F.col("of"))
@@ -248,9 +251,11 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     pages have the empty text; a null or odd url belongs to the host ''. Repeated rows count as often as they occur.
     """
     kind = pages.schema[key].dataType.simpleString()
-    # a host can have a third of all pages: both sides of this join are shuffled plainly, so that Spark can split its partition
+    # a host can have a third of all pages: they are dealt out by a salt, and its template, one row, goes with each
     picked = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    joined = picked.join(deduce_templates(pages, key, url, html), "host", "left").select("key", "url", "html", "content", "constant")
+    salted = picked.withColumn("salt", F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)))
+    held = deduce_templates(pages, key, url, html).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    joined = salted.join(held, ["host", "salt"], "left").select("key", "url", "html", "content", "constant")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
