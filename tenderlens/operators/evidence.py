@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tenderlens.functions import text as tx
 from tenderlens.operators import blocks
@@ -92,14 +93,13 @@ def _criterion_tokens(hits: DataFrame, tokens_needed: int) -> DataFrame:
     return crit.select(*CRITERION, F.size("_tokens").alias("_size"), F.explode("_tokens").alias("token"))
 
 
-def _page_tokens(page: DataFrame) -> DataFrame:
-    tokens = F.array_distinct(tx.content_tokens(F.col("page_text"), pack.OVERLAP_STOPWORDS))
-    return page.filter(~F.col("has_toc")).select(*PAGE_ID, F.explode(tokens).alias("token"))
+def page_words(page: DataFrame) -> DataFrame:
+    """Distinct content words of the pages without a table of contents, one row per page."""
+    return page.filter(~F.col("has_toc")).select(*PAGE_ID, F.array_distinct(tx.content_tokens(F.col("page_text"), pack.OVERLAP_STOPWORDS)).alias("words"))
 
 
-def _best_overlap(pairs: DataFrame) -> DataFrame:
+def _best_overlap(counted: DataFrame) -> DataFrame:
     """Best (criterion, page) of every document and item, the first on ties."""
-    counted = pairs.groupBy(*PAGE_ID, *CRITERION, "_size").agg(F.count(F.lit(1)).alias("shared"), F.min("token").alias("keyword"))
     place = F.struct((-F.col("shared") / F.col("_size")).alias("neg"), "rank_group", "rank", "page_no", "seq", "keyword")
     best = counted.groupBy("document_id", "query_item").agg(F.min(place).alias("_b"))
     return best.select(
@@ -114,25 +114,32 @@ def criteria_overlap(page: DataFrame, hits: DataFrame, tokens_needed: int = 3) -
     An equi-join of distinct page tokens with distinct criterion tokens; counts are combined before the shuffle.
     Columns of `hits`: query_item, rank_group, rank, title, snippet.
     """
-    return _best_overlap(_page_tokens(page).join(_criterion_tokens(hits, tokens_needed), "token"))
+    held = page_words(page).select(*PAGE_ID, F.explode("words").alias("token"))
+    pairs = held.join(_criterion_tokens(hits, tokens_needed), "token")
+    return _best_overlap(pairs.groupBy(*PAGE_ID, *CRITERION, "_size").agg(F.count(F.lit(1)).alias("shared"), F.min("token").alias("keyword")))
 
 
-def accepted_overlap(page: DataFrame, hits: DataFrame, threshold: float = 0.7, tokens_needed: int = 3) -> DataFrame:
+def accepted_overlap(words: DataFrame, hits: DataFrame, threshold: float = 0.7, tokens_needed: int = 3) -> DataFrame:
     """The rows of `criteria_overlap` whose coverage reaches the threshold, without pairing on common tokens.
 
-    A page that holds the wanted share of n tokens holds at least one of any n - ceil(threshold * n) + 1 of them.
-    Taking each criterion's rarest tokens for those, only pages with a rare token become candidates; their shares
-    are then counted in full.
+    `words`: a (staged) result of `page_words`.  A page that holds the wanted number of a criterion's n tokens holds at
+    least two of any n - wanted + 2 of them.  Taking each criterion's rarest tokens for those, only pages with two rare
+    tokens become candidates; what they share is then counted from the two arrays, without another row per token.
     """
-    crit, words = _criterion_tokens(hits, tokens_needed), _page_tokens(page)
-    frequency = words.join(crit.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
-    needed = F.ceil(F.col("_size") * F.lit(threshold) - F.lit(1e-9))
-    probes = blocks.first_rows(
-        crit.join(frequency, "token", "left").withColumn("_df", F.coalesce("_df", F.lit(0))), CRITERION, [F.col("_df"), F.col("token")], 1 << 30, "_k"
-    ).filter(F.col("_k") <= F.col("_size") - needed + 1)
-    candidates = words.join(probes.select(*CRITERION, "token"), "token").select(*PAGE_ID, *CRITERION).distinct()
-    pairs = words.join(candidates, PAGE_ID).join(crit, [*CRITERION, "token"])
-    return _best_overlap(pairs).filter(F.col("coverage") >= threshold)
+    crit = _criterion_tokens(hits, tokens_needed)
+    held = words.select(*PAGE_ID, F.explode("words").alias("token"))
+    frequency = held.join(crit.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
+    wanted = F.ceil(F.col("_size") * F.lit(threshold) - F.lit(1e-9))
+    least = F.least(F.lit(2).cast("long"), wanted)
+    rarest = Window.partitionBy(*CRITERION).orderBy("_df", "token")
+    ranked = crit.join(frequency, "token", "left").withColumn("_df", F.coalesce("_df", F.lit(0))).withColumn("_k", F.row_number().over(rarest))
+    probes = ranked.filter(F.col("_k") <= F.col("_size") - wanted + least).select(*CRITERION, "token", least.alias("_least"))
+    met = held.join(probes, "token").groupBy(*PAGE_ID, *CRITERION, "_least").agg(F.count(F.lit(1)).alias("_met"))
+    candidates = met.filter(F.col("_met") >= F.col("_least")).drop("_met", "_least")
+    sets = crit.groupBy(*CRITERION, "_size").agg(F.collect_list("token").alias("_tokens"))
+    both = candidates.join(words, PAGE_ID).join(sets, CRITERION).withColumn("_both", F.array_intersect("words", "_tokens"))
+    counted = both.select(*PAGE_ID, *CRITERION, "_size", F.size("_both").alias("shared"), F.array_min("_both").alias("keyword"))
+    return _best_overlap(counted.filter(F.col("shared") >= wanted)).filter(F.col("coverage") >= threshold)
 
 
 def overlap_evidence(chosen: DataFrame, page: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -463,13 +470,18 @@ def _with_fallback(top: DataFrame, page: DataFrame, items: DataFrame, limit: int
     return top.unionByName(rest.select("document_id", "item_no", "rank", "page_no", "seq", F.lit(0).cast("long").alias("score")))
 
 
+def _named_items(page: DataFrame, items: DataFrame) -> DataFrame:
+    """(page, item_no): the item numbers of `items` that occur in a page's text."""
+    every = items.select(F.array_sort(F.collect_set("item_no"))).scalar()
+    low = page.select(*PAGE_ID, F.lower("page_text").alias("_low"), every.alias("_every"))
+    return low.select(*PAGE_ID, F.explode(F.filter("_every", lambda n: F.contains(F.col("_low"), n))).alias("item_no"))
+
+
 def rank_evidence_pages(page: DataFrame, items: DataFrame, hits: DataFrame, limit: int = 10) -> DataFrame:
     """Best pages per document and item: query-term hits, characteristic signals, the item number, no warning."""
     terms = query_terms(hits, pack.RANK_STOPWORDS)
     by_term = substring_hits(page, terms, lower=True).select(*PAGE_ID, "item_no", F.col("hits").alias("points"))
-    low = F.lower("page_text")
-    numbers = [*pack.DEFAULT_ITEMS, "2-1"]
-    mentioned = page.select(*PAGE_ID, F.explode(F.array_compact(F.array(*[F.when(low.contains(n), F.lit(n)) for n in numbers]))).alias("item_no")).withColumn(
+    mentioned = _named_items(page, items).withColumn(
         "points", F.lit(4).cast("long")
     )
     # A two-figure item number that is also a query term counts once.
@@ -496,9 +508,7 @@ def select_prompt_pages(page: DataFrame, items: DataFrame, hits: DataFrame, max_
     short = narrow.filter(F.col("_n") <= max_pages).select("document_id")
     long_pages = page.join(short, "document_id", "left_anti")
     by_term = substring_hits(long_pages, query_terms(hits, []), lower=True).select(*PAGE_ID, "item_no", F.col("hits").alias("points"))
-    low = F.lower("page_text")
-    numbers = [*pack.DEFAULT_ITEMS, "2-1"]
-    mentioned = long_pages.select(*PAGE_ID, F.explode(F.array_compact(F.array(*[F.when(low.contains(n), F.lit(n)) for n in numbers]))).alias("item_no")).withColumn(
+    mentioned = _named_items(long_pages, items).withColumn(
         "points", F.lit(1).cast("long")
     )
     own = query_terms(hits, []).filter("term = item_no").select("item_no")

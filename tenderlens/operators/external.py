@@ -203,13 +203,13 @@ def direct_pages(page: DataFrame, hits: DataFrame, items: Sequence[str]) -> Data
 def direct_evidence(review: DataFrame, page: DataFrame, hits: DataFrame) -> DataFrame:
     """Evidence of external judgements replaced by the pages that bear on the item, or reduced to such pairs."""
     items = [i for i in [*pack.DEFAULT_ITEMS, "2-1"] if i != "16"]
-    scanned = direct_pages(page, hits, items).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("place", "page", "text"))).alias("_s"))
+    scanned = direct_pages(page, hits, items).join(review.select(*KEY).distinct(), KEY, "left_semi").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("place", "page", "text"))).alias("_s"))
     texts = ev.evidence_pairs(review, [*KEY, "seq"]).filter("page is not null")
     texts = texts.join(review.select(*KEY, "seq", F.size("evidence_text").alias("_nt")), [*KEY, "seq"]).filter("pos < _nt").drop("_nt")
-    as_pages = texts.withColumn("_id", F.concat_ws("|", *KEY, "seq", "pos")).select(
-        F.xxhash64("_id").alias("document_id"), F.lit(0).alias("page_no"), F.lit(0).cast("long").alias("seq"), F.col("text").alias("page_text"), "_id")
-    signal = ev.substring_hits(as_pages.drop("_id"), ev.direct_terms(hits), lower=False).filter("hits >= 2").select(F.col("document_id").alias("_h"), F.col("item_no").alias("_item"))
-    marked = texts.withColumn("_h", F.xxhash64(F.concat_ws("|", *KEY, "seq", "pos"))).join(signal.withColumn("_direct", F.lit(True)).withColumnRenamed("_item", "item_no"), ["_h", "item_no"], "left")
+    pair = F.to_json(F.struct(*KEY, "seq", "pos"))
+    as_pages = texts.select(pair.alias("document_id"), F.lit(0).alias("page_no"), F.lit(0).cast("long").alias("seq"), F.col("text").alias("page_text"))
+    signal = ev.substring_hits(as_pages, ev.direct_terms(hits), lower=False).filter("hits >= 2").select(F.col("document_id").alias("_pair"), F.col("item_no").alias("_item"))
+    marked = texts.withColumn("_pair", pair).join(signal.withColumn("_direct", F.lit(True)).withColumnRenamed("_item", "item_no"), ["_pair", "item_no"], "left")
     c, t = tx.compact(F.col("text")), F.col("text")
     by_item = F.lit(None).cast("boolean")
     for i, p in PREDICATES.items():

@@ -349,7 +349,7 @@ def _merge(df: DataFrame, merged_item, fold) -> DataFrame:
     named = df.withColumn("_item", merged_item)
     rows = named.groupBy("document_id", "_item").agg(F.array_sort(F.collect_list(F.struct("seq", *_FIELDS))).alias("_r"), F.min("seq").alias("seq"))
     first = F.struct(*[rows["_r"][0][f].alias(f) for f in _FIELDS])
-    merged = F.aggregate(F.slice("_r", 2, 1 << 20), first, lambda acc, r: fold(F.col("_item"), acc, r))
+    merged = F.aggregate(F.slice("_r", F.lit(2), F.size("_r")), first, lambda acc, r: fold(F.col("_item"), acc, r))
     done = rows.withColumn("_m", merged)
     return done.select("document_id", F.col("_item").alias("item_no"), "seq", *[F.col(f"_m.{f}").alias(f) for f in _FIELDS])
 

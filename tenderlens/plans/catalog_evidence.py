@@ -120,19 +120,19 @@ def document_coverage(spark, sf):
 
 @query("greedy_cover", f"""
 WITH RECURSIVE {ov.PAGES}, {REUSE_MASKS},
-cand AS (SELECT document_id, page_no, mask & 31 AS mask, row_number() OVER (PARTITION BY document_id ORDER BY bit_count(mask & 31) DESC, page_no) AS k
-  FROM reuse WHERE NOT has_toc AND mask & 31 <> 0),
+cand AS (SELECT document_id, page_no, mask & 127 AS mask, row_number() OVER (PARTITION BY document_id ORDER BY bit_count(mask & 127) DESC, page_no) AS k
+  FROM reuse WHERE NOT has_toc AND mask & 127 <> 0),
 walk AS (
   SELECT document_id, 0::BIGINT AS k, 0 AS covered, []::INT[] AS kept FROM (SELECT DISTINCT document_id FROM cand)
   UNION ALL
-  SELECT w.document_id, c.k, CASE WHEN w.covered <> 31 AND (c.mask & ~w.covered) <> 0 THEN w.covered | c.mask ELSE w.covered END,
-    CASE WHEN w.covered <> 31 AND (c.mask & ~w.covered) <> 0 THEN list_append(w.kept, c.page_no) ELSE w.kept END
+  SELECT w.document_id, c.k, CASE WHEN w.covered <> 127 AND (c.mask & ~w.covered) <> 0 THEN w.covered | c.mask ELSE w.covered END,
+    CASE WHEN w.covered <> 127 AND (c.mask & ~w.covered) <> 0 THEN list_append(w.kept, c.page_no) ELSE w.kept END
   FROM walk w JOIN cand c ON c.document_id = w.document_id AND c.k = w.k + 1)
-SELECT document_id, array_to_string(kept, ',') AS pages FROM walk WHERE covered = 31 QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY k DESC) = 1""")
+SELECT document_id, array_to_string(kept, ',') AS pages FROM walk WHERE covered = 127 QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY k DESC) = 1""")
 def greedy_cover(spark, sf):
-    masks = reuse_masks(spark, sf).withColumn("mask", F.col("mask").bitwiseAND(31)).filter("mask <> 0")
+    masks = reuse_masks(spark, sf).withColumn("mask", F.col("mask").bitwiseAND(127)).filter("mask <> 0")
     masks = masks.withColumn("fewer", -F.bit_count("mask")).withColumn("at", F.col("page_no")).withColumn("tie", F.col("seq")).drop("c")
-    cover = ev.greedy_cover(masks, 31, ["fewer", "at", "tie"])
+    cover = ev.greedy_cover(masks, 127, ["fewer", "at", "tie"])
     listed = cover.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("step", "page_no"))).alias("s"))
     return listed.select("document_id", F.array_join(F.transform("s", lambda s: s["page_no"].cast("string")), ",").alias("pages"))
 
@@ -174,7 +174,7 @@ SELECT document_id, query_item AS item_no, round(coverage, 6) AS coverage, displ
   {ov.collapse('substr(t, greatest(at0 - 80, 0) + 1, least(at0 + w + 80, length(t)) - greatest(at0 - 80, 0))')} AS evidence FROM accepted""")
 def overlap_evidence(spark, sf):
     p = cut_lineage(inp.pages(spark, sf))
-    found = ev.overlap_evidence(ev.accepted_overlap(p, requirement_hits(spark, sf)), p)
+    found = ev.overlap_evidence(ev.accepted_overlap(cut_lineage(ev.page_words(p)), requirement_hits(spark, sf)), p)
     return found.withColumn("coverage", F.round("coverage", 6))
 
 

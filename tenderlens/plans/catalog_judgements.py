@@ -67,7 +67,7 @@ def keyword_branches(item, without):
 
 
 def overlaps(spark, sf, page):
-    return ev.overlap_evidence(ev.accepted_overlap(page, ce.requirement_hits(spark, sf)), page)
+    return ev.overlap_evidence(ev.accepted_overlap(ev.page_words(page), ce.requirement_hits(spark, sf)), page)
 
 
 OVERLAP = f"""{ov.LEGAL_REQUIREMENTS}, {ce.REQUIREMENT_HIT}, {ce.OVERLAP_HITS}, overlap AS (

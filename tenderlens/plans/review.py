@@ -51,7 +51,7 @@ def overlaps(page: DataFrame, hits: DataFrame, items: list[str]) -> DataFrame:
     for route, pages_ in routes.items():
         own = [i for i in items if i in pack.ROUTES[route]]
         if own:
-            found.append(ev.overlap_evidence(ev.accepted_overlap(pages_, hits.filter(F.col("query_item").isin(own))), page))
+            found.append(ev.overlap_evidence(ev.accepted_overlap(ev.page_words(pages_), hits.filter(F.col("query_item").isin(own))), page))
     return reduce(lambda a, b: a.unionByName(b), found)
 
 

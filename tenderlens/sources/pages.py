@@ -103,7 +103,7 @@ def scan_page_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     text, table = tx.strip(i["page_text"]), tx.strip(i["tables_markdown"])
     joined = F.when(table != "", tx.strip(F.concat(text, F.lit(TABLE_MARK), table))).otherwise(text)
     rows = one.select(
-        "document_id", (F.col("response_id") * 1000 + F.col("k")).cast("long").alias("seq"), F.col("z._no").alias("page_no"), joined.alias("page_text"),
+        "document_id", (F.shiftleft(F.col("response_id").cast("long"), 32) + F.col("k")).alias("seq"), F.col("z._no").alias("page_no"), joined.alias("page_text"),
         tx.first_int(i["rfp_printed_page_no"]).alias("printed_page_no"), *[F.coalesce(i[n], F.lit(False)).alias(f) for f, n in JSON_FLAGS.items()], i["parser_warning"].alias("parser_warning"),
     )
     return rows.withColumn("text_length", tx.text_length(F.col("page_text"))), errors

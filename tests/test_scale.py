@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tenderlens.operators import audit, blocks, evidence, pages, signals, verify
 from tenderlens.plans.catalog import ORACLES, QUERIES
+from tenderlens.sources import pages as source_pages
 from tests.conftest import page_row
 
 SF = "/root/testdata/sf0.001"
@@ -74,7 +75,7 @@ def test_accepted_overlap_equals_the_full_join(spark, make_pages):
     hits = spark.createDataFrame([(str(i), 0, i, "", " ".join(rng.sample(vocabulary, 6))) for i in range(12)], "query_item string, rank_group int, rank int, title string, snippet string")
     page = make_pages(rows)
     full = {tuple(r) for r in evidence.criteria_overlap(page, hits).filter("coverage >= 0.7").collect()}
-    assert full and {tuple(r) for r in evidence.accepted_overlap(page, hits).collect()} == full
+    assert full and {tuple(r) for r in evidence.accepted_overlap(evidence.page_words(page), hits).collect()} == full
 
 
 def test_substring_hits_equal_a_nested_loop(spark, make_pages):
@@ -104,3 +105,29 @@ def test_scan_reads_only_what_it_needs(spark):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 150
+
+
+def test_a_word_on_every_page_makes_no_candidates(spark, make_pages):
+    rows = [page_row(p, f"everywhere common{p % 7} one{p} two{p} three{p}", doc=p % 9) for p in range(1, 200)]
+    rows.append(page_row(900, "everywhere alpha beta gamma", doc=3))
+    hits = spark.createDataFrame([("1", 0, 0, "", "everywhere alpha beta gamma")], "query_item string, rank_group int, rank int, title string, snippet string")
+    found = evidence.accepted_overlap(evidence.page_words(make_pages(rows)), hits)
+    assert [(r.document_id, r.page_no, r.coverage) for r in found.collect()] == [(3, 900, 1.0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(words") == 2  # frequencies and candidates; what pages share is counted in arrays
+
+
+def test_item_numbers_are_those_asked_for(spark, make_pages):
+    page = make_pages([page_row(1, "nothing here"), page_row(2, "see item 77b for this")])
+    items = spark.createDataFrame([("77b",)], "item_no string")
+    hits = spark.createDataFrame([], "query_item string, rank_group int, rank int, title string, category string, snippet string")
+    assert [(r.page_no, r.score) for r in evidence.rank_evidence_pages(page, items, hits).collect()] == [(2, 4)]
+
+
+def test_long_responses_share_no_sequence_number(spark):
+    import json
+
+    text = json.dumps({"pages": [{"pdf_page_no": str(i), "page_text": "t"} for i in range(1, 1203)]})
+    rows = spark.createDataFrame([(1, r, [1], text) for r in (1, 2)], "document_id bigint, response_id bigint, requested array<int>, output_text string")
+    found, _ = source_pages.scan_page_responses(rows)
+    assert found.select("seq").distinct().count() == found.count() == 2404
