@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from tenderlens.functions import text as tx
 from tenderlens.operators import blocks
 from tenderlens.rules import pack
+from tenderlens.session import cut_lineage
 
 PAGE_ID = ["document_id", "page_no", "seq"]
 
@@ -123,17 +124,18 @@ def accepted_overlap(words: DataFrame, hits: DataFrame, threshold: float = 0.7,
     """The rows of `criteria_overlap` whose coverage reaches the threshold, without pairing on common tokens.
 
     `words`: a (staged) result of `page_words`.  A page that holds the wanted number of a criterion's n tokens holds at
-    least two of any n - wanted + 2 of them.  Taking each criterion's rarest tokens for those, only pages with two rare
-    tokens become candidates; what they share is then counted from the two arrays, without another row per token.
+    least k of any n - wanted + k of them.  With a quarter of the wanted number for k and each criterion's rarest tokens
+    for those, few pages become candidates; what they share is then counted from the two arrays, without another row per
+    token.  Criteria tokens and probes, both of the rule book's size, are staged so that Spark joins them by their real size.
     """
-    crit = _criterion_tokens(hits, tokens_needed)
+    crit = cut_lineage(_criterion_tokens(hits, tokens_needed))
     held = words.select(*PAGE_ID, F.explode("words").alias("token"))
     frequency = held.join(crit.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
     wanted = F.ceil(F.col("_size") * F.lit(threshold) - F.lit(1e-9))
-    least = F.least(F.lit(2).cast("long"), wanted)
+    least = F.ceil(wanted / 4)
     rarest = Window.partitionBy(*CRITERION).orderBy("_df", "token")
     ranked = crit.join(frequency, "token", "left").withColumn("_df", F.coalesce("_df", F.lit(0))).withColumn("_k", F.row_number().over(rarest))
-    probes = ranked.filter(F.col("_k") <= F.col("_size") - wanted + least).select(*CRITERION, "token", least.alias("_least"))
+    probes = cut_lineage(ranked.filter(F.col("_k") <= F.col("_size") - wanted + least).select(*CRITERION, "token", least.alias("_least")))
     met = held.join(probes, "token").groupBy(*PAGE_ID, *CRITERION, "_least").agg(F.count(F.lit(1)).alias("_met"))
     candidates = met.filter(F.col("_met") >= F.col("_least")).drop("_met", "_least")
     sets = crit.groupBy(*CRITERION, "_size").agg(F.collect_list("token").alias("_tokens"))
