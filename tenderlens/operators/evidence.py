@@ -224,8 +224,8 @@ SHORT_TERM = 4
 def substring_hits(page: DataFrame, terms: DataFrame, lower: bool) -> DataFrame:
     """Number of distinct terms of each item that occur in each page, as substrings.
 
-    Terms (item_no, term) are runs of two or more letters or digits, so an occurrence lies inside one word.  Terms
-    of up to four characters meet the distinct character runs of a page by equality.  Longer ones first meet the
+    Terms (item_no, term) are runs of two or more letters or digits, so an occurrence lies inside one word.  Of a
+    page's distinct character runs only those that are terms of up to four characters become rows.  Longer ones first meet the
     vocabulary of all pages, which is far smaller than their text, and pages then meet the matching words by
     equality.  No page is paired with a term it does not hold, and page text itself is never joined.
     """
@@ -233,8 +233,10 @@ def substring_hits(page: DataFrame, terms: DataFrame, lower: bool) -> DataFrame:
     runs = F.concat(*[
         F.regexp_extract_all(text, F.lit(f"(?=([0-9A-Za-z가-힣]{{{n}}}))"), F.lit(1)) for n in range(2, SHORT_TERM + 1)
     ])
-    asked = terms.select("item_no", "term").distinct()
-    short = page.select(*PAGE_ID, F.explode(F.array_distinct(runs)).alias("term")).join(asked.filter(F.length("term") <= SHORT_TERM), "term")
+    asked = cut_lineage(terms.select("item_no", "term").distinct())
+    brief = asked.filter(F.length("term") <= SHORT_TERM)
+    every = brief.select(F.array_sort(F.collect_set("term"))).scalar()
+    short = page.select(*PAGE_ID, F.explode(F.array_intersect(runs, every)).alias("term")).join(brief, "term")
     long_terms = asked.filter(F.length("term") > SHORT_TERM).withColumn("_key", F.substring("term", 1, SHORT_TERM))
     words = page.select(*PAGE_ID, F.explode(F.array_distinct(F.filter(tx.words(text), lambda w: F.length(w) > SHORT_TERM))).alias("word"))
     keys = F.array_distinct(F.regexp_extract_all("word", F.lit(f"(?=(.{{{SHORT_TERM}}}))"), F.lit(1)))
