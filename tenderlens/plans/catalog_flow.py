@@ -127,7 +127,7 @@ def scan_review_hits(spark, sf):
     return hits.groupBy("query_item").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("document_id").alias("documents"))
 
 
-@query("seed_knowledge", "SELECT count(*) AS row_count FROM benchmark WHERE item_id % 3 = 0")
+@query("seed_knowledge", "SELECT count(*) AS row_count FROM benchmark")
 def seed_knowledge(spark, sf):
     path = folder(spark, "knowledge")
     sr.seed_knowledge(spark, inp.tacit_knowledge(spark, sf), path)
@@ -163,7 +163,7 @@ def judgement_responses(spark, sf):
     labels = F.array(*[F.lit(x) for x in ["적합", "준수", "미준수", "비대상", "부분준수", "확인 필요", "해당없음"]])
     body = F.to_json(F.struct(
         F.element_at(labels, (n % 7 + 1).cast("int")).alias("result"), F.when(n % 3 == 0, F.lit(True)).alias("is_target"), F.when(n % 4 > 0, (F.lit(0.5) + (n % 5) / 10)).alias("confidence"),
-        F.array(F.col("page_no").cast("string"), F.lit("x")).alias("evidence_pages"), F.array(F.substring("page_text", 1, 150)).alias("evidence_text"), F.substring("page_text", 1, 30).alias("reason"),
+        F.array(F.col("page_no").cast("string"), F.lit("x")).alias("evidence_pages"), F.array("page_text").alias("evidence_text"), F.col("page_text").alias("reason"),
         F.when(n % 2 == 0, "고치시기 바랍니다.").alias("recommendation"), (n % 6 == 0).alias("needs_human_review")))
     one = p.select(
         "document_id", F.element_at(items, (F.col("page_no") % 8 + 1).cast("int")).alias("item_no"), "page_no",
@@ -178,7 +178,7 @@ RESPONSES = f"""first_page AS (SELECT * FROM (SELECT *, {ITEM_NO} AS item_no FRO
 @query("parse_judgements", f"""
 WITH {ov.PAGES}, {RESPONSES}
 SELECT document_id, item_no, ['준수', '준수', '미준수', '해당없음', '보완필요', '보완필요', '해당없음'][text_length % 7 + 1] AS result, CASE WHEN text_length % 3 = 0 THEN true END AS is_target,
-  round(CASE WHEN text_length % 4 > 0 THEN 0.5 + (text_length % 5) / 10.0::DOUBLE ELSE 0.65 END, 6) AS confidence, page_no::VARCHAR AS pages, substr(page_text, 1, 150) AS texts, substr(page_text, 1, 30) AS reason,
+  round(CASE WHEN text_length % 4 > 0 THEN 0.5 + (text_length % 5) / 10.0::DOUBLE ELSE 0.65 END, 6) AS confidence, page_no::VARCHAR AS pages, page_text AS texts, page_text AS reason,
   CASE WHEN text_length % 2 = 0 THEN '고치시기 바랍니다.' ELSE '' END AS recommendation, text_length % 6 = 0 AS needs_human_review FROM first_page""")
 def parse_judgements(spark, sf):
     p = ex.parse_judgements(judgement_responses(spark, sf))
@@ -404,15 +404,15 @@ def reviewed(spark, sf, items):
 
 @query("review_documents")
 def review_documents(spark, sf):
-    _, done = reviewed(spark, sf, ["1", "2", "2-1", "4", "11", "14", "17", "18"])
+    _, done = reviewed(spark, sf, rv.ALL_ITEMS)
     f = done.final
     return f.select("document_id", "item_no", "final_status", "final_result", "is_target", "confidence", tx.join_ints(F.col("evidence_pages")).alias("pages"), "compliance_content")
 
 
 @query("review_state")
 def review_state(spark, sf):
-    items = ["1", "4", "8"]
+    items = rv.ALL_ITEMS
     page, done = reviewed(spark, sf, items)
     hits = cr.criteria_hits(spark, sf)
-    _, state = rv.review_state(done, page, hits, [*items, "9"])
+    _, state = rv.review_state(done, page, hits, items)
     return state.select("document_id", "parse_status", "audit_score", F.array_join("completed_items", ",").alias("completed"), F.array_join("remaining_items", ",").alias("remaining"), "pages_to_reparse")

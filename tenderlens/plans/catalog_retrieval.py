@@ -145,8 +145,8 @@ def rebuild_criteria(spark, sf):
 INDEX_TERMS = r"regexp_extract_all(strip_accents(lower(concat_ws(' ', title, category, content))), '[\p{L}\p{N}]+')"
 CORPUS = """corpus AS (SELECT doc_id, (doc_id % 18 + 1)::VARCHAR AS item_no,
     ['criteria_db', 'requirement_db', 'reference_example_db', 'criteria_excel'][doc_id % 4 + 1] AS source_type,
-    CASE WHEN doc_id % 3 > 0 THEN doc_id END AS row_no, substr(text, 1, 60) AS title, lang AS category, text AS content FROM documents),
-asked AS (SELECT item_id AS query_id, CASE WHEN item_id % 20 = 19 THEN '2-1' ELSE (item_id % 18 + 1)::VARCHAR END AS item_no, substr(text, 1, 120) AS query FROM benchmark)"""
+    CASE WHEN doc_id % 3 > 0 THEN doc_id END AS row_no, split_part(text, chr(10), 1) AS title, lang AS category, text AS content FROM documents),
+asked AS (SELECT item_id AS query_id, CASE WHEN item_id % 20 = 19 THEN '2-1' ELSE (item_id % 18 + 1)::VARCHAR END AS item_no, text AS query FROM benchmark)"""
 
 
 def bm25(docs: str, queries: str) -> str:

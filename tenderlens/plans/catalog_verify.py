@@ -150,10 +150,10 @@ def routes(spark, sf):
 
 
 def atomic(spark, sf):
-    return inp.legal_requirements(spark, sf).select("item_no", F.concat(F.lit("r"), F.col("row_id").cast("string")).alias("requirement_id"), F.substring("requirement_text", 1, 60).alias("requirement_text"))
+    return inp.legal_requirements(spark, sf).select("item_no", F.concat(F.lit("r"), F.col("row_id").cast("string")).alias("requirement_id"), "requirement_text")
 
 
-ATOMIC = f"atomic AS (SELECT item_no, 'r' || row_id AS requirement_id, substr(requirement_text, 1, 60) AS requirement_text FROM legal_requirement)"
+ATOMIC = f"atomic AS (SELECT item_no, 'r' || row_id AS requirement_id, requirement_text FROM legal_requirement)"
 IMPORTANT = f"list_filter(regexp_extract_all({{c}}, '[0-9A-Za-z가-힣]{{{{2,}}}}'), lambda t: NOT list_contains({ov.sql_list(pack.IMPORTANT_STOPWORDS)}, t))"
 SUPPORT = f"""asked AS (SELECT p.*, requirement_id, requirement_text, {IMPORTANT.format(c='requirement_text')} AS ts FROM prim2 p JOIN atomic USING (item_no) WHERE requirement_text <> ''),
 support AS MATERIALIZED (SELECT *, CASE WHEN len(ts) = 0 THEN true WHEN len(ts) = 1 THEN contains(ec, lower(ts[1])) ELSE len(list_filter(ts, lambda t: contains(ec, lower(t)))) >= greatest(1, floor(len(ts) * 0.7::DOUBLE + 0.5::DOUBLE)) END AS ok FROM asked)"""
@@ -267,13 +267,13 @@ def merge_subitem_flat(spark, sf):
 
 @query("merge_evidence", f"""
 WITH {ov.FINALS}, pair AS (SELECT document_id, item_no, seqno, cited, list(txt ORDER BY k) AS ts FROM (
-  SELECT document_id, item_no, page_no AS seqno, unnest(list_concat(evidence_pages, [page_no, page_no])) AS cited, unnest(list_concat(evidence_text, [substr(page_text, 1, 60), substr(page_text, 41, 60)])) AS txt, unnest(range(0, len(evidence_pages) + 2)) AS k FROM final) GROUP BY ALL),
+  SELECT document_id, item_no, page_no AS seqno, unnest(list_concat(evidence_pages, [page_no, page_no])) AS cited, unnest(list_concat(evidence_text, [page_text, substr(page_text, 41)])) AS txt, unnest(range(0, len(evidence_pages) + 2)) AS k FROM final) GROUP BY ALL),
 folded AS (SELECT document_id, item_no, seqno, cited, list_reduce(ts, lambda acc, x: CASE WHEN x <> '' AND NOT contains(acc, x) THEN CASE WHEN {ov.strip('acc')} = '' THEN {ov.strip('x')} WHEN {ov.strip('x')} = '' OR {ov.strip('x')} = {ov.strip('acc')} THEN {ov.strip('acc')} ELSE {ov.strip('acc')} || chr(10) || {ov.strip('x')} END ELSE acc END) AS t FROM pair)
 SELECT document_id, item_no, seqno AS page_no, string_agg(cited, ',' ORDER BY cited) AS pages, md5(string_agg(t, '|' ORDER BY cited)) AS texts_md5 FROM folded GROUP BY ALL""")
 def merge_evidence(spark, sf):
     p = inp.pages(spark, sf).select("document_id", "page_no", "page_text")
     f = inp.finals(spark, sf).select("document_id", "item_no", "page_no", "evidence_pages", "evidence_text").join(p, ["document_id", "page_no"])
-    more = F.array(F.struct(F.col("page_no").alias("page"), F.substring("page_text", 1, 60).alias("text")), F.struct(F.col("page_no").alias("page"), F.substring("page_text", 41, 60).alias("text")))
+    more = F.array(F.struct(F.col("page_no").alias("page"), F.col("page_text").alias("text")), F.struct(F.col("page_no").alias("page"), F.expr("substring(page_text, 41)").alias("text")))
     merged = f.withColumn("m", vf.merge_evidence(F.concat(vf.pairs_of(F.col("evidence_pages"), F.col("evidence_text")), more)))
     return merged.select("document_id", "item_no", "page_no", tx.join_ints(F.transform("m", lambda m: m["page"])).alias("pages"), F.md5(F.array_join(F.transform("m", lambda m: m["text"]), "|")).alias("texts_md5"))
 

@@ -118,12 +118,18 @@ def repeated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).withColumn("page_no", F.floor((F.col("page_no") + 2) / 3).cast("int"))
 
 
+def first_line(text: str = "text") -> Column:
+    return F.substring_index(text, "\n", 1)
+
+
 def legal_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = read(spark, sf_dir, "benchmark")
-    return b.filter("item_id < 17").select(
-        (F.col("item_id") + 1).cast("string").alias("item_no"),
-        encode(F.substring("text", 1, 60)).alias("title"),
-        F.when(F.col("item_id") % 3 > 0, encode(F.substring("text", 1, 120))).alias("target_text"),
+    """Seventeen items; the target text of an item joins all its rows, every third item has none."""
+    row = F.struct("item_id", encode(F.col("text")).alias("text"), encode(first_line()).alias("line"))
+    items = read(spark, sf_dir, "benchmark").groupBy((F.col("item_id") % 17).alias("k")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return items.select(
+        (F.col("k") + 1).cast("string").alias("item_no"),
+        F.element_at("rows", 1)["line"].alias("title"),
+        F.when(F.col("k") % 3 > 0, F.array_join(F.transform("rows", lambda r: r["text"]), "\n")).alias("target_text"),
     )
 
 
@@ -135,29 +141,29 @@ def legal_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("item_id") % 20 == 19, "2-1").otherwise((F.col("item_id") % 18 + 1).cast("string")).alias("item_no"),
         F.when(F.col("item_id") % 4 > 0, F.concat(F.lit("category "), (F.col("item_id") % 4).cast("string"))).alias("category"),
         whole.alias("requirement_text"),
-        F.when(F.col("item_id") % 2 == 0, encode(F.substring_index("text", "\n", 1))).alias("example_sentence"),
-        F.when(F.col("item_id") % 5 == 0, encode(F.substring("text", 1, 40))).alias("case_text"),
+        F.when(F.col("item_id") % 2 == 0, encode(first_line())).alias("example_sentence"),
+        F.when(F.col("item_id") % 5 == 0, whole).alias("case_text"),
     )
 
 
 def legal_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read(spark, sf_dir, "benchmark")
-    return b.filter("item_id % 2 = 1").select(
+    return b.select(
         F.col("item_id").alias("row_id"),
         F.when(F.col("item_id") % 3 == 0, "14").otherwise((F.col("item_id") % 18 + 1).cast("string")).alias("item_no"),
         F.when(F.col("item_id") % 4 == 1, "table").alias("reference_type"),
         F.when(F.col("item_id") % 7 > 2, "summary").alias("reference_subtype"),
-        encode(F.substring("text", 1, 200)).alias("content"),
+        encode(F.col("text")).alias("content"),
     )
 
 
 def tacit_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read(spark, sf_dir, "benchmark")
-    return b.filter("item_id % 3 = 0").select(
+    return b.select(
         F.col("item_id").alias("row_id"),
         F.when(F.col("item_id") % 12 == 0, pack.COMMON_ITEM).otherwise((F.col("item_id") % 18 + 1).cast("string")).alias("item_no"),
-        encode(F.substring("text", 1, 30)).alias("title"),
-        encode(F.substring("text", 1, 150)).alias("content"),
+        encode(first_line()).alias("title"),
+        encode(F.col("text")).alias("content"),
     )
 
 
@@ -201,16 +207,16 @@ RESULT_CYCLE = ["준수", "미준수", "보완필요", "해당없음", "확인
 
 
 def finals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One final review per page of the corpus, carrying that page's text as evidence."""
+    """One final review per page of the corpus, carrying that page's text, in halves and whole, as evidence."""
     p = pages(spark, sf_dir)
     n, length = F.col("page_no"), F.col("text_length")
     t = F.col("page_text")
-    half = F.floor(F.length(t) / 2).cast("int")
+    half, rest = F.expr("substring(page_text, 1, floor(length(page_text) / 2))"), F.expr("substring(page_text, floor(length(page_text) / 2) + 1)")
     cited = F.when(length % 6 == 0, F.array().cast("array<int>")).otherwise(
         F.array(n, (n + 1).cast("int"), (n + 1 + length % 3).cast("int"))
     )
     quoted = F.when(length % 6 == 0, F.array().cast("array<string>")).otherwise(
-        F.array(F.substring(t, 1, 120), F.substring(t, F.lit(121), F.lit(120)), F.expr("substring(page_text, floor(length(page_text) / 2) + 1, 90)"))
+        F.array(half, rest, t)
     )
     return p.select(
         "document_id",
@@ -222,12 +228,12 @@ def finals(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(0.4) + (length % 60) / 100).alias("confidence"),
         cited.alias("evidence_pages"),
         quoted.alias("evidence_text"),
-        F.expr("substring(page_text, floor(length(page_text) / 2) + 1, 80)").alias("reason"),
+        rest.alias("reason"),
         F.when(length % 5 == 0, "").when(
-            length % 5 == 1, F.concat(F.lit("제안요청서 p."), n.cast("string"), F.lit("에 "), F.substring(t, 1, 40), F.lit(" 명시하시기 바랍니다."))
-        ).when(length % 5 == 2, F.concat(F.lit("누락된 필수 문구를 보완하시기 바랍니다. "), F.substring(t, 1, 30)))
-        .when(length % 5 == 3, F.concat(F.substring(t, 1, 20), F.lit(" -> 제안요청서에 "), F.substring(t, 1, 60), F.lit(" 예를 들어 "), F.substring(t, 1, 20)))
-        .otherwise(F.concat(F.lit("제안서 "), F.substring(t, 1, 100))).alias("recommendation"),
+            length % 5 == 1, F.concat(F.lit("제안요청서 p."), n.cast("string"), F.lit("에 "), t, F.lit(" 명시하시기 바랍니다."))
+        ).when(length % 5 == 2, F.concat(F.lit("누락된 필수 문구를 보완하시기 바랍니다. "), t))
+        .when(length % 5 == 3, F.concat(half, F.lit(" -> 제안요청서에 "), rest, F.lit(" 예를 들어 "), half))
+        .otherwise(F.concat(F.lit("제안서 "), t)).alias("recommendation"),
         F.when(length % 9 == 0, F.array(F.lit("low"))).otherwise(F.array().cast("array<string>")).alias("warnings"),
     )
 
@@ -239,9 +245,9 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(
         F.col("conv_id").alias("document_id"),
         (F.col("turn") + 1).cast("int").alias("page_no"),
-        F.when(k % 3 == 0, F.substring("text", 1, 60)).otherwise("").alias("comment"),
+        F.when(k % 3 == 0, F.col("text")).otherwise("").alias("comment"),
         F.element_at(F.array(F.lit(""), F.lit("준수"), F.lit("미준수"), F.lit("보완필요"), F.lit("해당없음")), (k % 5 + 1).cast("int")).alias("corrected_result"),
-        F.when(k % 4 == 0, F.substring("text", 1, 50)).otherwise("").alias("manual_content"),
+        F.when(k % 4 == 0, F.col("text")).otherwise("").alias("manual_content"),
         (k % 2 == 0).alias("manual_edited"),
         (F.col("role") == "assistant").alias("resolved"),
     )
@@ -269,7 +275,7 @@ def criteria_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id"), (F.col("doc_id") % 18 + 1).cast("string").alias("item_no"),
         F.element_at(kinds, (F.col("doc_id") % 4 + 1).cast("int")).alias("source_type"),
         F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")).alias("row_no"),
-        F.substring("text", 1, 60).alias("title"), F.col("lang").alias("category"), F.col("text").alias("content"),
+        first_line().alias("title"), F.col("lang").alias("category"), F.col("text").alias("content"),
     )
 
 
@@ -277,7 +283,7 @@ def criteria_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read(spark, sf_dir, "benchmark")
     return b.select(
         F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 20 == 19, "2-1").otherwise((F.col("item_id") % 18 + 1).cast("string")).alias("item_no"),
-        F.substring("text", 1, 120).alias("query"),
+        F.col("text").alias("query"),
     )
 
 

@@ -84,7 +84,7 @@ DOCUMENTS = """document AS (
     (len(string_split(text, chr(10))) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END)::INT AS total_pages
   FROM documents)"""
 
-BOUNDED = "(SELECT item_id, text, substr(text, 1, 60) AS t60, substr(text, 1, 120) AS t120, substr(text, 1, 40) AS t40, substr(text, 1, 200) AS t200, substr(text, 1, 30) AS t30, substr(text, 1, 150) AS t150, split_part(text, chr(10), 1) AS line1 FROM benchmark)"
+BENCHMARK = "(SELECT item_id, text, split_part(text, chr(10), 1) AS line1 FROM benchmark)"
 
 
 def _coded(c: str) -> str:
@@ -96,29 +96,29 @@ def _coded(c: str) -> str:
 
 
 LEGAL_ITEMS = f"""legal_item AS (
-  SELECT (item_id + 1)::VARCHAR AS item_no, {_coded('t60')} AS title,
-    CASE WHEN item_id % 3 > 0 THEN {_coded('t120')} END AS target_text
-  FROM {BOUNDED} WHERE item_id < 17)"""
+  SELECT (item_id % 17 + 1)::VARCHAR AS item_no, arg_min({_coded('line1')}, item_id) AS title,
+    CASE WHEN item_id % 17 % 3 > 0 THEN string_agg({_coded('text')}, chr(10) ORDER BY item_id) END AS target_text
+  FROM {BENCHMARK} GROUP BY item_id % 17)"""
 
 LEGAL_REQUIREMENTS = f"""legal_requirement AS (
   SELECT item_id AS row_id, CASE WHEN item_id % 20 = 19 THEN '2-1' ELSE (item_id % 18 + 1)::VARCHAR END AS item_no,
     CASE WHEN item_id % 4 > 0 THEN 'category ' || (item_id % 4)::VARCHAR END AS category,
     {_coded('text')} AS requirement_text,
     CASE WHEN item_id % 2 = 0 THEN {_coded('line1')} END AS example_sentence,
-    CASE WHEN item_id % 5 = 0 THEN {_coded('t40')} END AS case_text
-  FROM {BOUNDED})"""
+    CASE WHEN item_id % 5 = 0 THEN {_coded('text')} END AS case_text
+  FROM {BENCHMARK})"""
 
 LEGAL_EXAMPLES = f"""legal_example AS (
   SELECT item_id AS row_id, CASE WHEN item_id % 3 = 0 THEN '14' ELSE (item_id % 18 + 1)::VARCHAR END AS item_no,
     CASE WHEN item_id % 4 = 1 THEN 'table' END AS reference_type,
     CASE WHEN item_id % 7 > 2 THEN 'summary' END AS reference_subtype,
-    {_coded('t200')} AS content
-  FROM {BOUNDED} WHERE item_id % 2 = 1)"""
+    {_coded('text')} AS content
+  FROM {BENCHMARK})"""
 
 TACIT = f"""tacit AS (
   SELECT item_id AS row_id, CASE WHEN item_id % 12 = 0 THEN '{pack.COMMON_ITEM}' ELSE (item_id % 18 + 1)::VARCHAR END AS item_no,
-    {_coded('t30')} AS title, {_coded('t150')} AS content
-  FROM {BOUNDED} WHERE item_id % 3 = 0)"""
+    {_coded('line1')} AS title, {_coded('text')} AS content
+  FROM {BENCHMARK})"""
 
 REVIEWS = """review AS MATERIALIZED (
   SELECT l_orderkey AS document_id, (l_orderkey % 18 + 1)::VARCHAR AS item_no,
@@ -147,22 +147,22 @@ final AS MATERIALIZED (
     CASE WHEN text_length % 7 = 0 THEN false WHEN text_length % 7 < 5 THEN true END AS is_target,
     0.4 + (text_length % 60) / 100.0::DOUBLE AS confidence,
     CASE WHEN text_length % 6 = 0 THEN []::INT[] ELSE [page_no, page_no + 1, (page_no + 1 + text_length % 3)::INT] END AS evidence_pages,
-    CASE WHEN text_length % 6 = 0 THEN []::VARCHAR[] ELSE [substr(page_text, 1, 120), substr(page_text, 121, 120), substr(page_text, (length(page_text) // 2 + 1)::BIGINT, 90)] END AS evidence_text,
-    substr(page_text, (length(page_text) // 2 + 1)::BIGINT, 80) AS reason,
+    CASE WHEN text_length % 6 = 0 THEN []::VARCHAR[] ELSE [substr(page_text, 1, length(page_text) // 2), substr(page_text, length(page_text) // 2 + 1), page_text] END AS evidence_text,
+    substr(page_text, length(page_text) // 2 + 1) AS reason,
     CASE text_length % 5 WHEN 0 THEN ''
-      WHEN 1 THEN '제안요청서 p.' || page_no || '에 ' || substr(page_text, 1, 40) || ' 명시하시기 바랍니다.'
-      WHEN 2 THEN '누락된 필수 문구를 보완하시기 바랍니다. ' || substr(page_text, 1, 30)
-      WHEN 3 THEN substr(page_text, 1, 20) || ' -> 제안요청서에 ' || substr(page_text, 1, 60) || ' 예를 들어 ' || substr(page_text, 1, 20)
-      ELSE '제안서 ' || substr(page_text, 1, 100) END AS recommendation,
+      WHEN 1 THEN '제안요청서 p.' || page_no || '에 ' || page_text || ' 명시하시기 바랍니다.'
+      WHEN 2 THEN '누락된 필수 문구를 보완하시기 바랍니다. ' || page_text
+      WHEN 3 THEN substr(page_text, 1, length(page_text) // 2) || ' -> 제안요청서에 ' || substr(page_text, length(page_text) // 2 + 1) || ' 예를 들어 ' || substr(page_text, 1, length(page_text) // 2)
+      ELSE '제안서 ' || page_text END AS recommendation,
     CASE WHEN text_length % 9 = 0 THEN ['low'] ELSE []::VARCHAR[] END AS warnings,
     text_length, page_text
   FROM page)"""
 
 FEEDBACK = """feedback AS (
   SELECT conv_id AS document_id, (turn + 1)::INT AS page_no,
-    CASE WHEN (conv_id + turn) % 3 = 0 THEN substr(text, 1, 60) ELSE '' END AS comment,
+    CASE WHEN (conv_id + turn) % 3 = 0 THEN text ELSE '' END AS comment,
     ['', '준수', '미준수', '보완필요', '해당없음'][(conv_id + turn) % 5 + 1] AS corrected_result,
-    CASE WHEN (conv_id + turn) % 4 = 0 THEN substr(text, 1, 50) ELSE '' END AS manual_content,
+    CASE WHEN (conv_id + turn) % 4 = 0 THEN text ELSE '' END AS manual_content,
     (conv_id + turn) % 2 = 0 AS manual_edited,
     role = 'assistant' AS resolved
   FROM conversations)"""

@@ -86,12 +86,18 @@ def primary_reviews(page: DataFrame, documents: DataFrame, hits: DataFrame, item
 
 def review_documents(
     page: DataFrame, document: DataFrame, criteria: tuple[DataFrame, DataFrame, DataFrame, DataFrame], items: list[str] | None = None,
-    external: DataFrame | None = None,
+    external: DataFrame | None = None, audit_warnings: DataFrame | None = None, flag_overrides: DataFrame | None = None, escalated: DataFrame | None = None,
 ) -> Reviewed:
-    """criteria: legal items, requirements, examples, tacit knowledge.  external: ingested judgement rows."""
+    """criteria: legal items, requirements, examples, tacit knowledge.  external: ingested judgement rows.
+
+    Stored answers may go in: `flag_overrides` and `audit_warnings` as `external.ingest_audit` gives them, `escalated` as
+    verdicts of a higher judge for conflicting reviews, in the columns of a review row.
+    """
     items = items or ALL_ITEMS
     legal, requirements, examples, tacit = criteria
-    scored, warnings = audit.audit_documents(page, document)
+    if flag_overrides is not None:
+        page = cut_lineage(classify.apply_flag_overrides(page, flag_overrides))
+    scored, warnings = audit.audit_documents(page, document, audit_warnings)
     scored, warnings = cut_lineage(scored), cut_lineage(warnings)
     open_documents = scored.filter("parse_status <> 'fail'").select("document_id", "parse_status")
     own = page.join(open_documents.select("document_id"), "document_id", "left_semi")
@@ -100,7 +106,7 @@ def review_documents(
     hits = cut_lineage(rt.context_for_items(wanted, docs, tacit))
     reviews = primary_reviews(own, open_documents, hits, items, external)
     paged = ev.normalize_evidence_pages(reviews, own, ["document_id", "item_no"]).select(*REVIEW.fieldNames())
-    verified = vf.verify(paged, scored)
+    verified = vf.verify(paged, scored, escalated)
     gated = vf.manual_attachment_gate(vf.target_basis(verified, ev.project_amount(own)), own)
     held = audit.parse_fail_reviews(warnings, scored, items)
     merged = vf.merge_subitem(gated.withColumn("seq", fb.vf_position(F.col("item_no")))).drop("seq")
