@@ -328,7 +328,13 @@ def normalize_evidence_pages(spark, sf):
     return done.select(*KEY, tx.join_ints(F.col("evidence_pages")).alias("pages"))
 
 
-@query("distinct_evidence_pages")
+@query("distinct_evidence_pages", f"""
+WITH {ov.FINALS}, {PRINTED}, {LOCATED}, pair AS (SELECT document_id, item_no, page_no, unnest(range(0, len(evidence_pages))) AS pos, unnest(evidence_pages) AS cited FROM final),
+place AS (SELECT document_id, item_no, page_no, 0 AS src, pos, printed AS no FROM located WHERE printed IS NOT NULL
+  UNION ALL SELECT r.document_id, r.item_no, r.page_no, 1, r.pos, CASE WHEN EXISTS (SELECT 1 FROM printed k WHERE k.document_id = r.document_id AND k.printed = r.cited) THEN r.cited ELSE coalesce(i.printed, r.cited) END
+  FROM pair r LEFT JOIN printed i ON i.document_id = r.document_id AND i.page_no = r.cited),
+once AS (SELECT document_id, item_no, page_no, no, min(src * 1000000 + pos) AS ord FROM place GROUP BY ALL)
+SELECT f.document_id, f.item_no, f.page_no, coalesce(string_agg(no, ',' ORDER BY ord), '') AS pages FROM final f LEFT JOIN once o ON o.document_id = f.document_id AND o.item_no = f.item_no AND o.page_no = f.page_no GROUP BY ALL""")
 def distinct_evidence_pages(spark, sf):
     done = ev.distinct_evidence_pages(cited_reviews(spark, sf), inp.pages(spark, sf), KEY)
     return done.select(*KEY, tx.join_ints(F.col("evidence_pages")).alias("pages"))

@@ -106,7 +106,7 @@ def scan_page_responses(spark, sf):
 def stored_results(spark, sf):
     """Verified rows of the orders written as nested result lines."""
     final = cut_lineage(vf.verify(inp.reviews(spark, sf), inp.parse_statuses(spark, sf)))
-    routes = vf.route_items(final.select("document_id", F.when((F.col("item_no") == "2") & (F.col("document_id") % 2 == 0), "2-1").otherwise(F.col("item_no")).alias("item_no")))
+    routes = vf.route_items(final.select("document_id", F.when((F.col("item_no") == "2") & (F.col("document_id") % 4 == 1), "2-1").otherwise(F.col("item_no")).alias("item_no")))
     path = folder(spark, "results")
     sr.result_payloads(final, cr.criteria_hits(spark, sf), routes).select("line").write.text(path)
     return sr.scan_review_results(spark, path)
@@ -121,7 +121,12 @@ def scan_review_results(spark, sf):
     return joined.select("document_id", "item_no", "final_status", "final_result", tx.join_ints(F.col("evidence_pages")).alias("pages"), "route")
 
 
-@query("scan_review_hits")
+@query("scan_review_hits", f"""
+WITH {cr.LEGAL}, {cr.CRITERIA}, {cr.ITEMS}, {cr.ITEM_GROUP}, {cr.AUTHORITATIVE}, n AS (SELECT query_item, count(*) AS hits FROM authoritative GROUP BY 1),
+stored AS (SELECT DISTINCT l_orderkey AS document_id, CASE WHEN l_orderkey % 18 = 1 AND l_orderkey % 4 = 1 THEN '2-1' ELSE (l_orderkey % 18 + 1)::VARCHAR END AS query_item FROM lineitem),
+listed AS (SELECT document_id, query_item, hits FROM stored JOIN n USING (query_item)),
+whole AS (SELECT * FROM listed UNION ALL SELECT document_id, '2', hits FROM listed WHERE query_item = '2-1')
+SELECT query_item, sum(hits)::BIGINT AS hits, count(DISTINCT document_id) AS documents FROM whole GROUP BY 1""")
 def scan_review_hits(spark, sf):
     _, _, hits, _ = stored_results(spark, sf)
     return hits.groupBy("query_item").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("document_id").alias("documents"))
@@ -352,15 +357,12 @@ def fail_running(spark, sf):
 
 
 @query("finished_jobs", f"""
-WITH {LATEST} SELECT DISTINCT job_id FROM parse_event EXCEPT SELECT job_id FROM (SELECT DISTINCT job_id, page_no FROM parse_event WHERE page_no > 45 EXCEPT SELECT job_id, page_no FROM latest WHERE status IN ('succeeded', 'running', 'failed'))""")
+WITH {ov.EVENTS} SELECT version // 5 AS job_id FROM parse_event GROUP BY 1 HAVING bool_and(status <> 'queued')""")
 def finished_jobs(spark, sf):
-    """Jobs that were to deliver their last five pages and did, every outcome counted as a success."""
-    e = inp.parse_events(spark, sf)
+    """Five consecutive events are a job here; every outcome but a queued page counts as a success."""
+    e = inp.parse_events(spark, sf).withColumn("job_id", F.expr("version DIV 5"))
     state = st.latest_state(e).withColumn("status", F.when(F.col("status") == "queued", "queued").otherwise("succeeded"))
-    touched = e.filter("page_no > 45").select("job_id", "page_no")
-    every = e.select("job_id").distinct()
-    open_ = st.pending_pages(touched, state).select("job_id")
-    return every.join(open_, "job_id", "left_anti")
+    return st.finished_jobs(e.select("job_id", "page_no"), state)
 
 
 @query("finalize_documents")

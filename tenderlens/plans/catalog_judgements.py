@@ -191,12 +191,6 @@ def item_4(spark, sf):
     return shown(jd.item_4(signals, documents))
 
 
-@query("dense_page_first")
-def dense_page_first(spark, sf):
-    _, signals, _ = corpus(spark, sf, "6")
-    return jd.dense_page_first(signals).select("document_id", "display_no", F.md5("text").alias("text_md5"))
-
-
 SECTION = f"(contains(c, 'SW사업산출물활용보장') OR {ov.all_of('c', ['산출물활용', '지식재산권'])} OR (mask & 3 = 3 AND {ov.any_of('c', ['계약목적물', '계약산출물', '계약상대자', '공급자'])}))"
 REUSE_QUOTE = "CASE " + " ".join(f"WHEN (mask & {1 << i}) <> 0 AND contains(low, '{w.lower()}') THEN {ov.window('t', w, 420)}" for i, w in enumerate(rq.REUSE_QUOTES)) + f" ELSE substr({ov.collapse('t')}, 1, 180) END"
 REUSE = f"""masked AS (SELECT *, ({ce.mask_sql(ce.REUSE_SQL)})::INT AS mask FROM shown WHERE body),
@@ -213,6 +207,13 @@ ok_row AS (SELECT r.* FROM kept JOIN reused r ON r.document_id = kept.document_i
 part_row AS (SELECT * FROM reused WHERE bit_count(mask) >= 3 AND section), {take('part', 'part_row', 1, 'score DESC, page_no')}"""
 
 
+@query("dense_page_first", f"""
+WITH RECURSIVE {BASE}, {REUSE} SELECT document_id, display_no, md5(text) AS text_md5 FROM ok_row""")
+def dense_page_first(spark, sf):
+    _, signals, _ = corpus(spark, sf, "6")
+    return jd.dense_page_first(signals).select("document_id", "display_no", F.md5("text").alias("text_md5"))
+
+
 @query("item_6", f"""
 WITH RECURSIVE {BASE}, {REUSE}
 SELECT {row('6', pack.COMPLIANT, 'true', 0.88, 'pages', 'texts', jd.R_RULE_OK, '', 'python_rule')} FROM ok

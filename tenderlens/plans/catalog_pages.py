@@ -274,7 +274,11 @@ def missing_pages(spark, sf):
     return pages.missing_pages(asked, got, "call_id")
 
 
-@query("effective_pages")
+@query("effective_pages", """
+WITH call AS (
+  SELECT o_orderkey AS k, o_orderkey % 5 AS b, [o_orderkey % 5 + o_orderkey % 3, o_orderkey % 5 + 1 + o_orderkey % 4, CASE WHEN o_orderkey % 6 > 0 THEN o_orderkey % 5 + 3 END] AS told FROM orders),
+chosen AS (SELECT k, told, CASE WHEN k % 3 > 0 AND told[3] IS NOT NULL AND len(list_distinct(told)) = 3 THEN told ELSE [b + 1, b + 2, b + 3] END AS numbers FROM call)
+SELECT k AS response_id, (i - 1)::INT AS item_index, coalesce(told[i]::VARCHAR, 'x') AS reported_page_no, numbers[i]::INT AS effective_page_no FROM (SELECT *, unnest([1, 2, 3]) AS i FROM chosen)""")
 def effective_pages(spark, sf):
     calls = _calls(spark, sf)
     k = F.col("call_id")

@@ -278,7 +278,17 @@ def merge_evidence(spark, sf):
     return merged.select("document_id", "item_no", "page_no", tx.join_ints(F.transform("m", lambda m: m["page"])).alias("pages"), F.md5(F.array_join(F.transform("m", lambda m: m["text"]), "|")).alias("texts_md5"))
 
 
-@query("validate_reviews")
+@query("validate_reviews", f"""
+WITH {PRIMARY}, best AS (SELECT * FROM prim2 QUALIFY row_number() OVER (PARTITION BY document_id, item_no ORDER BY len(evidence_pages) = 0, confidence DESC, seq) = 1),
+finding AS (
+  SELECT document_id, item_no, 'schema_or_consistency_error' AS kind FROM best WHERE len(evidence_pages) <> len(evidence_text)
+  UNION ALL SELECT document_id, item_no, 'invalid_routing' FROM (SELECT *, {ROUTE_SQL.format(c='item_no')} AS x FROM best) WHERE NOT (route_type = x OR starts_with(route_type, x) OR contains(route_type, x || '_'))
+  UNION ALL SELECT document_id, item_no, 'evidence_reason_mismatch' FROM best WHERE reason <> '' AND e <> '' AND len(list_filter({IMPORTANT.format(c='reason')}, lambda t: NOT list_contains({IMPORTANT.format(c='e')}, t))) >= 2),
+told AS (SELECT document_id, item_no, string_agg(kind || ': 1', ', ' ORDER BY kind) AS txt, bool_or(kind = 'invalid_routing') AS high FROM finding GROUP BY ALL),
+single AS (SELECT * FROM final QUALIFY row_number() OVER (PARTITION BY document_id, item_no ORDER BY page_no) = 1)
+SELECT s.document_id, s.item_no, CASE WHEN coalesce(high, false) THEN b.result ELSE s.final_result END AS final_result, CASE WHEN coalesce(high, false) THEN b.confidence ELSE s.confidence END AS confidence,
+  txt IS NULL AS can_auto_accept, coalesce(high, false) AS requires_adjudication, coalesce(txt, 'No audit findings.') AS audit_summary, array_to_string(CASE WHEN coalesce(high, false) THEN b.evidence_pages ELSE s.evidence_pages END, ',') AS pages
+FROM single s JOIN best b USING (document_id, item_no) LEFT JOIN told USING (document_id, item_no)""")
 def validate_reviews(spark, sf):
     f = inp.finals(spark, sf)
     single = f.groupBy("document_id", "item_no").agg(F.min_by(F.struct(*[c for c in f.columns if c not in ("document_id", "item_no")]), "page_no").alias("f")).select("document_id", "item_no", "f.*")
