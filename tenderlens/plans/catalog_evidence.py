@@ -240,7 +240,20 @@ def max_score(spark, sf):
     )
 
 
-@query("plan_score")
+def score_sql(c):
+    number = "([0-9]+(?:\\.[0-9]+)?)"
+    found = f"list_concat(regexp_extract_all({c}, '{number}{ov.WS}*점', 1), regexp_extract_all({c}, '{number}{ov.WS}*$', 1))"
+    return f"coalesce(list_max(list_transform({found}, lambda v: v::DOUBLE)), 0.0)"
+
+
+PLAN_CTX = "substr(t, greatest(start - 40, 0) + 1, least(start + length(value) + 80, length(t)) - greatest(start - 40, 0))"
+
+
+@query("plan_score", f"""
+WITH {ov.PAGES}, named AS (SELECT document_id, page_no, c, page_text FROM page WHERE {ov.all_of('c', ['하도급', '계획', '적정성'])}), {ov.spans('named', 'c', '하도급', 'document_id, page_no', 'span')},
+scored AS (SELECT document_id, page_no FROM named WHERE {score_sql('page_text')} >= 5
+  UNION SELECT document_id, page_no FROM (SELECT document_id, page_no, {PLAN_CTX} AS w FROM span) WHERE {ov.all_of('w', ['계획', '적정성'])} AND {score_sql('w')} >= 5)
+SELECT document_id, page_no, s.page_no IS NOT NULL AS has_plan_score FROM page LEFT JOIN (SELECT document_id, page_no FROM scored) s USING (document_id, page_no)""")
 def plan_score(spark, sf):
     return inp.pages(spark, sf).select("document_id", "page_no", ev.subcontract_plan_score(body_text(), tx.compact_lower(body_text())).alias("has_plan_score"))
 
