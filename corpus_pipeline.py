@@ -22,9 +22,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one with the smallest id. A row without an id stays."""
-    gone = near_dup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of near duplicates: the one with the smallest id, of rows without an id only if no other has one.
+
+    Rows are told apart by a number of their own, so rows that repeat an id or have none are judged one by one.
+    """
+    numbered = stage(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
+    keyed = numbered.select(F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), "number").alias("key"), F.col("row.text").alias("text"))
+    gone = near_dup.near_duplicates(keyed, key="key").where("NOT kept").select("key.number")
+    return numbered.join(gone, "number", "left_anti").select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
