@@ -203,8 +203,9 @@ def deduce_templates(pages: DataFrame, key: str = "page_id", url: str = "url", h
     an equivalence class; vectors are compared by sums of hashes of (page, times), which Spark adds up before and after the
     shuffle. A class is valid if it is on half of the host's pages or more and one of its tokens lies in a container that is a
     token of the template, or of the class; nested so, from the page itself down, the valid classes are the template. Its
-    content is the deepest container of the template that has nine tenths of the text that can be main text, or the article
-    that this lies in. Only tokens on half of the pages are gathered by host, at most twice as many as a page has.
+    content is the outermost article or main element around the deepest container that has nine tenths of the text that can be
+    main text; without such an element, the deepest container that has all of it. Only tokens on half of the pages are gathered
+    by host, at most twice as many as a page has.
     """
     picked = pages.select(F.col(key).cast("string").alias("key"), host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
     counted = picked.mapInArrow(_count, "host string, token string, pages bigint, sum_a bigint, sum_b bigint, low bigint, high bigint, chars bigint")
@@ -212,17 +213,18 @@ def deduce_templates(pages: DataFrame, key: str = "page_id", url: str = "url", h
     whole = tokens.where("token = ''").select("host", F.col("pages").alias("of"), F.col("chars").alias("all_chars"))
     common = tokens.join(whole, "host").where("2 * pages >= of")
     same = (F.col("low") == F.col("high")) & (F.col("of") > 2) & (F.col("pages") == F.col("of"))
-    holds = F.col("token").rlike(CONTAINER) & (10 * F.col("chars") >= 9 * F.col("all_chars"))
+    most = F.col("token").rlike(CONTAINER) & (10 * F.col("chars") >= 9 * F.col("all_chars"))
+    every = F.col("token").rlike(CONTAINER) & (F.col("chars") == F.col("all_chars"))
     # an equivalence class is what shares host and vector; its tokens are in the template together
-    classes = common.groupBy("host", "pages", "sum_a", "sum_b").agg(F.collect_list(F.struct("token", same.alias("same"), holds.alias("holds"), F.size(F.split("token", "/")).alias("depth"))).alias("class"))
+    classes = common.groupBy("host", "pages", "sum_a", "sum_b").agg(F.collect_list(F.struct("token", same.alias("same"), most.alias("most"), every.alias("every"), F.size(F.split("token", "/")).alias("depth"))).alias("class"))
     listed = classes.groupBy("host").agg(F.collect_list("class").alias("classes"))
     paths = F.transform(F.flatten("classes"), lambda t: t["token"])
     parent = lambda t: F.regexp_replace(t["token"], "/[^/]*$", "")
     valid = F.filter("classes", lambda c: F.exists(c, lambda t: (t["token"] == "") | F.array_contains(paths, parent(t))))
     template = listed.select("host", F.flatten(valid).alias("tokens"))
-    deepest = F.array_max(F.transform(F.filter("tokens", lambda t: t["holds"]), lambda t: F.struct(t["depth"], t["token"])))["token"]
-    article = F.regexp_extract(deepest, r"^(.*?/(?:article|main)(?:[.#@][^/]*)?)(?:/.*)?$", 1)
-    return template.select("host", F.when(article != "", article).otherwise(deepest).alias("content"), F.transform(F.filter("tokens", lambda t: t["same"]), lambda t: t["token"]).alias("constant"))
+    deepest = lambda which: F.array_max(F.transform(F.filter("tokens", lambda t: t[which]), lambda t: F.struct(t["depth"], t["token"])))["token"]
+    article = F.regexp_extract(deepest("most"), r"^(.*?/(?:article|main)(?:[.#@][^/]*)?)(?:/.*)?$", 1)
+    return template.select("host", F.when(article != "", article).otherwise(deepest("every")).alias("content"), F.transform(F.filter("tokens", lambda t: t["same"]), lambda t: t["token"]).alias("constant"))
 
 
 def main_text(page: str | None, content: str | None = None, constant: frozenset | set = frozenset()) -> str:
