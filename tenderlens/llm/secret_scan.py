@@ -24,7 +24,11 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGESTS = (32, 40, 56, 64, 96, 128)
 _HEX_ONLY = re.compile("[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-#: Names and paths: parts of letters (with digits at the end only) or of digits, joined by - _ / = +.
+_UUID_INSIDE = re.compile(f"(?<![0-9A-Za-z]){_UUID.pattern}(?![0-9A-Za-z])")
+_PART = re.compile("[A-Za-z0-9]+")
+_LETTER = re.compile("[A-Za-z]")
+_STRETCH = re.compile(r"(.)\1{3,}")
+#: The form of names and paths, which are asked without their separators: parts of letters (with digits at the end only) or of digits, joined by - _ / = +.
 _NAME = re.compile(r"[-_/=+]*([A-Za-z]+[0-9]{0,4}|[0-9]+)([-_/=+]+([A-Za-z]+[0-9]{0,4}|[0-9]+))*[-_/=+]*")
 
 
@@ -39,18 +43,66 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, ("assign", "access", "hex")[k]) for a, b, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
+def _excess(s: str, count, ratio: float) -> list[tuple[int, int, float]]:
+    """Start, end and `ratio` * tokens - characters of each part between separators; no excess for numbers, none ever for known forms.
+
+    A part in capitals is also asked in small letters, which a vocabulary knows better: it is a word if either is.
+    A stretch of one character says no more than three of it.
+    """
+    known = [m.span() for m in _UUID_INSIDE.finditer(s)]
+    found = []
+    for m in _PART.finditer(s):
+        a, b = m.span()
+        p = m.group()
+        if any(x <= a and b <= y for x, y in known) or _HEX_ONLY.fullmatch(p) and len(p) in DIGESTS:
+            found.append((a, b, float("-inf")))
+        elif p.isdigit():
+            found.append((a, b, 0.0))
+        else:
+            q = _STRETCH.sub(r"\1\1\1", p)
+            found.append((a, b, ratio * (min(count(q), count(q.lower())) if q.isalpha() and q.isupper() else count(q)) - len(p)))
+    return found
+
+
+def _segments(parts: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+    """Start and end of the maximal runs of parts with an excess above 0 (Ruzzo and Tompa)."""
+    held: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
+    out: list[tuple[int, int]] = []
+    total = 0.0
+    for a, b, w in parts:
+        if w == float("-inf"):
+            out += [(x[0], x[1]) for x in held]
+            held, total = [], 0.0
+            continue
+        before, total = total, total + w
+        if w <= 0:
+            continue
+        new = (a, b, before, total)
+        while True:
+            k = next((k for k in range(len(held) - 1, -1, -1) if held[k][2] < new[2]), -1)
+            if k < 0 or held[k][3] >= new[3]:
+                break
+            new = (held[k][0], new[1], held[k][2], new[3])
+            del held[k:]
+        held.append(new)
+    return out + [(x[0], x[1]) for x in held]
+
+
 def random_spans(text: str, taken: list[tuple[int, int, str]], count, ratio: float) -> list[tuple[int, int, str]]:
-    """Candidates outside `taken` with fewer than `ratio` characters a token; `count` gives a string's tokens."""
+    """Candidates outside `taken` with fewer than `ratio` characters a token, else their parts that have; `count` gives a string's tokens."""
     found = []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         s = m.group()
-        if any(x < b and a < y for x, y, _ in taken) or _NAME.fullmatch(s) or _UUID.fullmatch(s):
+        if any(x < b and a < y for x, y, _ in taken) or _UUID.fullmatch(s) or not _LETTER.search(s):
             continue
         if _HEX_ONLY.fullmatch(s) and len(s) in DIGESTS:
             continue
-        if len(s) < ratio * count(s):
+        parts = _excess(s, count, ratio)
+        if len(s) < ratio * count(s) and (not _NAME.fullmatch(s) or sum(w for _, _, w in parts) > 0):
             found.append((a, b, "random"))
+        else:
+            found += [(a + x, a + y, "random") for x, y in _segments(parts) if y - x >= 20]
     return found
 
 
@@ -60,8 +112,10 @@ def scan_secrets(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: st
     One row per input row: `key`, n_assign, n_access, n_hex (base matches), base_sha256 (hex of kind:start:end of the base
     matches by start, then assign, access, hex, joined by commas), spans (those and the added kind `random`, ordered alike),
     n_random. A run of 20 or more characters of [A-Za-z0-9+/_=-] outside the base matches is `random` if it has fewer than
-    `ratio` characters for each token of the vocabulary, unless it has the form of a common digest, a UUID or a name. Offsets
-    are code points, ends exclusive. Null and empty texts have no span.
+    `ratio` characters for each token of the vocabulary; if it has the form of a name, its parts between separators must have
+    so too. Else those neighbouring parts in it are, 20 characters or more, that have fewer in all, as at the end of a path.
+    Common digests, UUIDs and what holds no letter are not asked for. Offsets are code points, ends exclusive. Null and empty
+    texts have no span.
     """
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
     kind = docs.schema[key].dataType.simpleString()
