@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, contamination, language_id, language_model, line_quality, near_dup, personal_data, secret_scan, templates
+from . import bpe, chat, contamination, hard_negatives, language_id, language_model, line_quality, near_dup, personal_data, secret_scan, templates
 from .common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -69,6 +69,12 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_preferences(turns, F.expr("conv_id DIV 2"), F.expr("conv_id % 2 = 0"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 100th row is an anchor; every 7th row has the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_lm_scores": op2_lm_scores,
@@ -80,5 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_contamination": op8_contamination,
     "op9_quality": op9_quality,
     "op10_preferences": op10_preferences,
+    "op12_hard_negatives": op12_hard_negatives,
 }
-ORACLES: dict[str, str] = {"op10_preferences": chat.ORACLE}
+ORACLES: dict[str, str] = {"op10_preferences": chat.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
