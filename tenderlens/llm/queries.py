@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, contamination, hard_negatives, language_id, language_model, line_quality, near_dup, personal_data, secret_scan, templates
-from .common import read_table
+from . import bpe, chat, collocations, contamination, hard_negatives, language_id, language_model, line_quality, near_dup, personal_data, secret_scan, templates, token_files
+from .common import read_table, stage_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+WORD_VOCABULARY = "word_bpe_49k.json"
+#: Closes each document in token files.
+END_ID = 2
 
 
 def remainder(key: str, by: int):
@@ -69,12 +72,26 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_preferences(turns, F.expr("conv_id DIV 2"), F.expr("conv_id % 2 = 0"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(WORD_VOCABULARY), encoding="utf-8") as f:
+        definition = f.read()
+    path = stage_path(spark, "tokens")
+    token_files.write_token_files(read_table(spark, sf_dir, "documents"), path, definition, END_ID)
+    return token_files.read_token_files(spark, path)
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 100th row is an anchor; every 7th row has the next label."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine_hard_negatives(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_lm_scores": op2_lm_scores,
@@ -86,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_contamination": op8_contamination,
     "op9_quality": op9_quality,
     "op10_preferences": op10_preferences,
+    "op11_token_files": op11_token_files,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_collocations": op13_collocations,
 }
-ORACLES: dict[str, str] = {"op10_preferences": chat.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
+ORACLES: dict[str, str] = {"op10_preferences": chat.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_collocations": collocations.ORACLE}
