@@ -21,14 +21,14 @@ _LOW, _WORD, _WHOLE = np.uint64(1 << 48), np.uint64(16), 1 << 32
 
 
 class _Model:
-    """State of `lanes` blocks, the longest first; a step takes the first m of them. Table entries hold number + 1 and, in two bits, how often it was right in turn."""
+    """State of `lanes` blocks, the longest first; a step takes the first m of them. Contexts and table entries are numbers + 1; entries also hold, in two bits, how often they were right in turn. Nothing depends on the other blocks of a step."""
 
     def __init__(self, lanes: int, distinct: int, lookup: bool):
         lane = np.arange(lanes, dtype=np.int64)
         self.width, self.lookup = distinct + 1, lookup
         self.one, self.two = np.zeros(lanes * (distinct + 2), np.int32), np.zeros(lanes * PAIRS, np.int32)
         self.at_one, self.at_two, self.at_state, self.at_freq, self.at_part = lane * (distinct + 2), lane * PAIRS, lane * 32, lane * self.width, lane * PARTS
-        self.last, self.before = np.full(lanes, distinct + 1, np.int64), np.full(lanes, distinct + 1, np.int64)
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         state = np.arange(32)
         self.known2, self.known1 = (state >> 2 & 3) > 0, ((state & 3) > 0) & (state < 16)
         #: Times of each event in each state, from a start of a few.
@@ -93,14 +93,15 @@ class _Model:
 
     def update(self, t: int, m: int, symbols: np.ndarray, kind: np.ndarray, who: np.ndarray) -> None:
         """`kind`: 0 and 1 for the predictions, 2 for the others, `who`."""
-        up = (symbols + 1).astype(np.int32)
+        after = symbols + 1
+        up = after.astype(np.int32)
         base = up << 2
         self.two[self.i2] = base + np.minimum(self.c2 * (kind == 0) + 1, 3)
         self.one[self.i1] = base + np.minimum(self.c1 * (self.e1 >> 2 == up) + 1, 3)
         own = symbols[who]
         self.seen[who] += own == self.seen[who]
         self.before[:m] = self.last[:m]
-        self.last[:m] = symbols
+        self.last[:m] = after
         self.rows.append((self.state, kind, symbols))
         if (t + 1) % EVERY == 0 or t + 1 in FIRST:
             self._learn(m)

@@ -28,6 +28,10 @@ def round_trip(blocks):
     coded = encode_blocks(blocks)
     back = decode_blocks([(len(b), distinct, code) for b, (distinct, code) in zip(blocks, coded, strict=True)])
     assert all(np.array_equal(a, b) for a, b in zip(blocks, back, strict=True))
+    for k in (1, 3):  # whatever other blocks are coded beside them
+        for a in range(0, len(blocks), k):
+            some = decode_blocks([(len(b), *c) for b, c in zip(blocks[a : a + k], coded[a : a + k], strict=True)])
+            assert all(np.array_equal(x, y) for x, y in zip(blocks[a : a + k], some, strict=True))
     return sum(len(c) + 2 * len(d) for d, c in coded)
 
 
