@@ -85,41 +85,19 @@ def first_rows(df: DataFrame, key: Sequence[str], order: Sequence[Column], n: in
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
 
 
-def neighbour_text(
-    df: DataFrame, key: Sequence[str], page_col: str, order: Sequence[str], head: Column, tail: Column, chars: int,
-    reach: int, size: int = BLOCK_SIZE,
+def total_before(
+    df: DataFrame, key: Sequence[str], page_col: str, order: Sequence[str], value: str, name: str, size: int = BLOCK_SIZE
 ) -> DataFrame:
-    """Adds `_after` and `_before`: up to `chars` characters of the text that follows and precedes a row.
-
-    `head` and `tail` are the row's own edges; those of at most `reach` neighbours on each side are joined.  Row
-    windows stay inside a block, one prefix and one suffix per block cross over.
-    """
+    """Sum of `value` over the earlier rows of the same `key`, in page order; 0 on the first row."""
     key = list(key)
-    df = df.withColumn("_block", block_of(F.col(page_col), size)).withColumn("_head", head).withColumn("_tail", tail)
-    inside = Window.partitionBy(*key, "_block").orderBy(*order)
-    backwards = Window.partitionBy(*key, "_block").orderBy(*[F.col(c).desc() for c in order])
-    rows = (
-        df.withColumn("_in_after", F.array_join(F.collect_list("_head").over(inside.rowsBetween(1, reach)), ""))
-        .withColumn("_in_before", F.array_join(F.collect_list("_tail").over(inside.rowsBetween(-reach, -1)), ""))
-        .withColumn("_k", F.row_number().over(inside))
-    )
-    narrow = df.select(*key, "_block", *order, "_head", "_tail")
-    first = narrow.withColumn("_k", F.row_number().over(inside)).filter(F.col("_k") <= reach)
-    last = narrow.withColumn("_k", F.row_number().over(backwards)).filter(F.col("_k") <= reach)
-    prefix = first.groupBy(*key, "_block").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_head"))), lambda s: s["_head"]), "").alias("_prefix"))
-    suffix = last.groupBy(*key, "_block").agg(
-        F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("_k", "_tail")))), lambda s: s["_tail"]), "").alias("_suffix"))
-    across = Window.partitionBy(*key).orderBy("_block")
-    edges = (
-        prefix.join(suffix, [*key, "_block"])
-        .withColumn("_x_after", F.array_join(F.collect_list("_prefix").over(across.rowsBetween(1, reach)), ""))
-        .withColumn("_x_before", F.array_join(F.collect_list("_suffix").over(across.rowsBetween(-reach, -1)), ""))
-        .drop("_prefix", "_suffix")
-    )
+    df = df.withColumn("_block", block_of(F.col(page_col), size))
+    before = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*key, "_block").agg(F.sum(value).alias("_sum"))
+    carry = sums.select(*key, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carry"))
+    inside = Window.partitionBy(*key, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.join(edges, [*key, "_block"])
-        .withColumn("_after", F.substring(F.concat("_in_after", "_x_after"), 1, chars))
-        .withColumn("_before", F.right(F.concat("_x_before", "_in_before"), F.lit(chars)))
-        .drop("_block", "_head", "_tail", "_in_after", "_in_before", "_k", "_x_after", "_x_before")
+        df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .join(carry, [*key, "_block"])
+        .withColumn(name, (F.col("_carry") + F.col("_inside")).cast("long"))
+        .drop("_block", "_inside", "_carry")
     )

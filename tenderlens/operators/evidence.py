@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tenderlens.functions import patterns as pt
 from tenderlens.functions import text as tx
 from tenderlens.operators import blocks
 from tenderlens.rules import pack
@@ -218,32 +219,33 @@ def subcontract_plan_score(text: Column, lowered: Column, minimum: float = 5.0)
 # --- substring search of many terms -----------------------------------------------------------------------------
 
 
-SHORT_TERM = 4
+def term_starts(terms: DataFrame) -> tuple[DataFrame, str | None]:
+    """(longest, item_no, term): for each term of (item_no, term) the terms that begin like it; and one pattern for all terms.
+
+    Terms come from the rule book, so their number follows it and not the pages.
+    """
+    asked = cut_lineage(terms.select("item_no", "term").filter("term <> ''").distinct())
+    listed = [r.term for r in asked.select("term").distinct().collect()]
+    heads = asked.select(F.col("term").alias("longest")).distinct().select(
+        "longest", F.explode(F.transform(F.sequence(F.lit(1), F.length("longest")), lambda n: F.substring(F.col("longest"), F.lit(1), n))).alias("term")
+    )
+    return heads.join(asked, "term").select("longest", "item_no", "term"), pt.trie_regex(listed) if listed else None
+
+
+def _longest(text: Column, regex: str | None) -> Column:
+    return pt.longest_terms(text, regex) if regex else F.expr("cast(array() as array<string>)")
 
 
 def substring_hits(page: DataFrame, terms: DataFrame, lower: bool) -> DataFrame:
-    """Number of distinct terms of each item that occur in each page, as substrings.
+    """Number of distinct terms of each item (item_no, term) that occur in each page, as substrings.
 
-    Terms (item_no, term) are runs of two or more letters or digits, so an occurrence lies inside one word.  Of a
-    page's distinct character runs only those that are terms of up to four characters become rows.  Longer ones first meet the
-    vocabulary of all pages, which is far smaller than their text, and pages then meet the matching words by
-    equality.  No page is paired with a term it does not hold, and page text itself is never joined.
+    A page is searched once, at every place, for the longest term that begins there; only matches become rows, and what begins
+    like a match is added from the terms alone.
     """
+    starts, regex = term_starts(terms)
     text = F.lower("page_text") if lower else F.col("page_text")
-    runs = F.concat(*[
-        F.regexp_extract_all(text, F.lit(f"(?=([0-9A-Za-z가-힣]{{{n}}}))"), F.lit(1)) for n in range(2, SHORT_TERM + 1)
-    ])
-    asked = cut_lineage(terms.select("item_no", "term").distinct())
-    brief = asked.filter(F.length("term") <= SHORT_TERM)
-    every = brief.select(F.array_sort(F.collect_set("term"))).scalar()
-    short = page.select(*PAGE_ID, F.explode(F.array_intersect(runs, every)).alias("term")).join(brief, "term")
-    long_terms = asked.filter(F.length("term") > SHORT_TERM).withColumn("_key", F.substring("term", 1, SHORT_TERM))
-    words = page.select(*PAGE_ID, F.explode(F.array_distinct(F.filter(tx.words(text), lambda w: F.length(w) > SHORT_TERM))).alias("word"))
-    keys = F.array_distinct(F.regexp_extract_all("word", F.lit(f"(?=(.{{{SHORT_TERM}}}))"), F.lit(1)))
-    vocabulary = words.select("word").distinct().select("word", F.explode(keys).alias("_key"))
-    matched = vocabulary.join(long_terms, "_key").filter(F.contains(F.col("word"), F.col("term"))).select("word", "item_no", "term").distinct()
-    long = words.join(matched, "word").select(*PAGE_ID, "item_no", "term").distinct()
-    return short.select(*PAGE_ID, "item_no", "term").unionByName(long).groupBy(*PAGE_ID, "item_no").agg(F.count(F.lit(1)).alias("hits"))
+    found = page.select(*PAGE_ID, F.explode(_longest(text, regex)).alias("longest")).join(starts, "longest")
+    return found.groupBy(*PAGE_ID, "item_no").agg(F.count_distinct("term").alias("hits"))
 
 
 def direct_terms(hits: DataFrame) -> DataFrame:
@@ -297,36 +299,37 @@ def context_only(text: Column) -> Column:
 
 # --- locating quotes -----------------------------------------------------------------------------------------------
 
-PROBE = 20
 QUOTE_HEAD = 180
 CHUNK = 80
 MAX_CHUNKS = 8
 
 
+def page_fingerprints(page: DataFrame) -> DataFrame:
+    """(page, probe): fingerprints of compact page text, at most a fifth as many as it has characters."""
+    return page.select(*PAGE_ID, F.explode(pt.fingerprints(tx.compact(F.col("page_text")))).alias("probe"))
+
+
 def locate_evidence(quotes: DataFrame, page: DataFrame) -> DataFrame:
     """Page that holds each quote (document_id, quote_id, quote): its head, else most of its chunks.
 
-    Quotes and pages of a document meet on twenty-character probes, not pairwise, so a large document with many
-    quotes does not multiply.
+    Quotes and pages of a document meet on the fingerprint of a piece's first window, which every page that holds the piece has,
+    and what met is compared in full.  Quotes shorter than a window are not located.
     """
     compact = tx.compact(F.col("quote"))
-    q = quotes.select("document_id", "quote_id", compact.alias("_q")).filter(F.length("_q") >= PROBE)
+    q = quotes.select("document_id", "quote_id", compact.alias("_q")).filter(F.length("_q") >= pt.SURE)
     head_probe = F.array(F.struct(F.lit(-1).alias("part"), tx.head(F.col("_q"), QUOTE_HEAD).alias("piece")))
     n_chunks = F.least(F.lit(MAX_CHUNKS), F.ceil((F.length("_q") - CHUNK) / F.lit(float(CHUNK))).cast("int"))
     chunk_list = F.when(
         F.length("_q") > CHUNK,
         F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda i: F.struct(i.alias("part"), F.substring(F.col("_q"), i * CHUNK + 1, F.lit(CHUNK)).alias("piece"))),
     ).otherwise(F.expr("cast(array() as array<struct<part:int,piece:string>>)"))
-    probes = q.select("document_id", "quote_id", F.explode(F.concat(head_probe, chunk_list)).alias("_p")).select(
-        "document_id", "quote_id", F.col("_p.part").alias("part"), F.col("_p.piece").alias("piece"), F.substring("_p.piece", 1, PROBE).alias("probe")
+    pieces = q.select("document_id", "quote_id", F.explode(F.concat(head_probe, chunk_list)).alias("_p")).select(
+        "document_id", "quote_id", F.col("_p.part").alias("part"), F.col("_p.piece").alias("piece"), pt.first_fingerprint(F.col("_p.piece")).alias("probe")
     )
-    wanted = probes.select("document_id", "probe").distinct()
+    met = pieces.join(page_fingerprints(page), ["document_id", "probe"])
     text = page.select(*PAGE_ID, tx.compact(F.col("page_text")).alias("_text"))
-    grams = F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{PROBE}}}))"), F.lit(1)))
-    seen = text.select(*PAGE_ID, F.explode(grams).alias("probe")).join(wanted, ["document_id", "probe"], "left_semi")
-    met = probes.join(seen, ["document_id", "probe"])
-    pieces = met.join(text, PAGE_ID).filter(F.contains(F.col("_text"), F.col("piece")))
-    found = pieces.groupBy("document_id", "quote_id", "page_no", "seq").agg(
+    held = met.join(text, PAGE_ID).filter(F.contains(F.col("_text"), F.col("piece")))
+    found = held.groupBy("document_id", "quote_id", "page_no", "seq").agg(
         F.max((F.col("part") == -1).cast("int")).alias("whole"), F.count_if(F.col("part") >= 0).alias("score")
     ).filter("whole = 1 or score > 0")
     order = F.struct((-F.col("whole")).alias("w"), F.when(F.col("whole") == 1, 0).otherwise(-F.col("score")).alias("s"), "page_no", "seq")
@@ -465,73 +468,68 @@ def special_item_score(t: Column, compact: Column) -> dict[str, Column]:
     }
 
 
-def _with_fallback(top: DataFrame, page: DataFrame, items: DataFrame, limit: int) -> DataFrame:
-    """Add the first pages of a document for the items that no page scored for."""
-    first = blocks.first_rows(page.select(*PAGE_ID), ["document_id"], [F.col("page_no"), F.col("seq")], limit)
-    every = items.select(F.collect_set("item_no").alias("_items"))
-    pairs = first.withColumn("item_no", F.explode(every.scalar()))
-    rest = pairs.join(top.select("document_id", "item_no").distinct(), ["document_id", "item_no"], "left_anti")
-    return top.unionByName(rest.select("document_id", "item_no", "rank", "page_no", "seq", F.lit(0).cast("long").alias("score")))
+def _with_fallback(top: DataFrame, pages: DataFrame, items: DataFrame, limit: int) -> DataFrame:
+    """Add the first of `pages`, narrow rows, for the items of a document that no page scored for."""
+    first = blocks.first_rows(pages.select(*PAGE_ID), ["document_id"], [F.col("page_no"), F.col("seq")], limit)
+    first = first.groupBy("document_id").agg(F.collect_list(F.struct("rank", "page_no", "seq")).alias("_first"))
+    every = items.select(F.collect_set("item_no")).scalar()
+    scored = top.groupBy("document_id").agg(F.collect_set("item_no").alias("_scored"))
+    open_ = first.join(scored, "document_id", "left").select("document_id", "_first", F.explode(F.array_except(every, F.coalesce("_scored", F.expr("cast(array() as array<string>)")))).alias("item_no"))
+    rest = open_.select("document_id", "item_no", F.explode("_first").alias("_f"))
+    return top.unionByName(rest.select("document_id", "item_no", "_f.rank", "_f.page_no", "_f.seq", F.lit(0).cast("long").alias("score")))
+
 
+NO_ENTRIES = "array<struct<item_no:string,longest:string,points:bigint>>"
 
-def _named_items(page: DataFrame, items: DataFrame) -> DataFrame:
-    """(page, item_no): the item numbers of `items` that occur in a page's text."""
+
+def _entry(item_no: Column, term: Column, points: Column) -> Column:
+    return F.struct(item_no.cast("string").alias("item_no"), term.cast("string").alias("longest"), points.cast("long").alias("points"))
+
+
+def _page_points(page: DataFrame, terms: DataFrame, items: DataFrame, mention: int, mention_own: int, more: Column, carried: list[Column]) -> DataFrame:
+    """(page, item_no, score, carried): one search of each page for all terms and item numbers, besides the entries of `more`.
+
+    An item number in the text gives `mention` points, or `mention_own` if it is a query term of its item as well; each distinct
+    term gives one.
+    """
+    starts, regex = term_starts(terms)
+    own = [r[0] for r in terms.filter("term = item_no").select("item_no").distinct().collect()]  # of the rule book
     every = items.select(F.array_sort(F.collect_set("item_no"))).scalar()
-    low = page.select(*PAGE_ID, F.lower("page_text").alias("_low"), every.alias("_every"))
-    return low.select(*PAGE_ID, F.explode(F.filter("_every", lambda n: F.contains(F.col("_low"), n))).alias("item_no"))
+    null = F.lit(None)
+    low = page.withColumn("_low", F.lower("page_text")).withColumn("_every", every)
+    named = F.transform(F.filter("_every", lambda n: F.contains(F.col("_low"), n)), lambda n: _entry(n, null, F.when(n.isin(own), mention_own).otherwise(mention) if own else F.lit(mention)))
+    matched = F.transform(_longest(F.col("_low"), regex), lambda t: _entry(null, t, F.lit(0)))
+    rows = low.select(*PAGE_ID, *carried, F.explode(F.concat(F.coalesce(named, F.array().cast(NO_ENTRIES)), F.coalesce(matched, F.array().cast(NO_ENTRIES)), more)).alias("_e"))
+    told = rows.select(*PAGE_ID, *[c for c in rows.columns if c not in (*PAGE_ID, "_e")], "_e.*").join(starts.withColumnRenamed("item_no", "_item"), "longest", "left")
+    told = told.withColumn("item_no", F.coalesce("item_no", "_item")).join(items.select("item_no").distinct(), "item_no", "left_semi")
+    kept = [c for c in rows.columns if c not in (*PAGE_ID, "_e")]
+    return told.groupBy(*PAGE_ID, "item_no").agg((F.sum("points") + F.count_distinct("term")).alias("score"), *[F.first(c).alias(c) for c in kept])
 
 
 def rank_evidence_pages(page: DataFrame, items: DataFrame, hits: DataFrame, limit: int = 10) -> DataFrame:
     """Best pages per document and item: query-term hits, characteristic signals, the item number, no warning."""
-    terms = query_terms(hits, pack.RANK_STOPWORDS)
-    by_term = substring_hits(page, terms, lower=True).select(*PAGE_ID, "item_no", F.col("hits").alias("points"))
-    mentioned = _named_items(page, items).withColumn(
-        "points", F.lit(4).cast("long")
-    )
-    # A two-figure item number that is also a query term counts once.
-    twice = mentioned.join(terms.select("item_no", "term").filter("term = item_no").select("item_no").distinct(), "item_no", "left_semi")
-    mentioned = mentioned.join(twice.select(*PAGE_ID, "item_no", F.lit(1).alias("_twice")), [*PAGE_ID, "item_no"], "left").select(
-        *PAGE_ID, "item_no", (F.col("points") - F.coalesce("_twice", F.lit(0))).alias("points")
-    )
     bonus = special_item_score(F.col("page_text"), F.col("_compact"))
-    entries = F.array(*[F.struct(F.lit(k).alias("item_no"), v.cast("long").alias("points")) for k, v in bonus.items()])
-    special = page.filter("not has_toc").withColumn("_compact", tx.compact(F.col("page_text"))).select(
-        *PAGE_ID, F.explode(F.filter(entries, lambda e: e["points"] != 0)).alias("_e")
-    ).select(*PAGE_ID, "_e.item_no", "_e.points")
-    total = by_term.unionByName(mentioned).unionByName(special).groupBy(*PAGE_ID, "item_no").agg(F.sum("points").alias("score"))
-    warned = page.filter(F.length("parser_warning") > 0).select(*PAGE_ID, F.lit(1).alias("_w"))
-    scored = total.join(items.select("item_no").distinct(), "item_no", "left_semi").join(warned, PAGE_ID, "left")
-    scored = scored.withColumn("score", F.col("score") - F.coalesce("_w", F.lit(0))).filter("score > 0").drop("_w")
-    top = blocks.first_rows(scored, ["document_id", "item_no"], [F.col("score").desc(), F.col("page_no"), F.col("seq")], limit)
+    entries = F.filter(F.array(*[_entry(F.lit(k), F.lit(None), v) for k, v in bonus.items()]), lambda e: e["points"] != 0)
+    special = F.when(F.col("has_toc"), F.array().cast(NO_ENTRIES)).otherwise(entries)
+    warned = (F.length("parser_warning") > 0).alias("_warned")
+    told = _page_points(page.withColumn("_compact", tx.compact(F.col("page_text"))), query_terms(hits, pack.RANK_STOPWORDS), items, 4, 3, F.coalesce(special, F.array().cast(NO_ENTRIES)), [warned])
+    scored = told.withColumn("score", F.col("score") - F.coalesce(F.col("_warned").cast("int"), F.lit(0))).filter("score > 0")
+    top = blocks.first_rows(scored.select(*PAGE_ID, "item_no", "score"), ["document_id", "item_no"], [F.col("score").desc(), F.col("page_no"), F.col("seq")], limit)
     return _with_fallback(top.select("document_id", "item_no", "rank", "page_no", "seq", "score"), page, items, limit)
 
 
 def select_prompt_pages(page: DataFrame, items: DataFrame, hits: DataFrame, max_pages: int = 12) -> DataFrame:
     """Pages shown to the external judge: all of a short document, else the best by terms and role."""
-    narrow = page.groupBy("document_id").agg(F.count(F.lit(1)).alias("_n"))
-    short = narrow.filter(F.col("_n") <= max_pages).select("document_id")
-    long_pages = page.join(short, "document_id", "left_anti")
-    by_term = substring_hits(long_pages, query_terms(hits, []), lower=True).select(*PAGE_ID, "item_no", F.col("hits").alias("points"))
-    mentioned = _named_items(long_pages, items).withColumn(
-        "points", F.lit(1).cast("long")
-    )
-    own = query_terms(hits, []).filter("term = item_no").select("item_no")
-    mentioned = mentioned.join(own, "item_no", "left_anti")
-    table_items = F.when(F.col("has_eval_table") | F.col("has_table"), F.array(*[F.lit(i) for i in pack.ROUTES["table"]]))
-    form_items = F.when(F.col("has_attachment") | F.col("has_blind") | F.col("has_commercial_sw"), F.array(*[F.lit(i) for i in pack.ROUTES["attachment"]]))
-    empty = F.array().cast("array<string>")
-    role = long_pages.select(*PAGE_ID, F.explode(F.concat(F.coalesce(table_items, empty), F.coalesce(form_items, empty))).alias("item_no")).withColumn(
-        "points", F.lit(8).cast("long")
-    )
-    total = by_term.unionByName(mentioned).unionByName(role).groupBy(*PAGE_ID, "item_no").agg(F.sum("points").alias("score"))
-    minus = 2 * F.col("has_toc").cast("int") + F.coalesce((F.length("parser_warning") > 0).cast("int"), F.lit(0))
-    flags = long_pages.select(*PAGE_ID, minus.alias("_minus")).filter("_minus > 0")
-    scored = total.join(items.select("item_no").distinct(), "item_no", "left_semi").join(flags, PAGE_ID, "left")
-    scored = scored.withColumn("score", F.col("score") - F.coalesce("_minus", F.lit(0))).filter("score > 0").drop("_minus")
-    top = blocks.first_rows(scored, ["document_id", "item_no"], [F.col("score").desc(), F.col("page_no"), F.col("seq")], max_pages)
-    picked = _with_fallback(top.select("document_id", "item_no", "rank", "page_no", "seq", "score"), long_pages, items, max_pages)
-    few = page.join(short, "document_id", "left_semi").select(*PAGE_ID)
-    few = blocks.first_rows(few, ["document_id"], [F.col("page_no"), F.col("seq")], max_pages)
+    narrow = page.select(*PAGE_ID)
+    short = narrow.groupBy("document_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= max_pages).select("document_id")
+    roles = [(F.col("has_eval_table") | F.col("has_table"), pack.ROUTES["table"]), (F.col("has_attachment") | F.col("has_blind") | F.col("has_commercial_sw"), pack.ROUTES["attachment"])]
+    role = F.concat(*[F.when(flag, F.array(*[_entry(F.lit(i), F.lit(None), F.lit(8)) for i in own])).otherwise(F.array().cast(NO_ENTRIES)) for flag, own in roles])
+    minus = (2 * F.col("has_toc").cast("int") + F.coalesce((F.length("parser_warning") > 0).cast("int"), F.lit(0))).alias("_minus")
+    told = _page_points(page, query_terms(hits, []), items, 1, 0, role, [minus]).join(short, "document_id", "left_anti")
+    scored = told.withColumn("score", F.col("score") - F.col("_minus")).filter("score > 0")
+    top = blocks.first_rows(scored.select(*PAGE_ID, "item_no", "score"), ["document_id", "item_no"], [F.col("score").desc(), F.col("page_no"), F.col("seq")], max_pages)
+    picked = _with_fallback(top.select("document_id", "item_no", "rank", "page_no", "seq", "score"), narrow.join(short, "document_id", "left_anti"), items, max_pages)
+    few = blocks.first_rows(narrow.join(short, "document_id", "left_semi"), ["document_id"], [F.col("page_no"), F.col("seq")], max_pages)
     every = items.select(F.collect_set("item_no").alias("_items"))
     few = few.withColumn("item_no", F.explode(every.scalar())).select("document_id", "item_no", "rank", "page_no", "seq", F.lit(0).cast("long").alias("score"))
     return picked.unionByName(few)

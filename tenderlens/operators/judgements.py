@@ -18,6 +18,7 @@ from tenderlens.operators import requirements as rq
 from tenderlens.operators.signals import CHECKLIST, SAME_SCORE, TIE_RULE
 from tenderlens.rules import pack
 from tenderlens.schema import REVIEW
+from tenderlens.session import cut_lineage
 
 NO_PAGES = "cast(array() as array<int>)"
 NO_TEXTS = "cast(array() as array<string>)"
@@ -175,52 +176,83 @@ def item_keyword(signals: DataFrame, documents: DataFrame, item_no: str, overlap
 # --- 2 and 2-1 -----------------------------------------------------------------------------------------------
 
 
-def joined_text(page: DataFrame, chars: int, reach: int) -> DataFrame:
-    """Pages outside the contents with the joined text just before and after each of them.
+#: Offsets that meet in one bucket, and compact characters of one cell of page edges.
+REACH_BUCKET, EDGE_CELL = 256, 2048
 
-    The text of a document is its pages joined by blanks.  Only the edges of the neighbours are carried.
-    """
-    body = page.filter("not has_toc").select(*ev.PAGE_ID, tx.text_or_empty(F.col("page_text")).alias("page_text"))
-    return blocks.neighbour_text(
-        body, ["document_id"], "page_no", ["page_no", "seq"],
-        F.concat(F.lit(" "), tx.head(F.col("page_text"), chars)), F.concat(F.right(F.col("page_text"), F.lit(chars)), F.lit(" ")), chars, reach,
-    )
 
+def buckets_of(start: Column, stop: Column) -> Column:
+    """Buckets that the offsets from `start` to `stop` lie in."""
+    return F.sequence(F.floor(F.greatest(start, F.lit(0)) / F.lit(REACH_BUCKET)), F.floor(F.greatest(stop, F.lit(0)) / F.lit(REACH_BUCKET)))
 
-def joined_compact(page: DataFrame, chars: int) -> DataFrame:
-    """Compact page text followed by the first `chars` compact characters after it, blank pages left out."""
-    body = page.select(*ev.PAGE_ID, tx.compact(F.col("page_text")).alias("c")).filter("c <> ''")
-    linked = blocks.neighbour_text(
-        body, ["document_id"], "page_no", ["page_no", "seq"], tx.head(F.col("c"), chars), F.lit(""), chars, chars
-    )
-    return linked.select(*ev.PAGE_ID, F.concat("c", "_after").alias("c"))
+
+# Purchase wording, and the notation that may be cut by a page break between number and unit.
+PURCHASE_WORDS = [*pack.COMMERCIAL_SW, *pack.PURCHASE_ACTIONS]
+OPEN_AMOUNT = f"([\\d,]+(?:\\.\\d+)?)[{tx.SPACE}]*$"
+UNIT_FIRST = f"^([{tx.SPACE}]*(?:억원|억|천만원|천만|백만원|백만|만원|원))"
 
 
-EDGE = 130
+def offset_index(page: DataFrame) -> DataFrame:
+    """Purchase words, negations and amounts of the pages outside the contents, by offset in the text of the document.
+
+    Rows: document_id, kind ("word", "negation", "amount"), start, stop, won.  The text of a document is its pages joined by
+    blanks; a page's offset is the sum of the lengths before it, by block.  Words and negations hold no blank, so each lies in one
+    page; an amount whose number ends a page takes its unit from the next page that is not blank.  Page text is read once and never
+    moved.
+    """
+    source = tx.text_or_empty(F.col("page_text"))
+    terms = "|".join([*PURCHASE_WORDS, *[n for n in pack.NEGATIONS if " " not in n]])
+    digits, unit = F.regexp_extract(source, OPEN_AMOUNT, 1), F.regexp_extract(source, UNIT_FIRST, 1)
+    marks = page.filter("not has_toc").select(
+        *ev.PAGE_ID, F.length(source).alias("_length"), tx.match_spans(source, terms).alias("_terms"), tx.match_spans(source, tx.AMOUNT_REGEX).alias("_amounts"),
+        digits.alias("_digits"), F.length(F.regexp_replace(source, OPEN_AMOUNT, "")).alias("_digits_at"), unit.alias("_unit"), (tx.strip(source) == "").alias("_blank"),
+    )
+    placed = blocks.total_before(marks.withColumn("_own", F.col("_length") + 1), ["document_id"], "page_no", ["page_no", "seq"], "_own", "_base")
+    placed = cut_lineage(placed.drop("_own"))
+    base = F.col("_base")
+    inside = placed.select("document_id", "_base", F.explode(F.concat(
+        F.transform("_terms", lambda s: F.struct(F.when(s["value"].isin(PURCHASE_WORDS), "word").otherwise("negation").alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.lit(None).cast("long").alias("won"))),
+        F.transform("_amounts", lambda s: F.struct(F.lit("amount").alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), tx.parse_amount(s["value"]).alias("won"))),
+    )).alias("s")).select("document_id", "s.kind", (base + F.col("s.start")).alias("start"), (base + F.col("s.stop")).alias("stop"), "s.won")
+    told = placed.filter("not _blank").withColumn("_head", F.struct("_unit", (base + F.length("_unit")).alias("stop")))
+    told = blocks.following_value(told, ["document_id"], "page_no", ["page_no", "seq"], "_head", "_next").filter("_digits <> '' and _next._unit <> ''")
+    broken = told.select("document_id", F.lit("amount").alias("kind"), (base + F.col("_digits_at")).alias("start"), F.col("_next.stop").alias("stop"), tx.parse_amount(F.concat("_digits", "_next._unit")).alias("won"))
+    return inside.unionByName(broken)
+
+
+def compact_pieces(page: DataFrame, chars: int) -> DataFrame:
+    """(document_id, c): compact text of every page, and what `chars` characters can make of it across page breaks.
+
+    Only the edges of pages move: they are put together by cells of compact offsets, with a blank, which compact text does not
+    hold, where edges do not touch.  Whatever `chars` characters the joined compact pages of a document hold in a row is in a row.
+    """
+    body = page.select(*ev.PAGE_ID, tx.compact(F.col("page_text")).alias("c")).filter("c <> ''")
+    part = lambda at, text: F.struct(F.lit(at).cast("long").alias("at") if isinstance(at, int) else at.cast("long").alias("at"), text.alias("text"))
+    edges = F.when(F.length("c") <= 2 * chars, F.array(part(0, F.col("c")))).otherwise(F.array(part(0, tx.head(F.col("c"), chars)), part(F.length("c") - chars, F.right("c", F.lit(chars)))))
+    narrow = body.select(*ev.PAGE_ID, F.length("c").alias("_length"), edges.alias("_edges"))
+    placed = blocks.total_before(narrow, ["document_id"], "page_no", ["page_no", "seq"], "_length", "_base")
+    slices = placed.select("document_id", "_base", F.explode("_edges").alias("e")).select("document_id", (F.col("_base") + F.col("e.at")).alias("start"), F.col("e.text").alias("text"))
+    slices = slices.withColumn("stop", F.col("start") + F.length("text"))
+    cells = F.sequence(F.floor(F.greatest(F.col("start") - chars, F.lit(0)) / F.lit(EDGE_CELL)), F.floor((F.col("stop") - 1) / F.lit(EDGE_CELL)))
+    gathered = slices.withColumn("cell", F.explode(cells)).groupBy("document_id", "cell").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "text"))).alias("_s"))
+    touching = lambda s, i: (i > 0) & (F.get("_s", i - 1)["stop"] == s["start"])
+    joined = F.array_join(F.transform("_s", lambda s, i: F.when(touching(s, i), s["text"]).otherwise(F.concat(F.lit(" "), s["text"]))), "")
+    return body.select("document_id", "c").unionByName(gathered.filter(F.size("_s") > 1).select("document_id", joined.alias("c")))
 
 
 def purchase_facts(page: DataFrame) -> DataFrame:
     """Per document: whether purchase wording occurs, whether it is negated, the amounts and trial terms near it."""
-    # each neighbour adds one character at least, the joining blank
-    text = joined_text(page, EDGE, EDGE + 1).withColumn("_t", F.concat("page_text", "_after"))
-    own = F.length("page_text")
-    words = [*pack.COMMERCIAL_SW, *pack.PURCHASE_ACTIONS]
-
-    def negated(word: str) -> Column:
-        reach = F.concat("page_text", tx.head(F.col("_after"), pack.NEGATION_REACH))
-        starts = [f"(?s){word}.{{0,{pack.NEGATION_REACH - len(n)}}}{n}" for n in pack.NEGATIONS]
-        return reduce(lambda a, b: a | b, [reach.rlike(p) for p in starts])
-
-    spans = F.filter(tx.match_spans(F.col("_t"), tx.AMOUNT_REGEX), lambda s: s["start"] < own)
-    before = F.length("_before")
-    wide = F.concat("_before", "_t")
-    near = F.filter(spans, lambda s: tx.contains_any(
-        F.substring(wide, F.greatest(before + s["start"] - 80, F.lit(0)) + 1, F.least(s["start"] + before, F.lit(80)) + (s["stop"] - s["start"]) + 80), words))
-    amounts = F.coalesce(F.array_max(F.transform(near, lambda s: tx.parse_amount(s["value"]))), F.lit(0).cast("long"))
-    by_page = text.select(
-        "document_id", reduce(lambda a, b: a | b, [negated(w) for w in words]).alias("negated"), amounts.alias("amount")
-    ).groupBy("document_id").agg(F.bool_or("negated").alias("negated"), F.max("amount").alias("sw_amount"))
-    compact = joined_compact(page.filter("not has_toc"), 24).withColumn("c", F.col("c"))
+    marks = cut_lineage(offset_index(page))
+    word = marks.filter("kind = 'word'").select("document_id", F.col("start").alias("w_start"), F.col("stop").alias("w_stop"))
+    behind = word.withColumn("_bucket", F.explode(buckets_of(F.col("w_stop"), F.col("w_stop") + pack.NEGATION_REACH)))
+    denial = marks.filter("kind = 'negation'").select("document_id", "start", "stop", F.floor(F.col("start") / F.lit(REACH_BUCKET)).alias("_bucket"))
+    # from the end of the word to the end of the negation
+    negated = behind.join(denial, ["document_id", "_bucket"]).filter((F.col("start") >= F.col("w_stop")) & (F.col("stop") - F.col("w_stop") <= pack.NEGATION_REACH))
+    amount = marks.filter("kind = 'amount'").select("document_id", "start", "stop", "won").withColumn("_bucket", F.explode(buckets_of(F.col("start") - 80, F.col("stop") + 80)))
+    at_word = word.withColumn("_bucket", F.floor(F.col("w_start") / F.lit(REACH_BUCKET)))
+    near = amount.join(at_word, ["document_id", "_bucket"]).filter((F.col("w_start") >= F.col("start") - 80) & (F.col("w_stop") <= F.col("stop") + 80))
+    facts = negated.select("document_id", F.lit(True).alias("negated"), F.lit(0).cast("long").alias("sw_amount")).unionByName(near.select("document_id", F.lit(False).alias("negated"), F.col("won").alias("sw_amount")))
+    every = page.filter("not has_toc").select("document_id", F.lit(False).alias("negated"), F.lit(0).cast("long").alias("sw_amount"))
+    by_page = every.unionByName(facts).groupBy("document_id").agg(F.bool_or("negated").alias("negated"), F.max("sw_amount").alias("sw_amount"))
     tests = {
         "has_sw": tx.contains_any(F.col("c"), pack.COMMERCIAL_SW),
         "has_purchase": tx.contains_any(F.col("c"), pack.PURCHASE_ACTIONS),
@@ -235,6 +267,7 @@ def purchase_facts(page: DataFrame) -> DataFrame:
         "listed_item": F.col("c").contains("등록제품"),
         "will_not": F.col("c").contains("아닐"),
     }
+    compact = compact_pieces(page.filter("not has_toc"), 24)
     found = compact.groupBy("document_id").agg(*[F.bool_or(v).alias(k) for k, v in tests.items()])
     return by_page.join(found, "document_id", "left").fillna(False, list(tests))
 
@@ -409,7 +442,7 @@ def item_12(signals: DataFrame, documents: DataFrame, page: DataFrame, overlaps:
     signal, off, deny = top("12:signal", 1), top("12:off", 1), top("12:deny", 1)
     table, plan = top("12:table", 3), top("12:table", 3, F.col("mask") == 1)
     # The two statements are sought in the text of the whole document, so across page breaks as well.
-    stated = joined_compact(page, len(TIE_RULE)).groupBy("document_id").agg(
+    stated = compact_pieces(page, len(TIE_RULE)).groupBy("document_id").agg(
         (F.bool_or(F.col("c").contains(TIE_RULE)) & F.bool_or(F.col("c").contains(SAME_SCORE))).alias("_stated")
     )
     flags = documents.select("document_id")
