@@ -110,15 +110,40 @@ def _best_overlap(counted: DataFrame) -> DataFrame:
     )
 
 
+#: A token on more than one in so many pages is common; at most that many times the mean number of words of a page are.
+COMMON_ONE_IN = 8
+
+
 def criteria_overlap(page: DataFrame, hits: DataFrame, tokens_needed: int = 3) -> DataFrame:
     """Best (criterion, page) of every document and item by the share of criterion tokens on the page.
 
-    An equi-join of distinct page tokens with distinct criterion tokens; counts are combined before the shuffle.
-    Columns of `hits`: query_item, rank_group, rank, title, snippet.
+    Columns of `hits`: query_item, rank_group, rank, title, snippet.  Pages and criteria meet on rare tokens only; counts are
+    combined before the shuffle.  What common tokens add is counted from the set of common tokens of a page.  Pages that share only
+    common tokens with a criterion differ by that set alone, so of a document and a set the first page stands for all, and each
+    distinct set is held against the criteria once.
     """
-    held = page_words(page).select(*PAGE_ID, F.explode("words").alias("token"))
-    pairs = held.join(_criterion_tokens(hits, tokens_needed), "token")
-    return _best_overlap(pairs.groupBy(*PAGE_ID, *CRITERION, "_size").agg(F.count(F.lit(1)).alias("shared"), F.min("token").alias("keyword")))
+    crit = cut_lineage(_criterion_tokens(hits, tokens_needed))
+    words = cut_lineage(page_words(page))
+    held = words.select(*PAGE_ID, F.explode("words").alias("token"))
+    frequency = cut_lineage(held.join(crit.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("_df")))
+    common = [r.token for r in frequency.filter(F.col("_df") * COMMON_ONE_IN > words.count()).select("token").collect()]
+    rare = crit.filter(~F.col("token").isin(common)) if common else crit
+    met = held.join(rare, "token").groupBy(*PAGE_ID, *CRITERION, "_size").agg(F.count(F.lit(1)).alias("shared"), F.min("token").alias("keyword"))
+    if not common:
+        return _best_overlap(met)
+    shared = crit.filter(F.col("token").isin(common)).groupBy(*CRITERION, "_size").agg(F.array_sort(F.collect_list("token")).alias("_common"))
+    sets = cut_lineage(words.select(*PAGE_ID, F.array_sort(F.filter("words", lambda w: w.isin(common))).alias("_set")).filter(F.size("_set") > 0))
+    both = F.array_intersect("_set", "_common")
+    more = met.join(sets, PAGE_ID, "left").join(shared.drop("_size"), CRITERION, "left").withColumn("_both", F.coalesce(both, F.expr("cast(array() as array<string>)")))
+    found = more.select(*PAGE_ID, *CRITERION, "_size", (F.col("shared") + F.size("_both")).alias("shared"), F.least("keyword", F.array_min("_both")).alias("keyword"))
+    first = sets.groupBy("document_id", "_set").agg(F.min(F.struct("page_no", "seq")).alias("_p"))
+    # distinct sets and criteria meet on the tokens of the sets, which are no pages
+    tokens = sets.select("_set").distinct().select("_set", F.explode("_set").alias("token"))
+    told = tokens.join(crit, "token").groupBy("_set", *CRITERION, "_size").agg(F.count(F.lit(1)).alias("shared"), F.min("token").alias("keyword"))
+    place = F.struct((-F.col("shared") / F.col("_size")).alias("neg"), "rank_group", "rank")
+    of_set = told.groupBy("_set", "query_item").agg(F.min_by(F.struct("rank_group", "rank", "_size", "shared", "keyword"), place).alias("_b"))
+    plain = first.join(of_set, "_set").select("document_id", "_p.*", "query_item", "_b.*")
+    return _best_overlap(found.unionByName(plain.select(*found.columns)))
 
 
 def accepted_overlap(words: DataFrame, hits: DataFrame, threshold: float = 0.7, tokens_needed: int = 3) -> DataFrame:

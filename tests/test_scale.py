@@ -77,6 +77,34 @@ def test_accepted_overlap_equals_the_full_join(spark, make_pages):
     assert full and {tuple(r) for r in evidence.accepted_overlap(evidence.page_words(page), hits).collect()} == full
 
 
+@pytest.mark.parametrize("everywhere", [[], ["and", "also", "the"]])
+def test_best_overlap_equals_all_pairs(spark, make_pages, everywhere):
+    rng = random.Random(8)
+    vocabulary = [f"word{i}" for i in range(60)]
+    words = {(p % 6, p): {*rng.sample(vocabulary, 8), *(w for w in everywhere if rng.random() < 0.7)} for p in range(1, 120)}
+    words[7, 1] = {"other", *everywhere}
+    criteria = [(str(i % 5), i % 2, i, [*rng.sample(vocabulary, 4), *rng.sample(everywhere, min(len(everywhere), rng.randrange(3)))]) for i in range(20)]
+    hits = spark.createDataFrame([(q, g, r, "", " ".join(t)) for q, g, r, t in criteria], "query_item string, rank_group int, rank int, title string, snippet string")
+    page = make_pages([page_row(p, " ".join(sorted(w)), doc=d) for (d, p), w in words.items()])
+    want = {}
+    for (d, p), own in words.items():
+        for q, g, r, t in criteria:
+            if both := own & set(t):
+                row = (-len(both) / len(set(t)), g, r, p, min(both))
+                want[d, q] = min(want.get((d, q), row), row)
+    got = {(r.document_id, r.item_no): (-r.coverage, r.page_no, r.keyword) for r in evidence.criteria_overlap(page, hits).collect()}
+    assert got == {k: (v[0], v[3], v[4]) for k, v in want.items()}
+    if everywhere:
+        assert (7, "0") in got or any(k[0] == 7 for k in got)  # documents that share only common words are in
+
+
+def test_common_words_are_no_join_keys(spark, make_pages):
+    page = make_pages([page_row(p, f"everywhere word{p % 50} other{p}", doc=p % 9) for p in range(1, 200)])
+    hits = spark.createDataFrame([("1", 0, 0, "", "everywhere word1 word2")], "query_item string, rank_group int, rank int, title string, snippet string")
+    plan = evidence.criteria_overlap(page, hits)._jdf.queryExecution().optimizedPlan().toString()
+    assert "NOT (token#" in plan and "everywhere" in plan  # criteria tokens that pages are joined on leave it out
+
+
 def test_substring_hits_equal_a_nested_loop(spark, make_pages):
     texts = ["하도급계획서 제출 abcdefg", "계획서 xabcdex", "전혀 다름", "abc 하도급"]
     page = make_pages([page_row(i + 1, t) for i, t in enumerate(texts)])
