@@ -27,6 +27,7 @@ from tenderlens.session import checkpoint_dir, cut_lineage
 from tenderlens.sources import pages as sp
 from tenderlens.sources import results as sr
 from tenderlens.streaming import ingest as st
+from tenderlens.streaming.state import store_by_bucket
 
 FLAGS = "has_table, has_attachment, has_eval_table, has_toc, has_blind, has_commercial_sw"
 
@@ -341,6 +342,16 @@ def job_progress(spark, sf):
     return st.job_progress(st.latest_state(inp.parse_events(spark, sf)), jobs(spark, sf)).drop("total_pages")
 
 
+@query("progress_stream", f"""
+WITH {LATEST}, job AS (SELECT job_id, count(DISTINCT page_no) AS selected_pages FROM parse_event GROUP BY 1),
+n AS (SELECT job_id, count(*) FILTER (status = 'succeeded') AS processed_pages, count(*) FILTER (status = 'failed') AS failed_pages, count(*) FILTER (status = 'succeeded' AND source = 'gpt') AS gpt_pages FROM latest GROUP BY 1)
+SELECT job_id, selected_pages, processed_pages, failed_pages, gpt_pages, round_even(processed_pages / selected_pages::DOUBLE * 100, 0)::INT AS progress_percent FROM job JOIN n USING (job_id)""")
+def progress_stream(spark, sf):
+    out = folder(spark, "progress")
+    st.progress_stream(event_stream(spark, sf), cut_lineage(jobs(spark, sf)), folder(spark, "state"), out, folder(spark, "commits")).awaitTermination()
+    return st.current_progress(spark, out).select("job_id", "selected_pages", "processed_pages", "failed_pages", "gpt_pages", "progress_percent")
+
+
 @query("pending_pages", f"WITH {LATEST} SELECT DISTINCT job_id, page_no FROM parse_event EXCEPT SELECT job_id, page_no FROM latest WHERE status = 'succeeded'")
 def pending_pages(spark, sf):
     return st.pending_pages(selected(spark, sf), st.latest_state(inp.parse_events(spark, sf)))
@@ -367,9 +378,8 @@ def finished_jobs(spark, sf):
 
 @query("finalize_documents")
 def finalize_documents(spark, sf):
-    page = cut_lineage(inp.pages(spark, sf))
-    finished = inp.read(spark, sf, "labels").select(F.col("doc_id").alias("document_id")).distinct()
-    status, _ = st.finalize_documents(page, inp.documents(spark, sf), finished)
+    page, documents = cut_lineage(inp.pages(spark, sf)), cut_lineage(inp.documents(spark, sf))
+    status, _ = st.finalize_documents(page, documents, documents.select("document_id"))
     return status.select("document_id", "parse_status", "audit_score", "audit_warning_count", "parse_warning_count")
 
 
@@ -377,11 +387,15 @@ def finalize_documents(spark, sf):
 def finalize_stream(spark, sf):
     """Events end pages; documents whose pages all succeeded are finalised from within the stream."""
     e = inp.parse_events(spark, sf)
-    page, documents = cut_lineage(inp.pages(spark, sf)), cut_lineage(inp.documents(spark, sf))
     wanted = e.filter("status = 'succeeded'").select("job_id", "page_no").distinct()
-    out, log = folder(spark, "final"), folder(spark, "log")
-    st.finalize_stream(event_stream(spark, sf).filter("status = 'succeeded'"), page, documents, wanted, log, out, folder(spark, "commits")).awaitTermination()
-    return spark.read.parquet(f"{out}/batch=*").select("document_id", "parse_status", "audit_score", "parse_warning_count")
+    stored = []
+    for df, key in ((inp.pages(spark, sf), "document_id"), (inp.documents(spark, sf), "document_id"), (wanted, "job_id")):
+        path = folder(spark, "store")
+        store_by_bucket(df, key, path)
+        stored.append(spark.read.parquet(path))
+    out = folder(spark, "final")
+    st.finalize_stream(event_stream(spark, sf).filter("status = 'succeeded'"), *stored, folder(spark, "state"), out, folder(spark, "commits")).awaitTermination()
+    return spark.read.parquet(out).select("document_id", "parse_status", "audit_score", "parse_warning_count")
 
 
 @query("hybrid_route_stream", f"""

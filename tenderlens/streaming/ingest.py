@@ -1,7 +1,8 @@
 """Page ingest as a stream: durable per-page events, latest state, progress, resume, finalisation.
 
 Events go to an append-only log, one folder per micro-batch.  A replayed batch overwrites its own folder, so a
-restart from the checkpoint neither loses nor doubles events.  State is always derived from the log.
+restart from the checkpoint neither loses nor doubles events.  What is derived while the stream runs (progress, finished jobs) is
+kept by bucket of the job (state.py), so that a micro-batch reads what it touches.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tenderlens.operators import audit, classify, pages
+from tenderlens.streaming import state as kept
 
 EVENT = T.StructType(
     [
@@ -80,9 +82,41 @@ def fail_running(state: DataFrame, failures: DataFrame, jobs: DataFrame) -> Data
     return hit.select("job_id", "page_no", F.lit("failed").alias("status"), "source", F.col("_e").alias("error"), (F.col("version") + 1).alias("version"))
 
 
+def progress_stream(events: DataFrame, jobs: DataFrame, state_path: str, out_path: str, checkpoint: str, buckets: int = kept.BUCKETS) -> StreamingQuery:
+    """job_progress() while events come in.
+
+    The stream keeps the last version of each (job, page) and hands on what changed; a version that comes late changes nothing.
+    Changes go into the snapshot of their buckets, and the jobs of a micro-batch get a new row each in `out_path`
+    (current_progress).
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        changed = batch.select("job_id", "page_no", "s.*", "version").select(*EVENT.fieldNames())
+        touched = kept.touched_buckets(changed, "job_id", buckets)
+        if not touched:
+            return
+        store = kept.BucketState(batch.sparkSession, state_path, EVENT, "job_id", buckets)
+        rows = store.replace(latest_state(store.before(batch_id, touched).unionByName(changed)), batch_id, touched)
+        active = changed.select("job_id").distinct()
+        own = kept.pruned(jobs, "job_id", touched, buckets).join(active, "job_id", "left_semi")
+        job_progress(rows.join(active, "job_id", "left_semi"), own).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+
+    last = events.groupBy("job_id", "page_no").agg(F.max_by(F.struct("status", "source", "error"), "version").alias("s"), F.max("version").alias("version"))
+    return last.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_progress(spark: SparkSession, out_path: str) -> DataFrame:
+    """Newest row of each job that progress_stream() has written."""
+    rows = spark.read.parquet(out_path)
+    rest = [c for c in rows.columns if c not in ("job_id", "batch")]
+    return rows.groupBy("job_id").agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select("job_id", "_r.*")
+
+
 def finished_jobs(selected: DataFrame, state: DataFrame) -> DataFrame:
     """Jobs none of whose selected pages is pending."""
-    return selected.select("job_id").distinct().join(pending_pages(selected, state).select("job_id"), "job_id", "left_anti")
+    blank = selected.filter("page_no is null").select("job_id").distinct()
+    done = kept.page_bitmaps(state.filter("status = 'succeeded'").select("job_id", "page_no"))
+    return kept.covered_jobs(kept.page_bitmaps(selected.select("job_id", "page_no")), done).join(blank, "job_id", "left_anti")
 
 
 def finalize_documents(page: DataFrame, document: DataFrame, finished: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,29 +137,40 @@ def _written(spark: SparkSession, out_path: str, batch_id: int) -> DataFrame | N
         if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
-    return found.filter(F.col("batch") != batch_id).select("document_id").distinct()
+    return found.filter(F.col("batch") != batch_id).select("document_id", "bucket")
 
 
-def finalize_stream(events: DataFrame, page: DataFrame, document: DataFrame, selected: DataFrame, log_path: str, out_path: str, checkpoint: str, jobs: DataFrame | None = None) -> StreamingQuery:
+def finalize_stream(
+    events: DataFrame, page: DataFrame, document: DataFrame, selected: DataFrame, state_path: str, out_path: str, checkpoint: str, jobs: DataFrame | None = None,
+    buckets: int = kept.BUCKETS,
+) -> StreamingQuery:
     """After every micro-batch, documents whose pages are all in are finalised and written.
 
-    The result of a batch is its own folder. A document that another batch has written is not written again, however often its
-    pages are delivered; nor is one whose job (job_id, status in `jobs`) is over.
+    Wanted and done pages of the touched jobs are compared as bitmaps. State, pages, documents, wanted pages and what is written are
+    taken from the touched buckets; tables stored by bucket (state.store_by_bucket) are read in those alone. The result of a batch is its own
+    folder. A document that another batch has written is not written again, however often its pages are delivered; nor is one
+    whose job (job_id, status in `jobs`) is over.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
-        touched = batch.select("job_id").distinct()
-        state = latest_state(read_log(spark, log_path).join(touched, "job_id", "left_semi"))
-        done = finished_jobs(selected.join(touched, "job_id", "left_semi"), state).withColumnRenamed("job_id", "document_id")
+        touched = kept.touched_buckets(batch, "job_id", buckets)
+        if not touched:
+            return
+        store = kept.BucketState(spark, state_path, EVENT, "job_id", buckets)
+        rows = store.replace(latest_state(store.before(batch_id, touched).unionByName(batch.select(*EVENT.fieldNames()))), batch_id, touched)
+        active = batch.select("job_id").distinct()
+        wanted = kept.pruned(selected, "job_id", touched, buckets).join(active, "job_id", "left_semi")
+        done = finished_jobs(wanted, rows.join(active, "job_id", "left_semi")).withColumnRenamed("job_id", "document_id")
         if jobs is not None:
-            done = done.join(jobs.filter(F.col("status").isin(TERMINAL)).select(F.col("job_id").alias("document_id")), "document_id", "left_anti")
+            over = kept.pruned(jobs, "job_id", touched, buckets).filter(F.col("status").isin(TERMINAL))
+            done = done.join(over.select(F.col("job_id").alias("document_id")), "document_id", "left_anti")
         earlier = _written(spark, out_path, batch_id)
         if earlier is not None:
-            done = done.join(earlier, "document_id", "left_anti")
-        status, _ = finalize_documents(page, document, done)
-        status.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+            done = done.join(kept.pruned(earlier, "document_id", touched, buckets).select("document_id").distinct(), "document_id", "left_anti")
+        own = kept.pruned(page, "document_id", touched, buckets)
+        status, _ = finalize_documents(own, kept.pruned(document, "document_id", touched, buckets), done)
+        status.withColumn("bucket", kept.bucket_of("document_id", buckets)).write.mode("overwrite").partitionBy("bucket").parquet(f"{out_path}/batch={batch_id}")
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
