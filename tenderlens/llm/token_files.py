@@ -20,8 +20,8 @@ from .range_coder import BLOCK_IDS, decode_blocks, encode_blocks
 
 #: Blocks that a task codes side by side; they bound its memory.
 LANES = 1536
-#: Words whose ids a task keeps.
-KEPT_WORDS = 400_000
+#: Words whose ids a Python worker keeps, from task to task.
+KEPT_WORDS = 700_000
 _HEAD = struct.Struct("<4sBBHIIIII")
 _MAGIC, _VERSION = b"TIDB", 1
 
@@ -71,6 +71,18 @@ class WordCoder:
         return np.insert(ids, sums[ends], np.uint32(end)), n
 
 
+_CODERS: dict[tuple[int, int, bool], WordCoder] = {}
+
+
+def _coder(definition: str, by_words: bool) -> WordCoder:
+    """The worker's coder of a vocabulary; it keeps the words of earlier tasks."""
+    key = (len(definition), zlib.crc32(definition.encode()), by_words)
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = WordCoder(definition, by_words)
+    return _CODERS[key]
+
+
 def make_frame(ids: np.ndarray, distinct: np.ndarray, code: bytes, pieces: list[tuple]) -> bytes:
     """One block as a part of a file: head, documents, distinct ids, code. Frames follow one another in a file without anything between.
 
@@ -117,7 +129,7 @@ def decode_frames(frames: list) -> Iterator[tuple[list[tuple], np.ndarray]]:
 
 def _frames(batches: Iterator[pa.RecordBatch], definition: str, end: int, by_words: bool) -> Iterator[tuple]:
     """(part, first, n, frame): the ids of a partition in blocks, first counted within the partition."""
-    coder = WordCoder(definition, by_words)
+    coder = _coder(definition, by_words)
     ids, keys, sizes, held = [], [], [], 0
     part = first = ordinal = taken = 0  # `taken`: ids of the first held document that are written
 
