@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, columns, pack, partitions, squeeze, squeeze_words, stage_path
+from .common import batches_of, columns, own_table, pack, partitions, squeeze, squeeze_words, stage_path
 
 #: A block is closed when it holds so many words; this bounds a task's memory, documents stay whole.
 BLOCK_WORDS = 8_000_000
@@ -87,6 +87,7 @@ def make_blocks(docs: DataFrame, key: str, text: str, splitter: Callable[[], Cal
     made = picked.mapInArrow(lambda batches: batches_of(rows(batches), schema), f"block binary, key {kind}, doc binary, bucket int, words binary, codes binary, flagged binary")
     name = f"llm_blocks_{uuid.uuid4().hex}"
     made.write.format("parquet").option("compression", "zstd").option("path", stage_path(spark, "blocks")).bucketBy(n, "block").saveAsTable(name)
+    own_table(name)
     table = spark.table(name)
     return (table.where("bucket IS NULL").select("block", "key", F.col("doc").alias("codes")), table.where("bucket IS NOT NULL").select("block", "bucket", "words", "codes", "flagged"))
 

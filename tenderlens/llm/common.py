@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tenderlens.session import checkpoint_dir
 
@@ -20,9 +22,43 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Who owns what is staged now, the innermost last.
+_OWNERS: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def owning(paths: list[str]) -> Iterator[None]:
+    """Paths of what is staged meanwhile are added to `paths`."""
+    _OWNERS.append(paths)
+    try:
+        yield
+    finally:
+        _OWNERS.pop()
+
+
+def own_table(name: str) -> None:
+    """The owner of what is staged now also drops this table."""
+    if _OWNERS:
+        _OWNERS[-1].append(f"table {name}")
+
+
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged folders by Spark's own file systems, and drop owned tables; the list is empty afterwards."""
+    while paths:
+        what = paths.pop()
+        if what.startswith("table "):
+            spark.sql(f"DROP TABLE IF EXISTS {what[6:]}")
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(what)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder of `spark.checkpoint.dir`."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/llm-{what}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{what}-{uuid.uuid4().hex}"
+    if _OWNERS:
+        _OWNERS[-1].append(path)
+    return path
 
 
 def stage(df: DataFrame, what: str) -> DataFrame:
@@ -32,6 +68,28 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a key filter, whatever the number of keys: 2 MB.
+FILTER_BITS = 1 << 24
+
+
+def key_filter(keys: DataFrame, key: str) -> bytes:
+    """Which places of FILTER_BITS the hashes of the keys take: every key is found again, of others few as long as keys are few."""
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(place).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    size = 4096  # of one bitmap of Spark
+    out = bytearray(FILTER_BITS // 8)
+    for r in rows:
+        out[(r["n"] - 1) * size : r["n"] * size] = r["bits"]
+    return bytes(out)
+
+
+def may_hold(filter_: bytes, key: str) -> Column:
+    """False for a key that is not in the filter's keys."""
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    byte = F.conv(F.hex(F.substring(F.lit(filter_), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.bit_get(byte, (place % 8).cast("int")) == 1
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

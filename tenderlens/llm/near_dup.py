@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, batches_of, columns, ragged, stage
+from .common import LOWER, batches_of, columns, key_filter, may_hold, ragged, stage
 from .components import components
 
 #: Bands and coordinates of one: two sets of similarity 0.8 share no band with a probability of (1 - 0.8 ** 6) ** 40 = 5e-6.
@@ -215,8 +215,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     asked = members.join(sizes, "cluster").select("digest", "cluster", "blocks", F.col("first").alias("key"))
     schema = pa.schema([("cluster", pa.int64()), ("blocks", pa.int32()), ("digest", pa.binary()), ("members", pa.binary())])
-    # shuffled whatever the sizes: the copies' ids grow with the corpus
-    sets = picked.join(asked.hint("merge"), "key").select("cluster", "blocks", "digest", "text").mapInArrow(lambda batches: _sets(batches, size, schema), "cluster bigint, blocks int, digest binary, members binary")
+    asked = stage(asked, "asked")
+    # only texts that may be asked for move; shuffled whatever the sizes: the copies' ids grow with the corpus
+    sets = picked.where(may_hold(key_filter(asked, "key"), "key")).join(asked.hint("merge"), "key").select("cluster", "blocks", "digest", "text").mapInArrow(lambda batches: _sets(batches, size, schema), "cluster bigint, blocks int, digest binary, members binary")
     block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(block, x).alias("i"), F.greatest(block, x).alias("j")))
     dealt = sets.select("cluster", F.explode(pairs).alias("pair"), "digest", "members").select("cluster", "pair.i", "pair.j", "digest", "members")
