@@ -15,6 +15,8 @@ from .common import partitions, stage
 
 #: Anchors that share a list, lists that meet a block of rows at once, and rows of a block: they bound what a task holds.
 LIST_ANCHORS, LISTS, BLOCK_ROWS = 1024, 8, 8192
+#: Rows of a block at least, however many partitions there are: each block names its own best rows.
+LEAST_ROWS = 512
 #: Anchors from which the centres of the clusters are fitted.
 FIT_ANCHORS = 4096
 #: Rows of a list that are looked at in one step.
@@ -227,7 +229,7 @@ def mine_hard_negatives(
         first, said = F.when(F.col("cluster") == cluster, lists).otherwise(first), F.when(F.col("cluster") == cluster, own).otherwise(said)
         lists += own
     asked = asked.withColumn("list", (first + F.pmod(F.xxhash64("uid"), said)).cast("int"))
-    batches, blocks = max(1, -(-lists // LISTS)), max(partitions(spark), -(-total // BLOCK_ROWS))
+    batches, blocks = max(1, -(-lists // LISTS)), max(1, min(partitions(spark), -(-total // LEAST_ROWS)), -(-total // BLOCK_ROWS))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     held = packed.drop("anchor").withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int")).select("*", every(batches).alias("batch"))
 

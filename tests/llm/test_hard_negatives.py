@@ -45,6 +45,7 @@ def around(seed, n, dims=8, centres=4, spread=0.3):
 
 def test_equals_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(hard_negatives, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(hard_negatives, "LEAST_ROWS", 10)
     monkeypatch.setattr(hard_negatives, "LIST_ANCHORS", 3)
     rows = around(1, 200)
     expected = plain(rows, lambda k: k % 10 == 0)
