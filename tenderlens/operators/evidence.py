@@ -257,7 +257,7 @@ def term_starts(terms: DataFrame) -> tuple[DataFrame, str | None]:
     return heads.join(asked, "term").select("longest", "item_no", "term"), pt.trie_regex(listed) if listed else None
 
 
-def _longest(text: Column, regex: str | None) -> Column:
+def longest_or_none(text: Column, regex: str | None) -> Column:
     return pt.longest_terms(text, regex) if regex else F.expr("cast(array() as array<string>)")
 
 
@@ -269,7 +269,7 @@ def substring_hits(page: DataFrame, terms: DataFrame, lower: bool) -> DataFrame:
     """
     starts, regex = term_starts(terms)
     text = F.lower("page_text") if lower else F.col("page_text")
-    found = page.select(*PAGE_ID, F.explode(_longest(text, regex)).alias("longest")).join(starts, "longest")
+    found = page.select(*PAGE_ID, F.explode(longest_or_none(text, regex)).alias("longest")).join(starts, "longest")
     return found.groupBy(*PAGE_ID, "item_no").agg(F.count_distinct("term").alias("hits"))
 
 
@@ -523,7 +523,7 @@ def _page_points(page: DataFrame, terms: DataFrame, items: DataFrame, mention: i
     null = F.lit(None)
     low = page.withColumn("_low", F.lower("page_text")).withColumn("_every", every)
     named = F.transform(F.filter("_every", lambda n: F.contains(F.col("_low"), n)), lambda n: _entry(n, null, F.when(n.isin(own), mention_own).otherwise(mention) if own else F.lit(mention)))
-    matched = F.transform(_longest(F.col("_low"), regex), lambda t: _entry(null, t, F.lit(0)))
+    matched = F.transform(longest_or_none(F.col("_low"), regex), lambda t: _entry(null, t, F.lit(0)))
     rows = low.select(*PAGE_ID, *carried, F.explode(F.concat(F.coalesce(named, F.array().cast(NO_ENTRIES)), F.coalesce(matched, F.array().cast(NO_ENTRIES)), more)).alias("_e"))
     told = rows.select(*PAGE_ID, *[c for c in rows.columns if c not in (*PAGE_ID, "_e")], "_e.*").join(starts.withColumnRenamed("item_no", "_item"), "longest", "left")
     told = told.withColumn("item_no", F.coalesce("item_no", "_item")).join(items.select("item_no").distinct(), "item_no", "left_semi")

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tenderlens.functions import text as tx
 from tenderlens.operators import blocks
+from tenderlens.operators import evidence as ev
 from tenderlens.rules import pack
+from tenderlens.session import cut_lineage
 
 DOC_COLUMNS = ["source_type", "source_name", "sheet_name", "row_no", "item_no", "title", "category", "content"]
 
@@ -228,57 +231,124 @@ def _priority(mapping: dict[str, int]) -> Column:
     return order
 
 
-def bm25_search(docs: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
-    """Best documents per query (query_id, item_no, query): by source priority, then relevance.
+#: Documents of one item and source that share a block of postings.
+BLOCK_DOCS = 32
 
-    Only the terms that some query asks for are counted; the counts are combined before each shuffle.
-    """
+
+def wanted_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, item_no, times): the terms of each query (query_id, item_no, query), for each item of its group."""
     repeats = queries.select("query_id", F.explode(query_tokens(F.col("query"))).alias("_t")).groupBy(
         "query_id", F.translate(F.lower("_t"), MARKED, PLAIN).alias("term")).agg(F.count(F.lit(1)).alias("times"))
-    asked = repeats.select("term").distinct()
+    return repeats.join(item_alias(queries.select("query_id", "item_no")).select("query_id", F.col("alias_no").alias("item_no")).distinct(), "query_id")
+
+
+def impact_postings(docs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(term, item_no, source_type, block, top, entries): the weight of a term in each document of a block, and the greatest of them.
+
+    `asked` (term) restricts it to terms that are asked for.  Weights hold what concerns the whole table, so a stored result is read by
+    (term, item_no) alone.
+    """
     sized = docs.select("doc_id", "item_no", "source_type", index_terms(F.col("title"), F.col("category"), F.col("content")).alias("_terms"))
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_terms")).alias("avg_len"))
-    tf = (
-        sized.select("doc_id", "item_no", "source_type", F.size("_terms").alias("doc_len"), F.explode("_terms").alias("term"))
-        .join(asked, "term", "left_semi")
-        .groupBy("term", "doc_id", "item_no", "source_type", "doc_len")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    rows = sized.select("doc_id", "item_no", "source_type", F.size("_terms").alias("doc_len"), F.explode("_terms").alias("term"))
+    if asked is not None:
+        rows = rows.join(asked.select("term").distinct(), "term", "left_semi")
+    tf = rows.groupBy("term", "doc_id", "item_no", "source_type", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+    block = F.floor(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) % F.greatest(F.lit(1), F.col("_docs") / BLOCK_DOCS).cast("long")).cast("int")
+    sizes = docs.groupBy("item_no", "source_type").agg(F.count(F.lit(1)).alias("_docs"))
+    blocked = tf.join(sizes, ["item_no", "source_type"]).withColumn("block", block)
+    gathered = blocked.groupBy("term", "item_no", "source_type", "block").agg(F.collect_list(F.struct("doc_id", "doc_len", "tf")).alias("_e"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, avg_len = stats.select("n").scalar(), stats.select("avg_len").scalar()
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(pack.BM25_MIN_IDF))
-    weight = tf.join(df.withColumn("idf", idf), "term").withColumn(
-        "w",
-        F.col("idf") * F.col("tf") * (pack.BM25_K1 + 1)
-        / (F.col("tf") + pack.BM25_K1 * (1 - pack.BM25_B + pack.BM25_B * F.col("doc_len") / avg_len)),
-    )
-    targets = item_alias(queries.select("query_id", "item_no")).select("query_id", F.col("alias_no").alias("item_no"))
-    hits = (
-        weight.join(repeats, "term")
-        .join(targets, ["query_id", "item_no"], "left_semi")
-        .groupBy("query_id", "doc_id", "item_no", "source_type")
-        .agg(F.sum(F.col("w") * F.col("times")).alias("score"))
-        .withColumn("score", F.round("score", 6))
-    )
+    weighed = gathered.join(df.withColumn("idf", idf), "term").withColumn("_avg", avg_len)
+    entries = F.transform("_e", lambda e: F.struct(e["doc_id"].alias("doc_id"), (
+        F.col("idf") * e["tf"] * (pack.BM25_K1 + 1) / (e["tf"] + pack.BM25_K1 * (1 - pack.BM25_B + pack.BM25_B * e["doc_len"] / F.col("_avg")))
+    ).alias("w")))
+    return weighed.select("term", "item_no", "source_type", "block", entries.alias("entries")).withColumn("top", F.array_max(F.transform("entries", lambda e: e["w"])))
+
+
+def block_bounds(postings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, item_no, source_type, block, bound): no document of the block scores higher for the query."""
+    met = postings.select("term", "item_no", "source_type", "block", "top").join(wanted, ["term", "item_no"])
+    return met.groupBy("query_id", "item_no", "source_type", "block").agg(F.sum(F.col("top") * F.col("times")).alias("bound"))
+
+
+def _score_blocks(postings: DataFrame, wanted: DataFrame, chosen: DataFrame) -> DataFrame:
+    place = ["item_no", "source_type", "block"]
+    needed = chosen.select("query_id", *place).join(wanted, ["query_id", "item_no"])
+    rows = needed.join(postings, ["term", *place]).select("query_id", "item_no", "source_type", "times", F.explode("entries").alias("e"))
+    hits = rows.groupBy("query_id", F.col("e.doc_id").alias("doc_id"), "item_no", "source_type").agg(F.sum(F.col("e.w") * F.col("times")).alias("score"))
+    return hits.withColumn("score", F.round("score", 6))
+
+
+def open_blocks(bounds: DataFrame, probed: DataFrame, limit: int) -> DataFrame:
+    """Blocks whose bound reaches the last of the `limit` best of the probed documents of a query, or any if those are fewer."""
     order = [_priority(pack.SOURCE_PRIORITY), F.col("score").desc(), F.col("doc_id")]
-    return blocks.first_rows(hits, ["query_id"], order, limit)
+    last = blocks.first_rows(probed, ["query_id"], order, limit).filter(F.col("rank") == limit).select("query_id", _priority(pack.SOURCE_PRIORITY).alias("_p"), F.col("score").alias("_s"))
+    held = bounds.join(last, "query_id", "left")
+    own = _priority(pack.SOURCE_PRIORITY)
+    # the slack covers rounding to six places and the order of sums
+    return held.filter(F.col("_p").isNull() | (own < F.col("_p")) | ((own == F.col("_p")) & (F.col("bound") + 1e-5 >= F.col("_s")))).drop("_p", "_s")
+
+
+def search_postings(postings: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
+    """Best documents per query over stored postings (impact_postings): by source priority, then relevance.
+
+    Every block in question holds a document that counts.  The first `limit` blocks of a query by priority and bound are scored; of
+    the others only those that can still reach its best `limit` documents are, the rest are skipped.
+    """
+    wanted = cut_lineage(wanted_terms(queries))
+    bounds = cut_lineage(block_bounds(postings, wanted))
+    first = [_priority(pack.SOURCE_PRIORITY), F.col("bound").desc(), F.col("item_no"), F.col("block")]
+    ranked = bounds.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(*first)))
+    probed = cut_lineage(_score_blocks(postings, wanted, blocks.first_rows(bounds, ["query_id"], first, limit, "_n").drop("_n")))
+    more = _score_blocks(postings, wanted, open_blocks(ranked.filter(F.col("_n") > limit).drop("_n"), probed, limit))
+    order = [_priority(pack.SOURCE_PRIORITY), F.col("score").desc(), F.col("doc_id")]
+    return blocks.first_rows(probed.unionByName(more), ["query_id"], order, limit)
+
+
+def bm25_search(docs: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
+    """Best documents per query (query_id, item_no, query): by source priority, then relevance.
+
+    Postings hold the terms that some query asks for; they are staged, and queries meet them by term and item.
+    """
+    return search_postings(cut_lineage(impact_postings(docs, wanted_terms(queries))), queries, limit)
+
+
+def _row_order(priority: dict[str, int]) -> list[Column]:
+    return [_priority(priority), F.col("row_no").asc_nulls_first(), F.col("doc_id")]
 
 
 def like_search(docs: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
-    """Documents of the query's item group that contain one of its first five tokens, ASCII case ignored."""
-    asked = item_alias(queries).withColumn("_tokens", F.slice(tx.words(F.lower("query")), 1, 5))
-    pairs = docs.join(asked.select("query_id", "_tokens", F.col("alias_no").alias("item_no")), "item_no")
+    """Documents of the query's item group that contain one of its first five tokens, ASCII case ignored.
+
+    Texts are searched once for all tokens by one pattern; the best documents of each (item, token) are kept before queries meet
+    them, so no text and no pair of document and query moves.  A query without tokens takes the first documents of its items.
+    """
+    order = _row_order(pack.SOURCE_PRIORITY)
+    asked = item_alias(queries).select("query_id", F.col("alias_no").alias("item_no"), F.slice(tx.words(F.lower("query")), 1, 5).alias("_tokens")).distinct()
+    told = cut_lineage(asked.select("query_id", "item_no", F.explode("_tokens").alias("term")).distinct())
+    starts, regex = ev.term_starts(told.select("item_no", "term"))
     text = F.lower(F.concat_ws("\n", "title", "category", "content"))
-    hit = (F.size("_tokens") == 0) | F.exists("_tokens", lambda t: F.contains(F.col("_text"), t))
-    found = pairs.withColumn("_text", text).filter(hit).select("query_id", "doc_id", "item_no", "source_type", "row_no")
-    order = [_priority(pack.SOURCE_PRIORITY), F.col("row_no").asc_nulls_first(), F.col("doc_id")]
-    return blocks.first_rows(found, ["query_id"], order, limit)
+    found = docs.select("doc_id", "item_no", "source_type", "row_no", F.explode(ev.longest_or_none(text, regex)).alias("longest"))
+    met = found.join(starts, ["longest", "item_no"]).select("doc_id", "item_no", "source_type", "row_no", "term").distinct()
+    best = blocks.first_rows(met, ["item_no", "term"], order, limit, "_n").drop("_n")
+    by_token = best.join(told, ["item_no", "term"]).select("query_id", "doc_id", "item_no", "source_type", "row_no").distinct()
+    open_ = asked.filter(F.size("_tokens") == 0).select("query_id", "item_no")
+    by_item = _first_of_items(docs, order, limit).join(open_, "item_no").select("query_id", "doc_id", "item_no", "source_type", "row_no")
+    return blocks.first_rows(by_token.unionByName(by_item), ["query_id"], order, limit)
+
+
+def _first_of_items(docs: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    return blocks.first_rows(docs.select("doc_id", "item_no", "source_type", "row_no"), ["item_no"], order, limit, "_n").drop("_n")
 
 
 def item_fallback(docs: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
-    asked = item_alias(queries).select("query_id", F.col("alias_no").alias("item_no"))
-    found = docs.join(asked, "item_no").select("query_id", "doc_id", "item_no", "source_type", "row_no")
-    order = [_priority(pack.FALLBACK_PRIORITY), F.col("row_no").asc_nulls_first(), F.col("doc_id")]
+    """First documents of the query's item group; those of each item are settled before queries meet them."""
+    order = _row_order(pack.FALLBACK_PRIORITY)
+    asked = item_alias(queries).select("query_id", F.col("alias_no").alias("item_no")).distinct()
+    found = _first_of_items(docs, order, limit).join(asked, "item_no").select("query_id", "doc_id", "item_no", "source_type", "row_no")
     return blocks.first_rows(found, ["query_id"], order, limit)
 
 
