@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,26 +69,39 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Bits of a key filter, whatever the number of keys: 2 MB.
-FILTER_BITS = 1 << 24
+#: Bits of a key filter for each key, and at most: 16 MB.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 27
 
 
-def key_filter(keys: DataFrame, key: str) -> bytes:
-    """Which places of FILTER_BITS the hashes of the keys take: every key is found again, of others few as long as keys are few."""
-    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
-    rows = keys.groupBy(F.bitmap_bucket_number(place).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    size = 4096  # of one bitmap of Spark
-    out = bytearray(FILTER_BITS // 8)
-    for r in rows:
-        out[(r["n"] - 1) * size : r["n"] * size] = r["bits"]
-    return bytes(out)
+def key_filter(keys: DataFrame, key: str) -> np.ndarray:
+    """Which of its places the hashes of the keys take: every key is found again, of other keys few.
 
+    The filter stays within MOST_FILTER_BITS; beyond eight million keys it lets more others pass, and what is done with them
+    is exact anyway.
+    """
+    bits = 1 << 16
+    n = keys.count()
+    while bits < min(FILTER_BITS * n, MOST_FILTER_BITS):
+        bits *= 2
+    place = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(place).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    size = 4096  # bytes of one bitmap of Spark
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        own = np.frombuffer(r["bits"], np.uint8)
+        out[(r["n"] - 1) * size : r["n"] * size] = own[: len(out) - (r["n"] - 1) * size]
+    return out
 
-def may_hold(filter_: bytes, key: str) -> Column:
-    """False for a key that is not in the filter's keys."""
-    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    byte = F.conv(F.hex(F.substring(F.lit(filter_), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.bit_get(byte, (place % 8).cast("int")) == 1
+
+def may_hold(filter_: np.ndarray, key: str) -> Column:
+    """False for a key that is not in the filter's keys. Only the keys' hashes pass through Python."""
+
+    @F.pandas_udf("boolean")
+    def held(h: pd.Series) -> pd.Series:
+        place = h.to_numpy() % (len(filter_) * 8)
+        return pd.Series(filter_[place >> 3] >> (place & 7) & 1 == 1)
+
+    return held(F.xxhash64(key))
 
 
 def partitions(spark: SparkSession) -> int:
