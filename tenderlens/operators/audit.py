@@ -38,54 +38,66 @@ def _pair_regex(first: str, second: str | None) -> str:
     return first if second is None else f"{first}[{tx.SPACE}]*{second}"
 
 
-def section_presence(page: DataFrame) -> DataFrame:
+SECTION_PAIRS = [(no, a, b) for no, pairs in enumerate(pack.REQUIRED_SECTIONS.values()) for a, b in pairs if b]
+
+
+def audit_facts(page: DataFrame) -> DataFrame:
+    """What the audit asks of each page, without its text: sections, edges, warnings, flags.
+
+    One row a page, so that facts of repaired pages take the place of those of the old ones (pages.merge_repaired_pages) and the text of the
+    others is not read again.
+    """
+    text, compact, stripped = tx.text_or_empty(F.col("page_text")), tx.compact(F.col("page_text")), tx.strip(tx.text_or_empty(F.col("page_text")))
+    sections = F.array(*[text.rlike("|".join(_pair_regex(a, b) for a, b in pairs)) for pairs in pack.REQUIRED_SECTIONS.values()])
+
+    def warning(no: int, cond: Column, kind: str, message: Column, severity: str) -> Column:
+        return F.when(cond, F.struct(
+            F.lit(no).alias("no"), F.lit(kind).alias("kind"), message.alias("message"), F.lit(severity).alias("severity")
+        ))
+
+    found = F.array_compact(F.array(
+        warning(0, F.length("parser_warning") > 0, "parser_warning", F.col("parser_warning"), "medium"),
+        warning(1, F.col("text_length") == 0, "empty_page", F.lit(pack.MSG_EMPTY), "high"),
+        warning(2, (F.col("text_length") != 0) & (F.col("text_length") < 30), "low_text_density", F.lit(pack.MSG_LOW), "low"),
+        warning(3, classify.script_noise(text), "suspicious_unicode_noise", F.lit(pack.MSG_NOISE), "medium"),
+    ))
+    return page.select(
+        "document_id", "page_no", "seq", "text_length", "parser_warning", "has_table", "has_attachment", "has_eval_table",
+        classify.index_page(text, compact).alias("is_index"), sections.alias("sections"), found.alias("told"),
+        F.substring(stripped, 1, max(len(b) for _, _, b in SECTION_PAIRS)).alias("head"),
+        F.when(F.length(stripped) > 0, F.right(stripped, F.lit(max(len(a) for _, a, _ in SECTION_PAIRS)))).alias("tail"),
+    )
+
+
+def as_facts(page: DataFrame) -> DataFrame:
+    """Facts of a page table; facts stay as they are."""
+    return page if "told" in page.columns else audit_facts(page)
+
+
+def section_presence(facts: DataFrame) -> DataFrame:
     """One row per document with one boolean per required section.
 
     A two-part heading may be split by a page break; that is found on the stripped edges of neighbouring
     pages, which are a few characters wide, not on joined document text.
     """
-    sections = pack.REQUIRED_SECTIONS
-    text = tx.text_or_empty(F.col("page_text"))
-    inside = page.groupBy("document_id").agg(
-        F.max("page_no").alias("max_page"),
-        F.count_distinct("page_no").alias("parsed_pages"),
-        *[
-            F.bool_or(text.rlike("|".join(_pair_regex(a, b) for a, b in pairs))).alias(name)
-            for name, pairs in sections.items()
-        ],
-    )
-    pairs = [(name, a, b) for name, ps in sections.items() for a, b in ps if b]
-    opens = {b for _, _, b in pairs}
-    closes = {a for _, a, _ in pairs}
-    stripped = tx.strip(text)
-    edge = page.select(
-        "document_id", "page_no", "seq",
-        F.substring(stripped, 1, max(map(len, opens))).alias("_head"),
-        F.when(F.length(stripped) > 0, F.right(stripped, F.lit(max(map(len, closes))))).alias("_tail"),
-    ).filter("_tail is not null")
-    joined = blocks.following_value(edge, ["document_id"], "page_no", ["page_no", "seq"], "_head", "_next")
-    across = joined.groupBy("document_id").agg(
-        *[
-            F.coalesce(
-                F.bool_or(reduce(
-                    lambda x, y: x | y,
-                    [F.col("_tail").endswith(a) & F.col("_next").startswith(b) for n, a, b in pairs if n == name],
-                )),
-                F.lit(False),
-            ).alias(f"_x_{name}")
-            for name in sections
-        ]
+    names = list(pack.REQUIRED_SECTIONS)
+    inside = facts.groupBy("document_id").agg(
+        F.max("page_no").alias("max_page"), F.count_distinct("page_no").alias("parsed_pages"), *[F.bool_or(F.get("sections", F.lit(no))).alias(name) for no, name in enumerate(names)]
     )
-    both = inside.join(across, "document_id", "left")
-    return both.select(
-        "document_id", "max_page", "parsed_pages",
-        *[(F.col(n) | F.coalesce(f"_x_{n}", F.lit(False))).alias(n) for n in sections],
+    edge = facts.select("document_id", "page_no", "seq", "head", "tail").filter("tail is not null")
+    joined = blocks.following_value(edge, ["document_id"], "page_no", ["page_no", "seq"], "head", "_next")
+    met = {name: [F.col("tail").endswith(a) & F.col("_next").startswith(b) for n, a, b in SECTION_PAIRS if n == no] for no, name in enumerate(names)}
+    across = joined.groupBy("document_id").agg(*[
+        F.coalesce(F.bool_or(reduce(lambda x, y: x | y, conds, F.lit(False))), F.lit(False)).alias(f"_x_{name}") for name, conds in met.items()
+    ])
+    return inside.join(across, "document_id", "left").select(
+        "document_id", "max_page", "parsed_pages", *[(F.col(n) | F.coalesce(f"_x_{n}", F.lit(False))).alias(n) for n in names]
     )
 
 
 def missing_sections(page: DataFrame, document: DataFrame) -> DataFrame:
     """Warnings for required sections that are expected and absent."""
-    state = document.select("document_id", "total_pages").join(section_presence(page), "document_id", "left")
+    state = document.select("document_id", "total_pages").join(section_presence(as_facts(page)), "document_id", "left")
     partial = F.coalesce("parsed_pages", F.lit(0)) < F.col("total_pages")
     flags = []
     for no, name in enumerate(pack.REQUIRED_SECTIONS):
@@ -101,24 +113,7 @@ def missing_sections(page: DataFrame, document: DataFrame) -> DataFrame:
 
 
 def page_warnings(page: DataFrame) -> DataFrame:
-    narrowed = page.select(
-        "document_id", "page_no", "seq", "text_length", "parser_warning",
-        tx.text_or_empty(F.col("page_text")).alias("_text"),
-        tx.compact(F.col("page_text")).alias("_compact"),
-    ).filter(~classify.index_page(F.col("_text"), F.col("_compact")))
-
-    def warning(no: int, cond: Column, kind: str, message: Column, severity: str) -> Column:
-        return F.when(cond, F.struct(
-            F.lit(no).alias("no"), F.lit(kind).alias("kind"), message.alias("message"), F.lit(severity).alias("severity")
-        ))
-
-    found = F.array_compact(F.array(
-        warning(0, F.length("parser_warning") > 0, "parser_warning", F.col("parser_warning"), "medium"),
-        warning(1, F.col("text_length") == 0, "empty_page", F.lit(pack.MSG_EMPTY), "high"),
-        warning(2, (F.col("text_length") != 0) & (F.col("text_length") < 30), "low_text_density", F.lit(pack.MSG_LOW), "low"),
-        warning(3, classify.script_noise(F.col("_text")), "suspicious_unicode_noise", F.lit(pack.MSG_NOISE), "medium"),
-    ))
-    rows = narrowed.withColumn("_w", F.explode(found))
+    rows = as_facts(page).filter("not is_index").select("document_id", "page_no", "seq", F.explode("told").alias("_w"))
     return _warning_columns(
         rows, PAGE, F.col("seq"), F.col("_w.no"), F.col("_w.kind"), F.col("_w.message"), F.col("page_no"),
         F.col("_w.severity"), F.array(),
@@ -127,7 +122,7 @@ def page_warnings(page: DataFrame) -> DataFrame:
 
 def absence_warnings(page: DataFrame, document: DataFrame) -> DataFrame:
     """Complete extractions only: no page with an evaluation table, no page with an attachment."""
-    seen = page.groupBy("document_id").agg(
+    seen = as_facts(page).groupBy("document_id").agg(
         F.count_distinct("page_no").alias("_parsed"),
         F.bool_or("has_eval_table").alias("_eval"),
         F.bool_or("has_attachment").alias("_attachment"),
@@ -154,9 +149,7 @@ def absence_warnings(page: DataFrame, document: DataFrame) -> DataFrame:
 
 def filter_index_warnings(warnings: DataFrame, page: DataFrame) -> DataFrame:
     """Drop the warning types that an attachment index page brings about by its nature."""
-    index = page.filter(
-        classify.index_page(tx.text_or_empty(F.col("page_text")), tx.compact(F.col("page_text")))
-    ).select("document_id", "page_no").distinct()
+    index = as_facts(page).filter("is_index").select("document_id", "page_no").distinct()
     expected = F.col("warning_type").isin(pack.INDEX_FILTERED_TYPES)
     kept = warnings.filter(~expected | F.col("page_no").isNull())
     return kept.unionByName(
@@ -254,28 +247,40 @@ def needs_confirmation() -> Column:
     return (F.col("parse_status") != "ok") | (F.coalesce("audit_score", F.lit(0)) < 80) | (F.col("audit_warning_count") > 0)
 
 
-def all_warnings(page: DataFrame, document: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+def all_warnings(facts: DataFrame, document: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """Warnings of every kind.  `extra` holds warnings from stored audit responses; only those can fall on
     index pages, because the page checks skip such pages."""
-    found = missing_sections(page, document).unionByName(page_warnings(page)).unionByName(absence_warnings(page, document))
-    return found if extra is None else found.unionByName(filter_index_warnings(extra, page))
+    found = missing_sections(facts, document).unionByName(page_warnings(facts)).unionByName(absence_warnings(facts, document))
+    return found if extra is None else found.unionByName(filter_index_warnings(extra, facts))
 
 
-def audit_documents(page: DataFrame, document: DataFrame, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents with score and status, warnings)."""
-    warnings = all_warnings(page, document, extra)
+def audit_by_facts(facts: DataFrame, document: DataFrame, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents with score and status, warnings) from the (staged) facts of the pages."""
+    warnings = all_warnings(facts, document, extra)
     return score_documents(warnings, document), warnings
 
 
+def audit_documents(page: DataFrame, document: DataFrame, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents with score and status, warnings).  The page table is read once."""
+    return audit_by_facts(cut_lineage(audit_facts(page)), document, extra)
+
+
 def repair_round(page: DataFrame, document: DataFrame, supplied: DataFrame, rounds: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Bounded repair: bad pages take the rows supplied for them, then the audit runs again.
 
-    Each round cuts the lineage at its page table, so that plans do not grow with the number of rounds.
+    A round reads the text of the pages it takes in; for all others the facts of the first audit stand.  The page table itself is put
+    together once, at the end.
     """
-    scored, warnings = audit_documents(page, document)
+    facts = cut_lineage(audit_facts(page))
+    scored, warnings = audit_by_facts(facts, document)
+    taken: list[DataFrame] = []
     for _ in range(rounds):
-        bad = repair_pages(page, warnings)
+        bad = cut_lineage(repair_pages(facts, warnings))
+        taken.append(bad)
         repaired = supplied.join(bad, ["document_id", "page_no"], "left_semi")
-        page = cut_lineage(pages.merge_repaired_pages(page, cut_lineage(repaired)))
-        scored, warnings = audit_documents(page, document)
+        facts = cut_lineage(pages.merge_repaired_pages(facts, cut_lineage(audit_facts(repaired))))
+        scored, warnings = audit_by_facts(facts, document)
+    if taken:
+        keys = reduce(lambda a, b: a.union(b), taken).distinct()
+        page = cut_lineage(pages.merge_repaired_pages(page, supplied.join(keys, ["document_id", "page_no"], "left_semi")))
     return page, scored, warnings
