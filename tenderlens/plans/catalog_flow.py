@@ -432,3 +432,12 @@ def review_state(spark, sf):
     hits = cr.criteria_hits(spark, sf)
     _, state = rv.review_state(done, page, hits, items)
     return state.select("document_id", "parse_status", "audit_score", F.array_join("completed_items", ",").alias("completed"), F.array_join("remaining_items", ",").alias("remaining"), "pages_to_reparse")
+
+
+@query("review_rows")
+def review_rows(spark, sf):
+    """Item rows of a whole review, with hits by reference, judgement and final row."""
+    _, done = reviewed(spark, sf, rv.ALL_ITEMS)
+    rows = rv.item_rows(done, cr.criteria_hits(spark, sf))
+    shown = F.transform("hits", lambda h: F.concat_ws("/", h["rank_group"].cast("string"), h["rank"].cast("string"), h["source_type"]))
+    return rows.select("document_id", "item_no", "route", F.array_join(shown, ",").alias("hits"), "judgement.result", "judgement.source", "final.final_status", "final.final_result")

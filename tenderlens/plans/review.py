@@ -18,9 +18,10 @@ from tenderlens.operators import retrieval as rt
 from tenderlens.operators import signals as sg
 from tenderlens.operators import verify as vf
 from tenderlens.operators import wording as wd
+from tenderlens.plans.store import ReviewStore
 from tenderlens.rules import pack
 from tenderlens.schema import REVIEW
-from tenderlens.session import checkpoint_dir, cut_lineage
+from tenderlens.session import checkpoint_dir, cut_lineage, delete_paths, owning
 
 ALL_ITEMS = ["1", "2", "2-1", *[str(n) for n in range(3, 19)]]
 JUDGED_OUTSIDE = ["5", "8", "9", "10", "13"]
@@ -55,43 +56,44 @@ def overlaps(page: DataFrame, hits: DataFrame, items: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), found)
 
 
-def primary_reviews(page: DataFrame, documents: DataFrame, hits: DataFrame, items: list[str], external: DataFrame | None = None) -> DataFrame:
+def primary_reviews(page: DataFrame, documents: DataFrame, hits: DataFrame, items: list[str], external: DataFrame | None = None, store: ReviewStore | None = None) -> DataFrame:
     """One primary review per document and item.
 
     Page text is read once for all signals; the judgements then work on the staged signal table.  Every item is
-    written to the review table on its own, so that no plan holds all items at once.
+    written to the review store on its own, so that no plan holds all items at once, and what a store holds already is not judged again.
     """
+    spark = page.sparkSession
+    store = store or ReviewStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/tenderlens-reviews-{uuid.uuid4().hex}")
     signals = cut_lineage(sg.page_signals(page, items))
     amount = cut_lineage(ev.project_amount(page))
     near = cut_lineage(overlaps(page, hits, items))
+
+    def judged_outside(item: str, docs: DataFrame) -> DataFrame:
+        if external is None:
+            return jd.undecided_item(docs, item)
+        own = external.filter(F.col("item_no") == item).join(docs.select("document_id"), "document_id", "left_semi")
+        return own.select(*REVIEW.fieldNames()).unionByName(jd.undecided_item(docs, item, external))
+
     build = {
-        "2": lambda: jd.item_2(signals, documents, page), "2-1": lambda: jd.item_2_1(signals, documents, page, near), "3": lambda: jd.item_3(signals, documents, amount, near),
-        "4": lambda: jd.item_4(signals, documents), "6": lambda: jd.item_6(signals, documents), "11": lambda: jd.item_11(signals, documents, near),
-        "12": lambda: jd.item_12(signals, documents, page, near), "14": lambda: jd.item_14(signals, documents, near), "15": lambda: jd.item_15(signals, documents),
-        "16": lambda: jd.item_16(signals, documents), "17": lambda: jd.item_17(signals, documents, near), "18": lambda: jd.item_18(signals, documents, near),
-        "1": lambda: jd.item_keyword(signals, documents, "1", near), "7": lambda: jd.item_keyword(signals, documents, "7", near),
+        "2": lambda d: jd.item_2(signals, d, page), "2-1": lambda d: jd.item_2_1(signals, d, page, near), "3": lambda d: jd.item_3(signals, d, amount, near),
+        "4": lambda d: jd.item_4(signals, d), "6": lambda d: jd.item_6(signals, d), "11": lambda d: jd.item_11(signals, d, near),
+        "12": lambda d: jd.item_12(signals, d, page, near), "14": lambda d: jd.item_14(signals, d, near), "15": lambda d: jd.item_15(signals, d),
+        "16": lambda d: jd.item_16(signals, d), "17": lambda d: jd.item_17(signals, d, near), "18": lambda d: jd.item_18(signals, d, near),
+        "1": lambda d: jd.item_keyword(signals, d, "1", near), "7": lambda d: jd.item_keyword(signals, d, "7", near),
     }
-    spark = page.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tenderlens-reviews-{uuid.uuid4().hex}"
-    for item in items:
-        if item in build:
-            build[item]().write.mode("append").parquet(path)
-        elif external is None:
-            jd.undecided_item(documents, item).write.mode("append").parquet(path)
-        else:
-            own = external.filter(F.col("item_no") == item).join(documents.select("document_id"), "document_id", "left_semi")
-            own.select(*REVIEW.fieldNames()).unionByName(jd.undecided_item(documents, item, external)).write.mode("append").parquet(path)
-    return spark.read.schema(REVIEW).parquet(path)
+    return store.fill(documents, {i: build.get(i, lambda d, i=i: judged_outside(i, d)) for i in items})
 
 
 def review_documents(
     page: DataFrame, document: DataFrame, criteria: tuple[DataFrame, DataFrame, DataFrame, DataFrame], items: list[str] | None = None,
     external: DataFrame | None = None, audit_warnings: DataFrame | None = None, flag_overrides: DataFrame | None = None, escalated: DataFrame | None = None,
+    store: ReviewStore | None = None,
 ) -> Reviewed:
     """criteria: legal items, requirements, examples, tacit knowledge.  external: ingested judgement rows.
 
     Stored answers may go in: `flag_overrides` and `audit_warnings` as `external.ingest_audit` gives them, `escalated` as
-    verdicts of a higher judge for conflicting reviews, in the columns of a review row.
+    verdicts of a higher judge for conflicting reviews, in the columns of a review row.  With a `store` of an earlier run, only what it
+    lacks is judged.
     """
     items = items or ALL_ITEMS
     legal, requirements, examples, tacit = criteria
@@ -104,7 +106,7 @@ def review_documents(
     docs = cut_lineage(rt.criteria_table(legal, requirements, examples))
     wanted = page.sparkSession.createDataFrame([(i,) for i in items], "item_no string")
     hits = cut_lineage(rt.context_for_items(wanted, docs, tacit))
-    reviews = primary_reviews(own, open_documents, hits, items, external)
+    reviews = primary_reviews(own, open_documents, hits, items, external, store)
     paged = ev.normalize_evidence_pages(reviews, own, ["document_id", "item_no"]).select(*REVIEW.fieldNames())
     verified = vf.verify(paged, scored, escalated)
     gated = vf.manual_attachment_gate(vf.target_basis(verified, ev.project_amount(own)), own)
@@ -114,6 +116,38 @@ def review_documents(
     return Reviewed(scored, warnings, reviews, worded.unionByName(held.select(*gated.columns), allowMissingColumns=True))
 
 
+def run_review(path: str, page: DataFrame, document: DataFrame, criteria: tuple[DataFrame, DataFrame, DataFrame, DataFrame], items: list[str] | None = None, **options) -> Reviewed:
+    """review_documents() with its results under `path`; a run that was stopped goes on with the items and buckets it lacks.
+
+    Results: path/documents, warnings, reviews (a ReviewStore), final.  Tables staged on the way are deleted at the end, those of a
+    failed run too.
+    """
+    spark, path, staged = page.sparkSession, path.rstrip("/"), []
+    store = ReviewStore(spark, path)
+    try:
+        with owning(staged):
+            done = review_documents(page, document, criteria, items, store=store, **options)
+            for name in ("documents", "warnings", "final"):
+                getattr(done, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    finally:
+        delete_paths(spark, staged)
+    return Reviewed(*[spark.read.parquet(f"{path}/{name}") for name in ("documents", "warnings")], store.reviews(), spark.read.parquet(f"{path}/final"))
+
+
+def item_rows(reviewed: Reviewed, hits: DataFrame) -> DataFrame:
+    """One row per document and item: route, its hits as references (rank_group, rank), the primary judgement, the final row.
+
+    A hit's text stands in the table of hits once, by query_item, rank_group and rank, not once a document.
+    """
+    told = hits.groupBy(F.col("query_item").alias("item_no")).agg(
+        F.array_sort(F.collect_list(F.struct("rank_group", "rank", "source_type"))).alias("hits"))  # of the rule book
+    judgement = F.struct("result", "is_target", "confidence", "evidence_pages", "reason", "source").alias("judgement")
+    rows = vf.route_items(reviewed.reviews.select("document_id", "item_no", judgement)).join(told, "item_no", "left")
+    final = reviewed.final.select("document_id", "item_no", F.struct("final_status", "final_result", "is_target", "confidence", "evidence_pages", "compliance_content").alias("final"))
+    empty = F.expr("cast(array() as array<struct<rank_group:int,rank:int,source_type:string>>)")
+    return rows.join(final, ["document_id", "item_no"], "left").select("document_id", "item_no", "route", F.coalesce("hits", empty).alias("hits"), "judgement", "final")
+
+
 def review_state(reviewed: Reviewed, page: DataFrame, hits: DataFrame, requested: list[str]) -> tuple[DataFrame, DataFrame]:
     """(item rows with route and hit count, document rows with counts and completed and remaining items)."""
     counts = hits.groupBy("query_item").agg(F.count(F.lit(1)).alias("hit_count"))

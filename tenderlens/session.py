@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +46,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _OWN_FOLDERS[app]
 
 
+_OWNERS: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def owning(paths: list[str]) -> Iterator[None]:
+    """Paths of the tables that are staged meanwhile are added to `paths`."""
+    _OWNERS.append(paths)
+    try:
+        yield
+    finally:
+        _OWNERS.pop()
+
+
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders by Spark's own file systems; the list is empty afterwards."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` once as a table in the shared checkpoint folder and go on from that table.
 
@@ -51,5 +78,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     need, and let Spark choose joins by the table's real size.
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tenderlens-{uuid.uuid4().hex}"
+    if _OWNERS:
+        _OWNERS[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
