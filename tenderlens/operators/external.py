@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 
@@ -40,37 +41,47 @@ def outer_object(text: Column) -> Column:
 # --- requests ---------------------------------------------------------------------------------------------
 
 
+def _payload(body: Column, answer: dict) -> Column:
+    """JSON of a request: its own fields, empty ones too, and what the answer has to look like."""
+    own = F.to_json(body, {"ignoreNullFields": "false"})
+    shape = json.dumps(answer, ensure_ascii=False, separators=(",", ":"))
+    return F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(f',"output_schema":{shape}}}'))
+
+
 def request_rows(page: DataFrame, items: DataFrame, hits: DataFrame, max_hits: int = 10, max_chars: int = 1800) -> DataFrame:
-    """One JSON payload per (document, item): role, at most ten criteria hits, the selected pages with flags."""
+    """One JSON payload per (document, item): role, at most ten criteria hits, the selected pages with flags, the shape of the answer."""
     chosen = ev.select_prompt_pages(page, items, hits)
     role = F.col("route")
     top = blocks.first_rows(hits, ["query_item"], [F.col("rank_group"), F.col("rank")], max_hits, "_k")
-    fields = ["item_no", "source_type", "source_name", "title", "category", "snippet", "location", "score"]
+    fields = [*["item_no", "source_type", "source_name", "title", "category", "snippet"], F.col("location").alias("page_or_row"), "score"]
     criteria = top.groupBy(F.col("query_item")).agg(F.array_sort(F.collect_list(F.struct("_k", F.struct(*fields).alias("hit")))).alias("_h")).select(
-        F.col("query_item").alias("item_no"), F.transform("_h", lambda h: h["hit"]).alias("criteria"))
+        F.col("query_item").alias("item_no"), F.transform("_h", lambda h: h["hit"]).alias("rag_criteria"))
+    flags = ["table", "eval_table", "attachment", "blind", "commercial_sw"]
     shown = F.struct(
-        F.col("page_no").alias("document_page_index"), F.coalesce("printed_page_no", tx.footer_page_no(F.col("page_text"))).alias("printed_page_no"),
+        F.col("page_no").alias("document_page_index"), F.coalesce("printed_page_no", tx.footer_page_no(F.col("page_text"))).alias("rfp_printed_page_no"),
         ev.prompt_text(F.col("page_text"), max_chars).alias("page_text"),
-        F.struct("has_table", "has_eval_table", "has_attachment", "has_blind", "has_commercial_sw", "parser_warning").alias("flags"),
+        F.struct(*[F.col(f"has_{f}").alias(f) for f in flags], "parser_warning").alias("flags"),
     )
     pages = chosen.join(page, ev.PAGE_ID).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("rank", shown.alias("p")))).alias("_p")).select(
-        *KEY, F.transform("_p", lambda p: p["p"]).alias("pages"))
+        *KEY, F.transform("_p", lambda p: p["p"]).alias("rfp_pages"))
     joined = vf.route_items(pages.join(criteria, "item_no", "left")).withColumn("role", F.when(role == "llm", "general").otherwise(role))
-    return joined.select(*KEY, "role", F.size("pages").alias("page_count"), F.to_json(F.struct("item_no", F.col("role").alias("agent_type"), "criteria", "pages")).alias("payload"))
+    found = F.coalesce("rag_criteria", F.array().cast(criteria.schema["rag_criteria"].dataType)).alias("rag_criteria")
+    return joined.select(*KEY, "role", F.size("rfp_pages").alias("page_count"), _payload(F.struct("item_no", F.col("role").alias("agent_type"), found, "rfp_pages"), pack.JUDGEMENT_ANSWER).alias("payload"))
 
 
 def audit_request_rows(page: DataFrame, document: DataFrame, first: int = 20, max_chars: int = 1800) -> DataFrame:
-    """One JSON payload per document with samples of its first pages; the full page list is a relation of its own."""
+    """One JSON payload per document: its page numbers, samples of its first pages, the shape of the answer."""
     top = blocks.first_rows(page, ["document_id"], [F.col("page_no"), F.col("seq")], first)
+    flags = ["table", "eval_table", "attachment", "toc", "blind", "commercial_sw"]
     sample = F.struct(
         "page_no", "text_length", tx.head(F.col("page_text"), max_chars).alias("page_text_sample"),
-        F.struct("has_table", "has_eval_table", "has_attachment", "has_toc", "has_blind", "has_commercial_sw", "parser_warning").alias("flags"),
+        F.struct(*[F.col(f"has_{f}").alias(f"has_{f}_candidate") for f in flags], "parser_warning").alias("flags"),
     )
     packed = top.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("rank", sample.alias("s")))).alias("_s"))
-    counts = page.groupBy("document_id").agg(F.count(F.lit(1)).alias("parsed_pages"))
-    joined = document.join(packed, "document_id").join(counts, "document_id")
-    body = F.struct("document_name", "total_pages", "parsed_pages", F.transform("_s", lambda s: s["s"]).alias("pages"))
-    return joined.select("document_id", "parsed_pages", F.size("_s").alias("sampled_pages"), F.to_json(body).alias("payload"))
+    numbers = page.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "seq"))).alias("_n"))  # numbers only
+    joined = document.join(packed, "document_id").join(numbers, "document_id")
+    body = F.struct("document_name", "total_pages", F.transform("_n", lambda n: n["page_no"]).alias("parsed_pages"), F.transform("_s", lambda s: s["s"]).alias("pages"))
+    return joined.select("document_id", F.size("_n").cast("long").alias("parsed_pages"), F.size("_s").alias("sampled_pages"), _payload(body, pack.AUDIT_ANSWER).alias("payload"))
 
 
 # --- responses -----------------------------------------------------------------------------------------------
