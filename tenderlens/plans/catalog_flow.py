@@ -211,6 +211,12 @@ P8 = f"""({ov.any_of('c', ['하자담보', '하자보수', '용역계약일반
   AND NOT ({ov.count_of('c', ['공동수급체', '공동수급협정', '출자비율', '구성원'])} >= 2 AND {ov.all_of('c', ['하자담보책임', '공사'])}))"""
 
 
+def p10(c):
+    """Item 10 of a compact text."""
+    chosen, basis, applied = ["사업자선정방법", "낙찰자결정방법", "협상적격자", "계약체결기준", "계약체결방법"], ["제49조", "시행령제44조", "제44조제1항"], ["방법을적용", "적용한다", "체결방법"]
+    return f"(contains({c}, '협상에의한계약') AND ({ov.any_of(c, chosen)} OR ({ov.any_of(c, basis)} AND {ov.any_of(c, applied)})))"
+
+
 def _exact(words):
     cases = " ".join(f"WHEN contains(page_text, '{w}') THEN {ov.window('page_text', w, 360, exact=True)}" for w in words)
     return f"CASE {cases} ELSE substr({ov.collapse('page_text')}, 1, 500) END" if words else f"substr({ov.collapse('page_text')}, 1, 500)"
@@ -218,18 +224,25 @@ def _exact(words):
 
 @query("direct_evidence", f"""
 WITH {ov.PAGES}, {ce.PRINTED.replace('printed AS', 'numbered AS')}, own AS (SELECT page.*, printed FROM page JOIN numbered USING (document_id, page_no) WHERE printed IS NOT NULL)
-{' UNION ALL '.join(f"SELECT document_id, '{i}' AS item_no, page_no, printed AS page, {_exact(ex.QUOTE_WORDS.get(i, []))} AS text FROM own WHERE {cond}" for i, cond in [('5', P5), ('8', P8), ('9', P9), ('13', P13)])}""")
+{' UNION ALL '.join(f"SELECT document_id, '{i}' AS item_no, page_no, printed AS page, {_exact(ex.QUOTE_WORDS.get(i, []))} AS text FROM own WHERE {cond}" for i, cond in [('5', P5), ('8', P8), ('9', P9), ('13', P13)])}
+UNION ALL (SELECT document_id, item_no, page_no, page, text FROM (SELECT *, {ov.compact('text')} AS tc FROM (
+    SELECT document_id, '10' AS item_no, page_no, printed AS page, {_exact(ex.QUOTE_WORDS['10'])} AS text FROM own WHERE {p10('c')}))
+  QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY CASE WHEN {p10('tc')} THEN 0 ELSE 1 END, page_no) = 1)""")
 def direct_evidence(spark, sf):
-    rows = ex.direct_pages(inp.pages(spark, sf), ce.requirement_hits(spark, sf), ["5", "8", "9", "13"])
+    """All items that have a rule of their own; of item 10 a document keeps one page."""
+    rows = ex.direct_pages(inp.pages(spark, sf), ce.requirement_hits(spark, sf), list(ex.PREDICATES))
     return rows.select("document_id", "item_no", F.col("place.page_no").alias("page_no"), "page", "text")
 
 
+TERM_ITEMS = [i for i in [*pack.DEFAULT_ITEMS, "2-1"] if i not in ex.PREDICATES and i != "16"]
+
+
 @query("direct_evidence_by_terms", f"""
 WITH {ov.PAGES}, {ov.LEGAL_REQUIREMENTS}, {ce.REQUIREMENT_HIT}, {ce.DIRECT}, {ce.PRINTED.replace('printed AS', 'numbered AS')},
 own AS (SELECT page.*, printed FROM page JOIN numbered USING (document_id, page_no) WHERE printed IS NOT NULL AND NOT has_toc AND NOT ({ov.any_of('c', pack.TARGET_MARKERS)} AND NOT {ov.any_of('c', pack.DIRECT_MARKERS)}))
-SELECT document_id, item_no, page_no, any_value(printed) AS page FROM own JOIN term ON contains(page_text, term) WHERE item_no IN ('1', '7') GROUP BY ALL HAVING count(*) >= 2""")
+SELECT document_id, item_no, page_no, any_value(printed) AS page FROM own JOIN term ON contains(page_text, term) WHERE list_contains({ov.sql_list(TERM_ITEMS)}, item_no) GROUP BY ALL HAVING count(*) >= 2""")
 def direct_evidence_by_terms(spark, sf):
-    rows = ex.direct_pages(inp.pages(spark, sf), ce.requirement_hits(spark, sf), ["1", "7"])
+    rows = ex.direct_pages(inp.pages(spark, sf), ce.requirement_hits(spark, sf), TERM_ITEMS)
     return rows.select("document_id", "item_no", F.col("place.page_no").alias("page_no"), "page")
 
 
@@ -273,7 +286,7 @@ def attachment_guard(spark, sf):
     told = page.groupBy("document_id").agg(F.min_by("page_text", "page_no").alias("t"), F.min("page_no").alias("p"))
     external = judged.join(told, "document_id").select(
         "document_id", "item_no", F.lit(0).cast("long").alias("seq"), F.lit("attachment_review").alias("route_type"), F.lit(pack.COMPLIANT).alias("result"), F.lit(True).alias("is_target"), F.lit(0.9).alias("confidence"),
-        F.array("p").alias("evidence_pages"), F.array("t").alias("evidence_text"), F.lit("external").alias("reason"), F.lit("").alias("recommendation"), F.lit(False).alias("needs_human_review"), F.lit("openai_attachment").alias("source"),
+        F.array("p").alias("evidence_pages"), F.array("t").alias("evidence_text"), F.lit("external").alias("reason"), F.lit("").alias("recommendation"), F.lit(False).alias("needs_human_review"), F.lit("external_attachment").alias("source"),
         F.array().cast("array<string>").alias("warnings"), F.lit(True).alias("used_llm"))
     return cj.shown(jd.attachment_guard(external, signals, documents))
 
