@@ -12,7 +12,7 @@ from tenderlens.operators import signals as sg
 from tenderlens.plans import catalog_evidence as ce
 from tenderlens.plans import inputs as inp
 from tenderlens.plans import oracle_views as ov
-from tenderlens.plans.registry import query
+from tenderlens.plans.registry import ORACLES, query
 from tenderlens.rules import pack
 from tenderlens.session import cut_lineage
 
@@ -122,12 +122,6 @@ def bmt_targets(spark, sf):
     return jd.bmt_targets(inp.pages(spark, sf))
 
 
-@query("item_2_1")
-def item_2_1(spark, sf):
-    page, signals, documents = corpus(spark, sf, "2-1")
-    return shown(jd.item_2_1(signals, documents, page))
-
-
 FULL = f"({ov.all_of('c', ['20', '미만', '대기업', '중견기업', '입찰'])} AND (contains(c, '참여할수없음') OR {ov.all_of('c', ['참여', '없음'])}))"
 
 
@@ -185,7 +179,16 @@ def item_4_partial(spark, sf):
     return shown(jd.item_4_partial(signals, documents))
 
 
-@query("item_4")
+def preferred(*names):
+    """SQL of the first of several queries that has a row for a document."""
+    parts = []
+    for i, name in enumerate(names):
+        skip = "".join(f" AND document_id NOT IN (SELECT document_id FROM branch{k})" for k in range(i))
+        parts.append(f"SELECT {COLUMNS} FROM branch{i} WHERE true{skip}")
+    return f"WITH {', '.join(f'branch{i} AS MATERIALIZED ({ORACLES[n]})' for i, n in enumerate(names))} " + " UNION ALL ".join(parts)
+
+
+@query("item_4", preferred("item_4_disallowed", "item_4_checklist", "item_4_partial"))
 def item_4(spark, sf):
     _, signals, documents = corpus(spark, sf, "4")
     return shown(jd.item_4(signals, documents))
@@ -312,15 +315,33 @@ def item_17(spark, sf):
     return shown(jd.item_17(cut_lineage(sg.page_signals(page, ["17"])), inp.documents(spark, sf)))
 
 
-@query("item_attachment_fallback", f"""
-WITH {BASE.replace('page_text AS t, page_text', f'{ce.BROKEN} AS t, {ce.BROKEN} AS page_text')}, {fallback_cte('17', pack.ATTACHMENT_KEYWORDS['17'], '(has_attachment OR has_blind OR has_commercial_sw)')},
-titled AS (SELECT *, {ce.HINT_SQL} AS hint FROM own WHERE body AND {ov.any_of('c', [tx.squeeze(h) for h in ce.HINTS])}), bodied AS (SELECT *, {ce.body_sql('t', 'hint')} AS bodytext FROM titled),
+def form_fallback(item, base, docs="doc"):
+    """SQL of item_attachment_fallback() without criteria overlaps, for the documents of a relation."""
+    hints = pack.ATTACHMENT_TITLE_HINTS[item]
+    hint = "CASE " + " ".join(f"WHEN contains({ov.compact('t')}, '{tx.squeeze(h)}') THEN {ov.quote(h)}" for h in hints) + " END"
+    return f"""{base}, {fallback_cte(item, pack.ATTACHMENT_KEYWORDS[item], '(has_attachment OR has_blind OR has_commercial_sw)')},
+titled AS (SELECT *, {hint} AS hint FROM own WHERE body AND {ov.any_of('c', [tx.squeeze(h) for h in hints])}), bodied AS (SELECT *, {ce.body_sql('t', 'hint')} AS bodytext FROM titled),
 judged AS (SELECT *, {ce.has_body_sql('bodytext', 't')} AS has_body, substr(t, 1, 260) AS text FROM bodied),
-empty_row AS (SELECT * FROM judged j WHERE NOT EXISTS (SELECT 1 FROM judged k WHERE k.document_id = j.document_id AND k.has_body)), {take('hollow', 'empty_row', 3)}
-SELECT {row('17', pack.NON_COMPLIANT, 'true', 0.78, 'pages', 'texts', jd.R_TITLE_ONLY, jd.C_TITLE_ONLY, 'python_attachment_title_only')} FROM hollow
-UNION ALL SELECT {row('17', pack.SUPPLEMENT, 'true', 0.68, 'pages', 'texts', jd.R_FORM_WEAK, jd.C_FORM_WEAK, 'python_attachment')} FROM weak WHERE document_id NOT IN (SELECT document_id FROM hollow)
-UNION ALL SELECT {row('17', pack.NEEDS_CHECK, 'NULL', 0.34, 'pages', 'texts', jd.R_FORM_NONE, jd.C_FORM_NONE, 'python_attachment')} FROM doc LEFT JOIN firsts USING (document_id)
-  WHERE document_id NOT IN (SELECT document_id FROM hollow) AND document_id NOT IN (SELECT document_id FROM weak)""")
+empty_row AS (SELECT * FROM judged j WHERE NOT EXISTS (SELECT 1 FROM judged k WHERE k.document_id = j.document_id AND k.has_body)), {take('hollow', 'empty_row', 3)}""", f"""
+SELECT {row(item, pack.NON_COMPLIANT, 'true', 0.78, 'pages', 'texts', jd.R_TITLE_ONLY, jd.C_TITLE_ONLY, 'python_attachment_title_only')} FROM hollow WHERE document_id IN (SELECT document_id FROM {docs})
+UNION ALL SELECT {row(item, pack.SUPPLEMENT, 'true', 0.68, 'pages', 'texts', jd.R_FORM_WEAK, jd.C_FORM_WEAK, 'python_attachment')} FROM weak WHERE document_id IN (SELECT document_id FROM {docs}) AND document_id NOT IN (SELECT document_id FROM hollow)
+UNION ALL SELECT {row(item, pack.NEEDS_CHECK, 'NULL', 0.34, 'pages', 'texts', jd.R_FORM_NONE, jd.C_FORM_NONE, 'python_attachment')} FROM {docs} LEFT JOIN firsts USING (document_id)
+  WHERE document_id NOT IN (SELECT document_id FROM hollow) AND document_id NOT IN (SELECT document_id FROM weak)"""
+
+
+@query("item_2_1", f"""
+WITH target AS MATERIALIZED ({ORACLES['bmt_targets']}), {form_fallback('2-1', BASE, 'target')[0]}
+SELECT {row('2-1', pack.NOT_APPLICABLE, 'false', 0.78, 'NULL', 'NULL', jd.R_BMT_NO, '', 'python_attachment_bmt_not_target')} FROM doc WHERE document_id NOT IN (SELECT document_id FROM target)
+UNION ALL {form_fallback('2-1', BASE, 'target')[1]}""")
+def item_2_1(spark, sf):
+    page, signals, documents = corpus(spark, sf, "2-1")
+    return shown(jd.item_2_1(signals, documents, page))
+
+
+BROKEN_BASE = BASE.replace("page_text AS t, page_text", f"{ce.BROKEN} AS t, {ce.BROKEN} AS page_text")
+
+
+@query("item_attachment_fallback", "WITH {} {}".format(*form_fallback("17", BROKEN_BASE)))
 def item_attachment_fallback(spark, sf):
     page = ce.broken_pages(spark, sf)
     return shown(jd.item_attachment_fallback(cut_lineage(sg.page_signals(page, ["17"])), inp.documents(spark, sf), "17"))
