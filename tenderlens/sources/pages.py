@@ -22,6 +22,20 @@ LINE = "document_id bigint, page_no int, page_text string, text_length int, rfp_
 TABLE_MARK = "\n\n[표 추출]\n"
 
 
+#: What a page row is found by; a document's pages are spread over the buckets of a page store by it.
+STORE_KEY = ["document_id", "page_no", "seq"]
+
+
+def store_pages(page: DataFrame, table: str, path: str, buckets: int = 200) -> DataFrame:
+    """Write pages as a table in buckets of their key and read it again.
+
+    Narrow rows that are joined to it by page (STORE_KEY) are dealt like its buckets; the page rows, with their text, stay where they are.
+    No document lies in one bucket, however many pages it has.  state.store_by_bucket is the store to read some documents of.
+    """
+    page.write.format("parquet").mode("overwrite").option("path", path).bucketBy(buckets, *STORE_KEY).saveAsTable(table)
+    return page.sparkSession.table(table)
+
+
 def scan_pages(page: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages of the wanted documents, and the wanted ids that have no page."""
     ids = wanted.select("document_id").distinct()
