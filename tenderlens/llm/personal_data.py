@@ -133,10 +133,12 @@ def list_personal_data(rows: DataFrame, spans: DataFrame, key: str = "doc_id") -
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """`docs` with every span of its text replaced by its kind in brackets, as [EMAIL]; overlapping spans become one, named after the first.
 
-    All columns and rows stay; null text stays null.
+    All columns and rows stay, whatever the names; null text stays null, and repeated rows are redacted alike. A text without a digit
+    and without an @ has no candidate: its row passes by, and neither it nor its text is staged or exchanged.
     """
     names = docs.columns
-    rows, spans = find_personal_data(docs, key, text, keep=names, **options)
+    candidate = F.coalesce(F.col(text), F.lit("")).rlike("[0-9@]")
+    rows, spans = find_personal_data(docs.where(candidate), key, text, keep=names, **options)
     order = Window.partitionBy("row").orderBy("start", "stop", "kind")
     fresh = F.coalesce(F.col("start") >= F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     merged = spans.withColumn("g", F.sum(fresh.cast("int")).over(order)).groupBy("row", "g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min(F.struct("start", "stop", "kind"))["kind"].alias("kind"))
@@ -147,4 +149,5 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
     pieces = F.transform("cuts", lambda c: F.concat(F.substring(old, c["from"] + 1, c["start"] - c["from"]), F.lit("["), F.upper(c["kind"]), F.lit("]")))
     rest = F.substring(old, F.element_at("cuts", -1)["stop"] + 1, F.length(old))
     new = F.when(F.col("cuts").isNull(), old).otherwise(F.concat(F.array_join(pieces, ""), rest))
-    return rows.join(listed, "row", "left").select(*[(new if c == text else F.col(f"keep_{c}")).alias(c) for c in names])
+    redacted = rows.join(listed, "row", "left").select(*[(new if c == text else F.col(f"keep_{c}")).alias(c) for c in names])
+    return docs.where(~candidate).select(*[F.col(c) for c in names]).union(redacted)
