@@ -143,7 +143,7 @@ QUOTE_WORDS = {
     "5": ["작업장소", "원격지", "보안요구사항", "사업예산 내 계상"],
     "8": ["하자담보", "하자보수", "책임기간"],
     "10": ["사업자 선정 방법", "낙찰자 결정방법", "협상에 의한 계약", "협상에 의한 계약체결"],
-    "13": ["제안서 보상", "보상대상"],
+    "13": pack.COMPENSATION_TERMS,
 }
 COMMON_STATEMENT = (
     "「(계약예규) 용역계약일반조건」 제58조 제2항과 제3항에 따라, 정한 기한내에 하자가 발생하여 "
@@ -154,32 +154,31 @@ COMMON_STATEMENT = (
 
 
 def direct_5(t: Column, c: Column) -> Column:
-    terms = ["상호협의", "사업예산내계상", "관련비용", "제안가격", "원격지개발", "개발방법", "구체적인방안", "발주기관의검토", "보안요구사항", "보안관리", "보안대책", "출입보안", "출입통제"]
-    return tx.contains_any(c, ["작업장소", "원격지"]) & tx.contains_any(c, terms)
+    return tx.contains_any(c, pack.PLACE_TERMS) & tx.contains_any(c, pack.PLACE_DETAILS)
 
 
 def direct_8(t: Column, c: Column) -> Column:
     codes = F.size(F.array_distinct(F.regexp_extract_all(c, F.lit("(?i)([A-Z]{2,5}-[0-9]{3})"), F.lit(1))))
     overview = c.contains("하자보수") & ((codes >= 3) | c.contains("요구사항총괄표"))
-    bidder = c.contains("하자보수계획") & tx.contains_any(c, ["제시하여야", "제시하였는지", "제안서", "기술평가", "평가한다", "적정성", "평가항목"])
-    blank = tx.contains_any(c, ["서식", "별지", "자기평가표", "210mm×297mm", "백상지"]) & (tx.count_terms(c, ["사업명", "계약기간", "계약금액", "하도급", "하자담보책임기간"]) >= 3)
-    joint = (tx.count_terms(c, ["공동수급체", "공동수급협정", "출자비율", "구성원"]) >= 2) & tx.contains_all(c, ["하자담보책임", "공사"])
-    topic = tx.contains_any(c, ["하자담보", "하자보수", "용역계약일반조건"]) & tx.contains_any(c, ["책임기간", "책임", "기간", "제58조"])
+    bidder = c.contains("하자보수계획") & tx.contains_any(c, pack.WARRANTY_BIDDER)
+    blank = tx.contains_any(c, pack.WARRANTY_FORMS) & (tx.count_terms(c, pack.WARRANTY_FORM_LABELS) >= 3)
+    joint = (tx.count_terms(c, pack.JOINT_TERMS) >= 2) & tx.contains_all(c, pack.JOINT_WARRANTY)
+    topic = tx.contains_any(c, pack.WARRANTY_TOPICS) & tx.contains_any(c, pack.WARRANTY_DETAILS)
     return topic & ~(overview | bidder | blank | joint)
 
 
 def direct_9(t: Column, c: Column) -> Column:
-    return tx.contains_any(c, ["특정규격", "특정상표", "특정모델", "특정제품", "특정회사", "모델명"]) & tx.contains_any(c, ["금지", "명시금지", "지정하여", "동등이상", "입찰에부치는경우"])
+    return tx.contains_any(c, pack.BRAND_TERMS) & tx.contains_any(c, pack.BRAND_BANS)
 
 
 def direct_10(t: Column, c: Column) -> Column:
-    chosen = tx.contains_any(c, ["사업자선정방법", "낙찰자결정방법", "협상적격자", "계약체결기준", "계약체결방법"])
-    basis = tx.contains_any(c, ["제49조", "시행령제44조", "제44조제1항"]) & tx.contains_any(c, ["방법을적용", "적용한다", "체결방법"])
+    chosen = tx.contains_any(c, pack.AWARD_METHODS)
+    basis = tx.contains_any(c, pack.AWARD_ARTICLES) & tx.contains_any(c, pack.AWARD_APPLIED)
     return c.contains("협상에의한계약") & (chosen | basis)
 
 
 def direct_13(t: Column, c: Column) -> Column:
-    return tx.contains_any(t, ["제안서 보상", "보상대상"])
+    return tx.contains_any(t, pack.COMPENSATION_TERMS)
 
 
 PREDICATES = {"5": direct_5, "8": direct_8, "9": direct_9, "10": direct_10, "13": direct_13}
@@ -251,23 +250,24 @@ def direct_evidence(review: DataFrame, page: DataFrame, hits: DataFrame) -> Data
 def gaps_5(c: Column) -> list[Column]:
     """Missing parts of item 5: workplace and cost, supplier proposal, remote security."""
     place = c.contains("작업장소")
-    agreed = place & tx.contains_any(c, ["협의", "상호협의", "결정"])
-    cost = place & tx.contains_any(c, ["비용", "사업예산", "계상", "제안가격", "제안사가부담"])
-    proposed = tx.contains_any(c, ["공급자", "계약상대자", "제안사"]) & tx.contains_any(c, ["작업장소를제시", "작업장소제시", "제시된작업장소", "우선검토", "검토절차"])
-    secure = tx.contains_any(c, ["원격개발", "원격지"]) & tx.contains_any(c, ["보안사고", "위험요인", "대응방안", "보안요구사항"])
+    agreed = place & tx.contains_any(c, pack.PLACE_AGREED)
+    cost = place & tx.contains_any(c, pack.PLACE_COSTS)
+    proposed = tx.contains_any(c, pack.SUPPLIER_TERMS) & tx.contains_any(c, pack.SUPPLIER_PROPOSALS)
+    secure = tx.contains_any(c, pack.REMOTE_TERMS) & tx.contains_any(c, pack.REMOTE_RISKS)
     return [~(agreed & cost), ~proposed, ~secure]
 
 
 def gaps_8(c: Column) -> list[Column]:
     """Missing parts of item 8: warranty period, common statement."""
-    period = tx.contains_any(c, ["책임기간", "하자담보책임기간", "하자보수기간"]) & tx.contains_any(c, ["1년이내", "1년", "12개월"])
+    period = tx.contains_any(c, pack.PERIOD_TERMS) & tx.contains_any(c, pack.PERIOD_LENGTHS)
     statement = (
-        tx.contains_any(c, ["제58조", "용역계약일반조건"]) & tx.contains_any(c, ["하자보수를요청", "하자보수요청", "하자를조치"])
-        & tx.contains_any(c, ["유상유지보수", "유상유지관리", "재개발"]) & tx.contains_any(c, ["하자보수의책임이없", "하자보수책임이없", "책임이없", "책임없"])
+        tx.contains_any(c, pack.STATEMENT_ARTICLES) & tx.contains_any(c, pack.STATEMENT_REQUESTS)
+        & tx.contains_any(c, pack.STATEMENT_PAID) & tx.contains_any(c, pack.STATEMENT_EXEMPT)
     )
     return [~period, ~statement]
 
 
+# Advice, reasons and warning names of items 5 and 8.
 PARTS_5 = [
     "작업장소 상호협의 또는 제공여부와 작업장소 관련 비용 계상 여부를 명시",
     "공급자가 작업장소를 제시할 수 있는 절차와 발주기관의 검토절차를 명시",

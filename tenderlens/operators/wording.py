@@ -194,6 +194,7 @@ def concrete_recommendation(item: Column, recommendation: Column, reason: Column
 
 # --- compliance statements -----------------------------------------------------------------------------------------------
 
+# Signs of empty and of partial attachments in a reason.
 EMPTY_SIGNS = ["제목만", "빈문서", "실제산정내용이없는", "실제검토내용이없는", "실제검토내용이확인되지"]
 PARTIAL_SIGNS = ["일부", "있으나", "확인되나", "제목만", "미흡", "부족"]
 
