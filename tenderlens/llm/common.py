@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,10 +95,10 @@ def key_filter(keys: DataFrame, key: str) -> np.ndarray:
 def may_hold(filter_: np.ndarray, key: str) -> Column:
     """False for a key that is not in the filter's keys. Only the keys' hashes pass through Python."""
 
-    @F.pandas_udf("boolean")
-    def held(h: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def held(h: pa.Array) -> pa.Array:
         place = h.to_numpy() % (len(filter_) * 8)
-        return pd.Series(filter_[place >> 3] >> (place & 7) & 1 == 1)
+        return pa.array(filter_[place >> 3] >> (place & 7) & 1 == 1)
 
     return held(F.xxhash64(key))
 

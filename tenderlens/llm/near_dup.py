@@ -33,7 +33,7 @@ class WordHashes(dict):
     """64-bit hashes of words, each computed once in a task as long as there is room."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
+        if len(self) > 500_000:  # some 80 MB
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
