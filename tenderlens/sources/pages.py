@@ -104,8 +104,10 @@ def scan_page_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Items come as `pages`, `output_schema.pages` or `result.pages`; page numbers are reconciled with the request.
     """
-    body = outer_object(F.col("output_text"))
-    parsed = responses.withColumn("_b", F.from_json(body, BODY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    # exploded as arrays of one, so that no filter takes the parsing along and a response is parsed once
+    cut = responses.select("document_id", "response_id", "requested", F.explode(F.array(outer_object(F.col("output_text")))).alias("_body"))
+    body = F.col("_body")
+    parsed = cut.select("*", F.explode(F.array(F.from_json(body, BODY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))).alias("_b"))
     valid = (body != "") & F.col("_b").isNotNull() & F.try_parse_json(body).isNotNull()
     errors = parsed.filter(~valid).select("document_id", "response_id", F.lit("json_parse_failed").alias("error"))
     items = F.coalesce("_b.pages", "_b.output_schema.pages", "_b.result.pages")
