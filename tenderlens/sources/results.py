@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenderlens.functions import text as tx
 from tenderlens.operators import retrieval as rt
 
 REVIEW = (
@@ -66,12 +67,18 @@ def result_payloads(final: DataFrame, hits: DataFrame, routes: DataFrame) -> Dat
     fields = ["item_no", "final_status", "final_result", "is_target", "confidence", "evidence_pages", "evidence_text", "reason", "recommendation", "warnings"]
     packed = final.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("item_no", F.struct(*fields).alias("f")))).alias("_f"))
     hit_fields = ["item_no", "source_type", "source_name", "title", "category", "snippet", F.col("location").alias("page_or_row"), "score"]
-    by_item = hits.groupBy("query_item").agg(F.array_sort(F.collect_list(F.struct("rank_group", "rank", F.struct(*hit_fields).alias("h")))).alias("_h"))
-    items = routes.join(by_item, F.col("item_no") == F.col("query_item"), "left").select(
-        "document_id", F.struct("item_no", "route", F.size("_h").alias("rag_hit_count"), F.transform("_h", lambda h: h["h"]).alias("rag_hits")).alias("i"))
-    listed = items.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(F.col("i.item_no").alias("k"), "i"))).alias("_i"))
-    return packed.join(listed, "document_id", "left").select(
-        "document_id", F.to_json(F.struct("document_id", F.lit("all").alias("group"), F.transform("_i", lambda x: x["i"]).alias("item_results"), F.transform("_f", lambda x: x["f"]).alias("merged_final_reviews"))).alias("line"))
+    by_item = hits.filter("query_item is not null").groupBy("query_item").agg(F.array_sort(F.collect_list(F.struct("rank_group", "rank", F.struct(*hit_fields).alias("h")))).alias("_h"))
+    # hits are of the rule book: they meet the items of a document in its own row and are not shuffled with it
+    of_item = by_item.select(F.map_from_entries(F.collect_list(F.struct("query_item", F.transform("_h", lambda h: h["h"]))))).scalar()
+    listed = routes.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("item_no", "route"))).alias("_i"))
+
+    def with_hits(x: Column) -> Column:
+        return tx.let(F.try_element_at("_of_item", x["item_no"]), lambda h: F.struct(
+            x["item_no"].alias("item_no"), x["route"].alias("route"), F.size(h).alias("rag_hit_count"), h.alias("rag_hits")))
+
+    joined = packed.join(listed, "document_id", "left").withColumn("_of_item", of_item)
+    return joined.select(
+        "document_id", F.to_json(F.struct("document_id", F.lit("all").alias("group"), F.transform("_i", with_hits).alias("item_results"), F.transform("_f", lambda x: x["f"]).alias("merged_final_reviews"))).alias("line"))
 
 
 def seed_knowledge(spark: SparkSession, rows: DataFrame, path: str) -> int:
