@@ -47,6 +47,16 @@ def test_terms_of_a_page_are_counted_before_the_shuffle(spark, make_pages):
     assert "count(distinct" not in plan(hits)
 
 
+def test_rows_of_one_page_key_share_their_terms(spark, make_pages):
+    page = make_pages([page_row(1, "t000 t070"), page_row(1, "t070 t099")])
+    terms = spark.createDataFrame([("1", f"t{k:03}") for k in range(100)], "item_no string, term string")
+    assert [r.hits for r in evidence.substring_hits(page, terms, False).collect()] == [3]
+    items = spark.createDataFrame([("x",)], "item_no string")
+    hits = spark.createDataFrame([("x", 1, 1, "alpha beta", "", "")], "query_item string, rank_group int, rank int, title string, category string, snippet string")
+    twice = make_pages([page_row(1, "alpha"), page_row(1, "alpha beta")])
+    assert [(r.page_no, r.score) for r in evidence.rank_evidence_pages(twice, items, hits).collect()] == [(1, 2)]
+
+
 def test_a_response_is_parsed_once(spark):
     rows = spark.createDataFrame([(1, 1, [1], '{"pages": [{"pdf_page_no": "1", "page_text": "t"}]}'), (1, 2, [2], "none")], "document_id bigint, response_id bigint, requested array<int>, output_text string")
     found, errors = source_pages.scan_page_responses(rows)
