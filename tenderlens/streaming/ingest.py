@@ -113,10 +113,15 @@ def current_progress(spark: SparkSession, out_path: str) -> DataFrame:
 
 
 def finished_jobs(selected: DataFrame, state: DataFrame) -> DataFrame:
-    """Jobs none of whose selected pages is pending."""
-    blank = selected.filter("page_no is null").select("job_id").distinct()
-    done = kept.page_bitmaps(state.filter("status = 'succeeded'").select("job_id", "page_no"))
-    return kept.covered_jobs(kept.page_bitmaps(selected.select("job_id", "page_no")), done).join(blank, "job_id", "left_anti")
+    """Jobs none of whose selected pages is pending.
+
+    A page is one narrow row, settled by (job, page) and then by job, so memory follows the pages and a job of any size is spread
+    over tasks.
+    """
+    wanted = selected.select("job_id", "page_no", F.lit(True).alias("_wanted"), F.lit(False).alias("_done"))
+    done = state.filter("status = 'succeeded'").select("job_id", "page_no", F.lit(False).alias("_wanted"), F.col("page_no").isNotNull().alias("_done"))
+    page = wanted.unionByName(done).filter("job_id is not null").groupBy("job_id", "page_no").agg(F.max("_wanted").alias("_wanted"), F.max("_done").alias("_done"))
+    return page.groupBy("job_id").agg(F.max("_wanted").alias("_asked"), F.min(~F.col("_wanted") | F.col("_done")).alias("_all")).filter("_asked and _all").select("job_id")
 
 
 def finalize_documents(page: DataFrame, document: DataFrame, finished: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -146,7 +151,7 @@ def finalize_stream(
 ) -> StreamingQuery:
     """After every micro-batch, documents whose pages are all in are finalised and written.
 
-    Wanted and done pages of the touched jobs are compared as bitmaps. State, pages, documents, wanted pages and what is written are
+    Wanted and done pages of the touched jobs are compared by page. State, pages, documents, wanted pages and what is written are
     taken from the touched buckets; tables stored by bucket (state.store_by_bucket) are read in those alone. The result of a batch is its own
     folder. A document that another batch has written is not written again, however often its pages are delivered; nor is one
     whose job (job_id, status in `jobs`) is over.

@@ -1,5 +1,7 @@
 """A stopped and restarted ingest equals one uninterrupted run."""
 
+import random
+
 from tenderlens.streaming import ingest, state
 
 
@@ -77,6 +79,18 @@ def test_bitmaps_tell_complete_jobs(spark):
     assert [r.job_id for r in got.collect()] == [1]
 
 
+def test_finished_jobs_cost_a_narrow_row_a_page(spark):
+    rng = random.Random(5)
+    wanted = [(rng.randrange(200), rng.choice([None, 0, -1, *range(1, 40000, 3999)] if k % 9 == 0 else range(1, 4))) for k in range(900)]
+    done = [(rng.randrange(200), rng.choice([None, 0, -1, *range(1, 40000, 3999), 1, 2, 3, 1, 2, 3, 1, 2, 3])) for _ in range(4000)] + [(None, 1)]
+    jobs = spark.createDataFrame([*wanted, (None, 1)], "job_id bigint, page_no int")
+    got = ingest.finished_jobs(jobs, spark.createDataFrame([(j, p, "succeeded", "", "", 1) for j, p in done], ingest.EVENT))
+    known = {x for x in done if x[1] is not None}
+    expect = sorted({j for j, _ in wanted} - {x[0] for x in wanted if x not in known})
+    assert 10 < len(expect) < 190 and sorted(r.job_id for r in got.collect()) == expect
+    assert "bitmap" not in got._jdf.queryExecution().optimizedPlan().toString()  # 4 KB a job and span before, however few its pages
+
+
 def test_tables_stored_by_bucket_are_read_in_part(spark, tmp_path):
     df = spark.range(100).withColumnRenamed("id", "document_id")
     state.store_by_bucket(df, "document_id", str(tmp_path / "t"), 8)
