@@ -215,7 +215,7 @@ def _count(batches: Iterator[pa.RecordBatch], most: int, buckets: int) -> Iterat
             b = _Block(lang, data, most - 1)
             found = [b.phrases(k) for k in range(2, most + 1)]
             h, weight = np.concatenate([x[1] for x in found]), b.weight[np.concatenate([x[0] for x in found])]
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)  # equal hashes in any order, their weights are added up
             h, weight = h[order], weight[order]
             fresh = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
             h, counts = h[fresh], np.add.reduceat(weight, fresh) if len(fresh) else weight
@@ -233,35 +233,40 @@ def _frequent(table: pa.Table, least: int) -> Iterator[tuple]:
     value, code = np.unique(np.concatenate(own), return_inverse=True)
     total = np.zeros(len(value), np.int64)
     np.add.at(total, code, np.concatenate(counts))
-    often = value[total >= least]
-    for block, h in zip(table.column("block").to_pylist(), own, strict=True):
-        kept = h[np.isin(h, often, assume_unique=True)]
-        if len(kept):
-            yield block, squeeze(np.diff(kept, prepend=0))
+    often = np.split((total >= least)[code], np.cumsum([len(h) for h in own])[:-1])
+    for block, h, kept in zip(table.column("block").to_pylist(), own, often, strict=True):
+        if kept.any():
+            yield block, squeeze(np.diff(h[kept], prepend=0))
 
 
-def _spell(blocks: pa.Table, kept: pa.Table, most: int) -> Iterator[tuple]:
-    """(lang, size, phrase, times) of one block: all its words, and the phrases with kept hashes."""
+def _spell(blocks: pa.Table, kept: pa.Table, most: int, schema: pa.Schema) -> pa.Table:
+    """(lang, size, phrase, times) of one block: all its words, and the phrases with kept hashes. Made by columns, as most rows are words."""
     hashes = np.sort(np.concatenate([np.zeros(0, np.int64), *[np.cumsum(expand(h)) for h in kept.column("hashes").to_pylist()]]))
+    made: list[pa.Table] = []
+
+    def add(lang: str, size: int, phrases: list[bytes], times: np.ndarray) -> None:
+        text = pa.array(phrases, pa.binary()).cast(pa.string())
+        made.append(pa.table([pa.repeat(pa.scalar(lang, pa.string()), len(text)), pa.repeat(pa.scalar(size, pa.int32()), len(text)), text, pa.array(times, pa.int64())], schema=schema))
+
     for lang, data in zip(blocks.column("lang").to_pylist(), blocks.column("data").to_pylist(), strict=True):
         b = _Block(lang, data, most - 1)
         words, many = b.numbers.words, len(b.numbers.words)
-        for size in range(1, most + 1):
-            if size == 1:
-                at = np.flatnonzero(b.weight)
-            else:
-                at, h = b.phrases(size)
-                place = np.searchsorted(hashes, h.astype(np.int64))
-                at = at[(place < len(hashes)) & (hashes[np.minimum(place, len(hashes) - 1)] == h.astype(np.int64))] if len(hashes) else at[:0]
+        times = np.zeros(many, np.int64)
+        np.add.at(times, b.codes, b.weight)
+        found = np.flatnonzero(times)
+        add(lang, 1, [words[c] for c in found.tolist()], times[found])
+        for size in range(2, most + 1):
+            at, h = b.phrases(size)
+            place = np.searchsorted(hashes, h.astype(np.int64))
+            at = at[(place < len(hashes)) & (hashes[np.minimum(place, len(hashes) - 1)] == h.astype(np.int64))] if len(hashes) else at[:0]
             code, first = b.codes[at], np.arange(len(at))
-            for k in range(1, size + 1):
-                _, first, code = np.unique(code, return_index=True, return_inverse=True)
-                if k < size:
-                    code = code * many + b.codes[at + k]
+            for k in range(1, size):
+                _, first, code = np.unique(code * many + b.codes[at + k], return_index=True, return_inverse=True)
             times = np.zeros(len(first), np.int64)
             np.add.at(times, code, b.weight[at])
-            for i, n in zip(at[first].tolist(), times.tolist(), strict=True):
-                yield lang, size, b" ".join([words[c] for c in b.codes[i : i + size].tolist()]).decode(), n
+            spelled = [[words[c] for c in b.codes[at[first] + k].tolist()] for k in range(size)]
+            add(lang, size, list(map(b" ".join, zip(*spelled, strict=True))), times)
+    return pa.concat_tables(made) if made else schema.empty_table()
 
 
 def count_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = 3, least: int = 10, period: int = PERIOD) -> DataFrame:
@@ -289,7 +294,7 @@ def count_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", most:
         return pa.Table.from_batches(batches_of(rows, schema, 100_000), schema)
 
     kept = counted.groupBy("bucket").applyInArrow(lambda t: table(_frequent(t, least), often), "block binary, hashes binary")
-    found = blocks.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(lambda a, b: table(_spell(a, b, most), spelled), "lang string, size int, phrase string, times bigint")
+    found = blocks.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(lambda a, b: _spell(a, b, most, spelled), "lang string, size int, phrase string, times bigint")
     summed = found.groupBy("lang", "size", "phrase").agg(F.sum("times").alias("times"))
     return summed.where((F.col("size") == 1) | (F.col("times") >= least))
 

@@ -6,8 +6,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from tenderlens.llm import collocations
 from tenderlens.llm.collocations import _Numbers, cut_chunks, cut_words, mine_collocations, rank_phrases
+from tenderlens.llm.common import squeeze
 
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -117,3 +121,14 @@ def test_scores_beyond_64_bits_are_exact(spark):
     rows = [("en", 1, "x", left), ("en", 1, "y", right), ("en", 2, "x y", a)]
     got = rank_phrases(spark.createDataFrame(rows, "lang string, size int, phrase string, times bigint")).collect()
     assert [tuple(r) for r in got] == [("en", 1, "x y", a, left, right, left + right, 1_000_000 * a * a // (left * right))]
+
+
+def test_words_of_a_block_leave_as_columns():
+    cut = [("x", False, b"a b a b c", 2), ("x", True, b"b c \xff a", 3)]
+    data = [row[3] for row in collocations._blocks(iter([pa.RecordBatch.from_pylist([dict(zip(("lang", "last", "chunk", "times"), row, strict=True)) for row in cut])]))]
+    block = collocations._Block("x", data[0], 2)
+    hashes = sorted(set(block.phrases(2)[1].tolist()))
+    schema = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("times", pa.int64())])
+    got = collocations._spell(pa.table({"lang": ["x"], "data": data}), pa.table({"hashes": [squeeze(np.diff(np.array(hashes, np.int64), prepend=0))]}), 3, schema)
+    assert got.schema == schema
+    assert {(r["size"], r["phrase"]): r["times"] for r in got.to_pylist()} == {(1, "a"): 7, (1, "b"): 5, (1, "c"): 3, (2, "a b"): 4, (2, "b a"): 2, (2, "b c"): 3}
