@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tenderlens.functions import text as tx
 from tenderlens.operators import blocks, classify
 from tenderlens.schema import PAGE_FLAGS
+from tenderlens.session import cut_lineage
 
 KEY = ["document_id"]
 PAGE_KEY = ["document_id", "page_no"]
@@ -101,7 +102,7 @@ def replace_pages(page: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame
     twice = new.join(repeated, PAGE_KEY, "left_semi").join(known, "document_id", "left_semi").withColumn(
         "reject_reason", F.lit("duplicate_page")
     )
-    valid = new.join(repeated, PAGE_KEY, "left_anti").join(known, "document_id", "left_semi")
+    valid = cut_lineage(new.join(repeated, PAGE_KEY, "left_anti").join(known, "document_id", "left_semi"))  # read several times
     valid = normalise_for_store(classify.infer_table_pages(valid)).select(*page.columns)
     touched = page.join(valid.select(*PAGE_KEY), PAGE_KEY, "left_anti").unionByName(valid)
     return touched, document_status(touched), unknown.unionByName(twice)

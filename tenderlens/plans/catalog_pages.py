@@ -11,6 +11,7 @@ from tenderlens.plans import oracle_views as ov
 from tenderlens.plans.registry import query
 from tenderlens.rules import pack
 from tenderlens.schema import PAGE_FLAGS
+from tenderlens.session import cut_lineage
 
 FLAGS = ", ".join(PAGE_FLAGS)
 SPACE_LINE = r"[ \t\r\x{0b}\x{0c}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
@@ -112,9 +113,9 @@ def dedupe_pages(spark, sf):
     return best.select("document_id", "page_no", "seq", "text_length", F.md5("page_text").alias("text_md5"))
 
 
-def replacement_rows(spark, sf):
+def replacement_rows(page):
     """New rows for every page whose warning asks for another extraction, some of them twice or unknown."""
-    p = inp.pages(spark, sf).filter("parser_warning is not null or text_length % 17 = 0")
+    p = page.filter("parser_warning is not null or text_length % 17 = 0")
     doc = F.when(F.col("text_length") % 5 == 0, F.col("document_id") + 10_000_000_000).otherwise(F.col("document_id"))
     new = p.withColumn("document_id", doc).withColumn("parser_warning", F.when(F.col("text_length") % 2 == 1, "again"))
     return new.unionByName(new.filter("text_length % 34 = 0"))
@@ -142,15 +143,16 @@ SELECT coalesce(s.document_id, r.document_id) AS document_id, coalesce(page_coun
   coalesce(n, 0) AS rejected_rows
 FROM status s FULL JOIN refused r ON r.document_id = s.document_id""")
 def replace_pages(spark, sf):
-    _, status, rejected = pages.replace_pages(inp.pages(spark, sf), replacement_rows(spark, sf))
+    page = cut_lineage(inp.pages(spark, sf))
+    _, status, rejected = pages.replace_pages(page, cut_lineage(replacement_rows(page)))
     refused = rejected.groupBy("document_id").agg(F.count(F.lit(1)).alias("rejected_rows"))
     both = status.join(refused, "document_id", "full").fillna(0).fillna({"parse_status": "unknown"})
     return both.select("document_id", "page_count", "parse_warning_count", "parse_status", "rejected_rows")
 
 
-def repaired_rows(spark, sf):
+def repaired_rows(page):
     """Second extraction: every third page again, marked, and one page past the end."""
-    p = inp.pages(spark, sf).withColumn("parser_warning", F.lit(None).cast("string"))
+    p = page.withColumn("parser_warning", F.lit(None).cast("string"))
     again = p.filter("text_length % 3 = 1").withColumn("page_text", F.concat("page_text", F.lit("*")))
     later = again.filter("text_length % 2 = 0").withColumn("seq", F.col("seq") + 1_000_000).withColumn(
         "page_text", F.concat("page_text", F.lit("!"))
@@ -171,7 +173,8 @@ merged AS (
   UNION ALL SELECT * REPLACE (page_no + 100000 AS page_no, NULL::VARCHAR AS parser_warning) FROM page WHERE page_no = 1)
 SELECT document_id, page_no, md5(page_text) AS text_md5, coalesce(parser_warning, '') AS parser_warning FROM merged""")
 def merge_repaired_pages(spark, sf):
-    merged = pages.merge_repaired_pages(inp.pages(spark, sf), repaired_rows(spark, sf))
+    page = cut_lineage(inp.pages(spark, sf))
+    merged = pages.merge_repaired_pages(page, cut_lineage(repaired_rows(page)))
     return merged.select("document_id", "page_no", F.md5("page_text").alias("text_md5"), F.coalesce("parser_warning", F.lit("")).alias("parser_warning"))
 
 
