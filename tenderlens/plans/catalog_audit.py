@@ -180,10 +180,10 @@ def audit_documents(spark, sf):
     return scored.select(*SCORE_COLUMNS.split(", "))
 
 
-def supplied_rows(spark, sf):
+def supplied_rows(page):
     """What a second extraction would return: every page with some more text."""
     more = F.concat("page_text", F.lit(" second extraction of the page with readable text"))
-    return inp.pages(spark, sf).withColumn("page_text", more).withColumn("parser_warning", F.lit(None).cast("string")).withColumn("text_length", F.col("text_length") + 43)
+    return page.withColumn("page_text", more).withColumn("parser_warning", F.lit(None).cast("string")).withColumn("text_length", F.col("text_length") + 43)
 
 
 @query("repair_round", f"""
@@ -196,5 +196,6 @@ page AS MATERIALIZED (
   FROM first_page p JOIN bad b ON b.document_id = p.document_id AND b.page_no = p.page_no),
 {WARNINGS}, {AUDITED} SELECT {SCORE_COLUMNS} FROM stated""")
 def repair_round(spark, sf):
-    _, scored, _ = audit.repair_round(cut_lineage(inp.pages(spark, sf)), inp.documents(spark, sf), supplied_rows(spark, sf))
+    page = cut_lineage(inp.pages(spark, sf))
+    _, scored, _ = audit.repair_round(page, inp.documents(spark, sf), supplied_rows(page))
     return scored.select(*SCORE_COLUMNS.split(", "))
